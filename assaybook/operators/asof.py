@@ -49,7 +49,8 @@ def _covers(t, iv: DataFrame):
 def asof_version(rows: DataFrame, price_lists: DataFrame, *, list_col="PRICELISTID",
                  time_col="DATEENTER", out_col="PriceListVersion",
                  code_col: str | None = None, prices: DataFrame | None = None,
-                 max_broadcast_rows: int = broadcast.DEFAULT_MAX_ROWS) -> DataFrame:
+                 max_broadcast_rows: int = broadcast.DEFAULT_MAX_ROWS,
+                 origin: str | None = None) -> DataFrame:
     """Left-join the version in force at ``time_col`` onto every row."""
     iv = price_intervals(price_lists, prices if code_col else None)
     key_cols = ["_list_key"] + (["_code"] if code_col else [])
@@ -58,7 +59,9 @@ def asof_version(rows: DataFrame, price_lists: DataFrame, *, list_col="PRICELIST
     keyed = rows.withColumn("_list_key", ci(list_col))
     if code_col:
         keyed = keyed.withColumn("_code", F.col(code_col))
-    if broadcast.fits(iv, max_broadcast_rows):
+    # interval rows <= version rows (per list) or version x code rows (per test)
+    size_key = None if origin is None else (origin, "prices" if code_col else "price_intervals")
+    if broadcast.fits(iv, max_broadcast_rows, key=size_key):
         ivb = F.broadcast(iv)
         cond = [keyed[k] == ivb["_iv" + k] for k in key_cols]
         cond.append(_covers(keyed[time_col], ivb))
@@ -86,13 +89,15 @@ def _bucketed_join(keyed: DataFrame, iv: DataFrame, key_cols, time_col) -> DataF
 def test_price(rows: DataFrame, prices: DataFrame, *, list_col="PRICELISTID",
                version_col="PriceListVersion", code_col="_pricing_code",
                out_col="Price",
-               max_broadcast_rows: int = broadcast.DEFAULT_MAX_ROWS) -> DataFrame:
+               max_broadcast_rows: int = broadcast.DEFAULT_MAX_ROWS,
+               origin: str | None = None) -> DataFrame:
     """Left-join the price of (list, version, code)."""
     p = prices.select(ci("PRICELISTID").alias("_pk_list"),
                       F.col("PRICELISTVERSION").alias("_pk_version"),
                       F.col("TESTCODE").alias("_pk_code"),
                       F.col("PRICE").alias(out_col))
-    p = broadcast.bounded(p, max_broadcast_rows)
+    p = broadcast.bounded(p, max_broadcast_rows,
+                          key=None if origin is None else (origin, "prices"))
     cond = [ci(rows[list_col]) == p["_pk_list"],
             rows[version_col] == p["_pk_version"],
             rows[code_col] == p["_pk_code"]]
@@ -101,10 +106,10 @@ def test_price(rows: DataFrame, prices: DataFrame, *, list_col="PRICELISTID",
 
 def asof_price(rows: DataFrame, price_lists: DataFrame, prices: DataFrame, *,
                per_test: bool = False, list_col="PRICELISTID", time_col="DATEENTER",
-               code_col="_pricing_code") -> DataFrame:
+               code_col="_pricing_code", origin: str | None = None) -> DataFrame:
     """Version in force + its test price (J6). ``per_test`` picks the latest
     version that prices the row's code instead of the latest list version."""
     v = asof_version(rows, price_lists, list_col=list_col, time_col=time_col,
                      code_col=code_col if per_test else None,
-                     prices=prices if per_test else None)
-    return test_price(v, prices, list_col=list_col, code_col=code_col)
+                     prices=prices if per_test else None, origin=origin)
+    return test_price(v, prices, list_col=list_col, code_col=code_col, origin=origin)

@@ -1,24 +1,50 @@
 """Broadcast behind a checked size bound.
 
-Dimension tables (clients, price lists, prices, test groups) are small in
-practice, but nothing in the source guarantees it. ``bounded`` counts at most
-``max_rows + 1`` rows of the candidate (a cheap, early-stopping job on a
-small table) and returns a broadcast hint only when the bound holds; above it
-the caller gets the plain DataFrame and Spark plans a shuffle join, with AQE
-free to split skewed partitions.
+Dimension tables (clients, price lists, prices, test groups, lookups) are
+small in practice, but nothing in the source guarantees it. Before a plan
+uses them, ``check`` counts at most ``max_rows + 1`` rows of every candidate
+in ONE early-stopping job and remembers the verdict per (source, table).
+``bounded`` then returns a broadcast hint only where the bound held; above
+it the caller gets the plain DataFrame and Spark plans a shuffle join (AQE
+may still split skewed partitions or broadcast at runtime by its own size
+threshold).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 2_000_000
 
+_VERDICTS: dict[tuple, bool] = {}
+
+
+def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, key: tuple | None = None) -> bool:
+    if key is not None and key in _VERDICTS:
+        return _VERDICTS[key]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        _VERDICTS[key] = ok
+    return ok
+
 
-def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def check(candidates: dict[tuple, DataFrame], max_rows: int = DEFAULT_MAX_ROWS) -> None:
+    """Size-check all unknown candidates in a single job."""
+    todo = {k: df for k, df in candidates.items() if k not in _VERDICTS}
+    if not todo:
+        return
+    names = {str(i): k for i, k in enumerate(todo)}
+    parts = [df.limit(max_rows + 1).select(F.lit(i).alias("_t"))
+             for i, df in zip(names, todo.values())]
+    counts = {r["_t"]: r["n"] for r in
+              reduce(DataFrame.unionAll, parts).groupBy("_t")
+              .agg(F.count(F.lit(1)).alias("n")).collect()}
+    for i, k in names.items():
+        _VERDICTS[k] = counts.get(i, 0) <= max_rows
 
 
-def bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if fits(df, max_rows) else df
+def bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, key: tuple | None = None) -> DataFrame:
+    return F.broadcast(df) if fits(df, max_rows, key) else df

@@ -33,13 +33,15 @@ def panel_prices(lookup: DataFrame, name: str = PANEL_LOOKUP) -> DataFrame:
 
 
 def with_panel_lookups(fact: DataFrame, lookup: DataFrame, *,
-                       group_col="TestGroupName", panel_col="IsPanel") -> DataFrame:
+                       group_col="TestGroupName", panel_col="IsPanel",
+                       origin: str | None = None) -> DataFrame:
     """Left-join PanelCode and PanelPrice onto panel rows only."""
+    key = None if origin is None else (origin, "lookup")
     pc = broadcast.bounded(panel_codes(lookup).select(
-        ci("PanelName").alias("_pc_key"), "PanelCode"))
+        ci("PanelName").alias("_pc_key"), "PanelCode"), key=key)
     pp = broadcast.bounded(panel_prices(lookup).select(
         ci("PanelName").alias("_pp_key"),
-        parse_price("PanelPriceText").alias("PanelPrice")))
+        parse_price("PanelPriceText").alias("PanelPrice")), key=key)
     key = ci(group_col)
     out = fact.join(pc, (key == pc["_pc_key"]) & F.col(panel_col), "left")
     out = out.join(pp, (key == pp["_pp_key"]) & F.col(panel_col), "left")

@@ -27,8 +27,28 @@ from assaybook.operators.filters import billable_clients, ts, valid_results
 from assaybook.sources.tables import Sources
 
 
-def folder_dimension(src: Sources, *, billable_only: bool = True) -> DataFrame:
-    """One row per (folder, sample, client) with test-group/test attributes."""
+def check_dimensions(src: Sources, extra: dict | None = None) -> None:
+    """One size-check job for every table the plans may broadcast."""
+    o = src.origin
+    broadcast.check({
+        **{(o, k): v for k, v in (extra or {}).items()},
+        (o, "billable_clients"): billable_clients(src.clients),
+        (o, "clients"): src.clients,
+        (o, "groups"): src.groups,
+        (o, "tests"): src.tests,
+        (o, "price_intervals"): src.price_lists,
+        (o, "prices"): src.prices,
+        (o, "lookup"): src.lookup,
+    })
+
+
+def folder_dimension(src: Sources, *, billable_only: bool = True,
+                     clients: DataFrame | None = None,
+                     clients_key: str | None = None) -> DataFrame:
+    """One row per (folder, sample, client) with test-group/test attributes.
+
+    ``clients`` overrides the client table (already filtered); its size
+    verdict is remembered under ``clients_key``."""
     f = src.folders.select("FOLDERNO", ci("EXTERNAL_ID").alias("_sample_key"),
                            F.col("TESTGROUPNAME"))
     s = src.samples.select(
@@ -38,8 +58,10 @@ def folder_dimension(src: Sources, *, billable_only: bool = True) -> DataFrame:
         F.col("FIRST_NAME").alias("FirstName"), F.col("LAST_NAME").alias("LastName"),
         F.col("DATE_COLLECTED").alias("DateCollected"),
         F.col("SPEC_SOURCE").alias("SpecSource"), ci("RASCLIENTID").alias("_client_key"))
-    c = billable_clients(src.clients) if billable_only else src.clients
-    c = c.select(ci("RASCLIENTID").alias("_client_key"), "COMPNAME",
+    if clients is None:
+        clients = billable_clients(src.clients) if billable_only else src.clients
+        clients_key = "billable_clients" if billable_only else "clients"
+    c = clients.select(ci("RASCLIENTID").alias("_client_key"), "COMPNAME",
                  F.col("CATEGORY").alias("Category"), F.col("STATE").alias("State"),
                  F.col("CITY").alias("City"), F.col("ZIP").alias("Zip"),
                  F.col("PRICELISTID").alias("PriceListId"))
@@ -48,19 +70,23 @@ def folder_dimension(src: Sources, *, billable_only: bool = True) -> DataFrame:
     t = src.tests.select(ci("TESTNO").alias("_test_key"), F.col("TESTNO").alias("_testno"),
                          F.col("TESTCODE").alias("_group_testcode"),
                          F.col("LEGACY_TESTCODE").alias("_legacy_testcode"))
+    o = src.origin
     dim = (f.join(s, "_sample_key")
-           .join(broadcast.bounded(c), "_client_key")
+           .join(broadcast.bounded(c, key=(o, clients_key) if clients_key else None),
+                 "_client_key")
            .withColumn("_group_key", ci("TESTGROUPNAME"))
-           .join(broadcast.bounded(g), "_group_key", "left"))
-    tb = broadcast.bounded(t)
+           .join(broadcast.bounded(g, key=(o, "groups")), "_group_key", "left"))
+    tb = broadcast.bounded(t, key=(o, "tests"))
     # tests hang off the matched test-group row, not the folder's raw name
     dim = dim.join(tb, F.col("_group_hit") & (dim["_group_key"] == tb["_test_key"]), "left")
     return dim.drop("_sample_key", "_client_key", "_test_key", "_group_hit")
 
 
 def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
-               panel_rule: str = "either", per_test_version: bool = False) -> DataFrame:
+               panel_rule: str = "either", per_test_version: bool = False,
+               keep_pricing_code: bool = False) -> DataFrame:
     """Fact rows for results entered in ``[start, end)`` (unbounded if None)."""
+    check_dimensions(src)
     raw = src.results
     rows = valid_results(raw)
     if start is not None:
@@ -82,7 +108,7 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
               "TESTCODE", "_testno", "_group_testcode")))
     x = asof.asof_price(x, src.price_lists, src.prices, per_test=per_test_version,
                         list_col="PriceListId", time_col="DATEENTER",
-                        code_col="_pricing_code")
+                        code_col="_pricing_code", origin=src.origin)
     x = x.join(latest, "ORDNO", "left")
     load = (F.current_timestamp().cast("timestamp_ntz") if load_ts is None else ts(load_ts))
     return x.select(
@@ -99,6 +125,7 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
         F.when(F.col("IsPanel"), F.lit("PANEL")).otherwise(F.lit("TEST")).alias("PricingMethod"),
         "Category", "State", "City", "Zip", "LatestResultDate",
         load.alias("ETL_LoadDate"),
+        *([F.col("_pricing_code").alias("PricingCode")] if keep_pricing_code else []),
     )
 
 

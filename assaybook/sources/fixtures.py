@@ -8,16 +8,21 @@ source tables.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaybook.sources.tables import Sources
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet read, reused within a session (schema discovery reads footers)."""
+    key = (id(spark), sf_dir, name)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _READS[key]
 
 
 def _txt(c: Column) -> Column:
@@ -193,6 +198,17 @@ def load(spark: SparkSession, sf_dir: str) -> Sources:
     )
 
 
+_LOADED: dict[tuple, Sources] = {}
+
+
+def load_cached(spark: SparkSession, sf_dir: str) -> Sources:
+    """``load`` reused within a session (DataFrames are immutable plans)."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _LOADED:
+        _LOADED[key] = load(spark, sf_dir)
+    return _LOADED[key]
+
+
 def client_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two client snapshots for change capture: old lacks ids % 17 = 0 and has
     ZIP altered where id % 13 = 0; new lacks ids % 19 = 0."""
