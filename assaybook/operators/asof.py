@@ -60,7 +60,8 @@ def asof_version(rows: DataFrame, price_lists: DataFrame, *, list_col="PRICELIST
     if code_col:
         keyed = keyed.withColumn("_code", F.col(code_col))
     # interval rows <= version rows (per list) or version x code rows (per test)
-    size_key = None if origin is None else (origin, "prices" if code_col else "price_intervals")
+    size_key = None if origin is None else (origin, "price_intervals_by_code" if code_col
+                                            else "price_intervals")
     if broadcast.fits(iv, max_broadcast_rows, key=size_key):
         ivb = F.broadcast(iv)
         cond = [keyed[k] == ivb["_iv" + k] for k in key_cols]

@@ -1,7 +1,8 @@
 """Panel code and panel price lookups over the dual-row key/value table.
 
-Rows are either (code -> panel name) or (panel name -> price). The lookup is
-tiny but not guaranteed to be, so it goes through the bounded broadcast.
+Rows are either (code -> panel name) or (panel name -> price). The lookup
+is a small master table; it is broadcast only after its row bound is
+checked (``operators.broadcast``).
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ def with_panel_lookups(fact: DataFrame, lookup: DataFrame, *,
                        origin: str | None = None) -> DataFrame:
     """Left-join PanelCode and PanelPrice onto panel rows only."""
     key = None if origin is None else (origin, "lookup")
-    pc = broadcast.bounded(panel_codes(lookup).select(
-        ci("PanelName").alias("_pc_key"), "PanelCode"), key=key)
-    pp = broadcast.bounded(panel_prices(lookup).select(
-        ci("PanelName").alias("_pp_key"),
-        parse_price("PanelPriceText").alias("PanelPrice")), key=key)
+    pc = broadcast.bounded(
+        panel_codes(lookup).select(ci("PanelName").alias("_pc_key"), "PanelCode"), key=key)
+    pp = broadcast.bounded(
+        panel_prices(lookup).select(ci("PanelName").alias("_pp_key"),
+                                    parse_price("PanelPriceText").alias("PanelPrice")), key=key)
     key = ci(group_col)
     out = fact.join(pc, (key == pc["_pc_key"]) & F.col(panel_col), "left")
     out = out.join(pp, (key == pp["_pp_key"]) & F.col(panel_col), "left")

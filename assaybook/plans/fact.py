@@ -28,27 +28,30 @@ from assaybook.sources.tables import Sources
 
 
 def check_dimensions(src: Sources, extra: dict | None = None) -> None:
-    """One size-check job for every table the plans may broadcast."""
+    """One early-stopping size-check job for the master tables joined with a
+    broadcast hint: price lists (as-of range join), prices, test groups,
+    tests and the lookup. Their static size estimates can be far off when
+    they are derived (aggregates), and a shuffle join against the result
+    stream on a low-cardinality key (a test group) would be skewed, so their
+    row bound is proven once per source. Clients, folders and samples are
+    joined without hints: Spark's planner decides by size, AQE re-decides
+    on actual sizes and splits skewed partitions."""
     o = src.origin
     broadcast.check({
         **{(o, k): v for k, v in (extra or {}).items()},
-        (o, "billable_clients"): billable_clients(src.clients),
-        (o, "clients"): src.clients,
-        (o, "groups"): src.groups,
-        (o, "tests"): src.tests,
         (o, "price_intervals"): src.price_lists,
         (o, "prices"): src.prices,
+        (o, "groups"): src.groups,
+        (o, "tests"): src.tests,
         (o, "lookup"): src.lookup,
     })
 
 
 def folder_dimension(src: Sources, *, billable_only: bool = True,
-                     clients: DataFrame | None = None,
-                     clients_key: str | None = None) -> DataFrame:
+                     clients: DataFrame | None = None) -> DataFrame:
     """One row per (folder, sample, client) with test-group/test attributes.
 
-    ``clients`` overrides the client table (already filtered); its size
-    verdict is remembered under ``clients_key``."""
+    ``clients`` overrides the client table (already filtered)."""
     f = src.folders.select("FOLDERNO", ci("EXTERNAL_ID").alias("_sample_key"),
                            F.col("TESTGROUPNAME"))
     s = src.samples.select(
@@ -60,7 +63,6 @@ def folder_dimension(src: Sources, *, billable_only: bool = True,
         F.col("SPEC_SOURCE").alias("SpecSource"), ci("RASCLIENTID").alias("_client_key"))
     if clients is None:
         clients = billable_clients(src.clients) if billable_only else src.clients
-        clients_key = "billable_clients" if billable_only else "clients"
     c = clients.select(ci("RASCLIENTID").alias("_client_key"), "COMPNAME",
                  F.col("CATEGORY").alias("Category"), F.col("STATE").alias("State"),
                  F.col("CITY").alias("City"), F.col("ZIP").alias("Zip"),
@@ -72,8 +74,7 @@ def folder_dimension(src: Sources, *, billable_only: bool = True,
                          F.col("LEGACY_TESTCODE").alias("_legacy_testcode"))
     o = src.origin
     dim = (f.join(s, "_sample_key")
-           .join(broadcast.bounded(c, key=(o, clients_key) if clients_key else None),
-                 "_client_key")
+           .join(c, "_client_key")
            .withColumn("_group_key", ci("TESTGROUPNAME"))
            .join(broadcast.bounded(g, key=(o, "groups")), "_group_key", "left"))
     tb = broadcast.bounded(t, key=(o, "tests"))

@@ -41,12 +41,13 @@ def released_prices(src: Sources) -> DataFrame:
     pl = (src.price_lists.where(ci("STATUS") == "released")
           .select(ci("PRICELISTID").alias("_rl"), F.col("PRICELISTVERSION").alias("_rv")))
     p = src.prices.select(ci("PRICELISTID").alias("_pl"), "PRICELISTVERSION", "TESTCODE", "PRICE")
-    j = p.join(F.broadcast(pl), (p["_pl"] == pl["_rl"]) & (p["PRICELISTVERSION"] == pl["_rv"]))
+    j = p.join(pl, (p["_pl"] == pl["_rl"]) & (p["PRICELISTVERSION"] == pl["_rv"]))
     return (j.groupBy(F.col("_pl").alias("_lp_list"), F.col("TESTCODE").alias("_lp_code"))
             .agg(F.min("PRICE").alias("_released_price")))
 
 
 def _with_released_price(rows: DataFrame, src: Sources) -> DataFrame:
+    # at most one row per price row: the prices' row bound covers it
     rp = broadcast.bounded(released_prices(src), key=(src.origin, "prices"))
     cond = (ci(rows["PriceListId"]) == rp["_lp_list"]) & (rows["_pricing_code"] == rp["_lp_code"])
     return rows.join(rp, cond).drop("_lp_list", "_lp_code")
@@ -63,8 +64,7 @@ def special_samples(src: Sources, cal_date, cal_end) -> DataFrame:
                           & ~ci_in("NUMRES", codes.NO_RESULT_VALUES)
                           & (F.col("TESTCODE") == codes.SPECIAL_CLIENT_TESTCODE)
                           & ~F.col("TESTCODE").isin(codes.EXCLUDED_TESTCODES))
-    x = r.join(folder_dimension(src, clients=special_clients(src),
-                                clients_key="special_clients"), "FOLDERNO")
+    x = r.join(folder_dimension(src, clients=special_clients(src)), "FOLDERNO")
     x = x.withColumn("_pricing_code", codes.pricing_code("TESTCODE", "_testno", "_group_testcode"))
     x = _with_released_price(x, src)
     return x.select("ExternalId").distinct()
@@ -88,7 +88,7 @@ def legacy_rows(src: Sources, cal_date, cal_end) -> DataFrame:
 
 
 def legacy_report(src: Sources, cal_date, cal_end, *, pii: bool = True) -> DataFrame:
-    check_dimensions(src, {"special_clients": special_clients(src)})
+    check_dimensions(src)
     rows = legacy_rows(src, cal_date, cal_end)
     g = rows.groupBy("ORDNO", "COMPNAME").agg(
         F.min("BirthDate").alias("BIRTH_DATE"),

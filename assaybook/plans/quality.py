@@ -110,6 +110,7 @@ def boundary_results(fact: DataFrame, price_lists: DataFrame, since, origin: str
     """Results entered on a calendar day some price version started (J18)."""
     days = (price_lists.where(F.col("STARTDDATE").isNotNull())
             .select(F.to_date("STARTDDATE").alias("_day")).distinct())
+    # at most one row per version: the price-list row bound covers it
     days = broadcast.bounded(days, key=None if origin is None else (origin, "price_intervals"))
     f = fact.where(F.col("DateEnter") >= ts(since))
     return (f.join(days, F.to_date(f["DateEnter"]) == days["_day"], "left_semi")

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "assaybook") -> SparkSession:
+                  app: str = "assaybook", event_log_dir: str | None = None) -> SparkSession:
     """A local session tuned for the test/bench machine."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -28,6 +28,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
     )
+    if event_log_dir:
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", event_log_dir))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
