@@ -1,0 +1,73 @@
+import datetime as dt
+from decimal import Decimal as D
+
+from assaybook.operators import changes
+from assaybook.operators.panels import panel_price_book
+from assaybook.plans import report as report_plan
+from assaybook.sources import audit, sinks
+from conftest import T
+
+
+def test_csv_lines_quoting(spark):
+    df = spark.createDataFrame([("  lead", "a,b", 'say "hi"', "two\nlines", None, D("1.50"), T("1998-01-02"), 7)],
+                               "s1 string, s2 string, s3 string, s4 string, s5 string, p decimal(8,2), d timestamp_ntz, n int")
+    line = sinks.csv_lines(df).collect()[0].line
+    assert line == '  lead,"a,b","say ""hi""","two\nlines",,1.50,1998-01-02T00:00:00,7'
+    assert sinks.csv_header(df) == "s1,s2,s3,s4,s5,p,d,n"
+
+
+def test_json_records_keep_nulls(spark):
+    df = spark.createDataFrame([(None, D("150.00"), T("1998-01-02 03:04:05"), 401)],
+                               "a string, p decimal(8,2), d timestamp_ntz, n int")
+    assert sinks.json_records(df).collect()[0].json == \
+        '{"a":null,"p":"150.00","d":"1998-01-02T03:04:05","n":401}'
+
+
+def test_tabs_overlap_and_case(spark):
+    df = spark.createDataFrame([("VA Indianapolis x", "Clinical"), ("va indianapolis y", "Veterinary"),
+                                ("Other", "clinical")], "Facility string, Category string")
+    got = sorted((x.tab, x.Facility) for x in report_plan.tabs(df, dt.date(1998, 1, 1)).collect())
+    assert got == [("Clin Jan", "VA Indianapolis x"), ("Combo Billing", "Other"),
+                   ("Combo Billing", "VA Indianapolis x"), ("Combo Billing", "va indianapolis y"),
+                   ("VA Indy", "VA Indianapolis x"), ("Vet Jan", "va indianapolis y")]
+
+
+def test_write_csv_keeps_blanks(spark, tmp_path):
+    df = spark.createDataFrame([("  x  ", None, "", "ORD1")], "COMPNAME string, b string, c string, ORDNO string")
+    sinks.write_csv(df, str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*.csv")))
+    assert text.splitlines() == ["COMPNAME,b,c,ORDNO", "  x  ,,,ORD1"]
+
+
+def test_snapshot_diff(spark):
+    old = spark.createDataFrame([("1", "A", None), ("2", "B", "x"), ("3", "C", "y")], "k string, a string, b string")
+    new = spark.createDataFrame([("1", "A", None), ("2", "B<&", "x"), ("4", "D", "z")], "k string, a string, b string")
+    got = {x.k: (x.EVENT_TYPE, x.ROW_DATA) for x in changes.snapshot_diff(old, new, ["k"], "T").collect()}
+    assert set(got) == {"2", "3", "4"}                          # NULL == NULL: key 1 unchanged
+    assert got["3"][0] == "Delete" and got["4"][0] == "Create" and got["2"][0] == "Edit"
+    assert "<a>B&lt;&amp;</a>" in got["2"][1] and got["2"][1].startswith("<?xml version = '1.0'?>\r\n<ROWSET>")
+    assert "<b></b>" not in got["4"][1]
+    assert changes.changed_rows(new, old).count() == 2
+
+
+def test_panel_price_book(spark):
+    lk = spark.createDataFrame([("PanelPricing", "401", "Histo Panel"), ("PanelPricing", "Histo Panel", "150.00"),
+                                ("PanelPricing", "402", "Fungal panel")], "LOOKUP_NAME string, VALUE string, TEXT string")
+    got = [(x.PanelCode, x.PanelName, x.ExpectedPrice) for x in panel_price_book(lk).collect()]
+    assert got == [("401", "Histo Panel", "150.00")]
+
+
+def test_audit_append_and_query(spark, tmp_path):
+    d = str(tmp_path / "audit")
+    for i in range(3):
+        assert audit.audit_append(spark, d, user="u", year=1998, month=1, action="view", version="RWP",
+                                  filename="screen", row_count=i, status="success",
+                                  now=dt.datetime(2024, 1, 1 + i, 12, 0, 0))
+    rows = audit.audit_query(audit.read_audit(spark, d), "2024-01").collect()
+    assert [x.RowCount for x in rows] == [2, 1, 0]             # newest first
+    assert rows[0].RowKey < rows[1].RowKey                     # reverse ticks sort newest first
+    import pytest
+    with pytest.raises(ValueError):
+        audit.audit_query(audit.read_audit(spark, d), "2024-1")
+    assert audit.audit_append(spark, "/proc/forbidden/audit", user="u", year=1, month=1, action="x",
+                              version="v", filename="f", row_count=0, status="s") is False
