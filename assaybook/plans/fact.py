@@ -95,7 +95,9 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
     if end is not None:
         rows = rows.where(F.col("DATEENTER") < ts(end))
     # Latest entry per order: any order in the fact has a result >= start, so
-    # results before start cannot be its latest — the scan may skip them.
+    # results before start cannot be its latest — that scan skips them.
+    # Pending folders need every result (a pending result may be older), but
+    # only two columns and a selective status filter.
     latest_in = raw if start is None else raw.where(F.col("DATEENTER") >= ts(start))
     latest = flags.latest_result(latest_in, src.folders)
     pending = flags.pending_folders(raw).withColumn("_pending", F.lit(True))

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaybook.functions import codes
-from assaybook.functions.text import ci, ci_contains, ci_in, ci_startswith
+from assaybook.functions.text import ci, ci_contains, ci_in, ci_ne, ci_startswith
 from assaybook.operators import broadcast, flags
-from assaybook.operators.filters import in_window, valid_results
+from assaybook.operators.filters import billable_client, in_window
 from assaybook.operators.panels import legacy_lookup_by_text, legacy_lookup_by_value
 from assaybook.plans.fact import check_dimensions, folder_dimension
 from assaybook.sources.tables import Sources
@@ -53,32 +53,27 @@ def _with_released_price(rows: DataFrame, src: Sources) -> DataFrame:
     return rows.join(rp, cond).drop("_lp_list", "_lp_code")
 
 
+def special_client_rows(compname="COMPNAME") -> "F.Column":
+    return (~ci_in(compname, SPECIAL_SET_EXCLUDED)
+            & ci_startswith(compname, codes.SPECIAL_CLIENT_PREFIX))
+
+
 def special_clients(src: Sources) -> DataFrame:
-    return src.clients.where(~ci_in("COMPNAME", SPECIAL_SET_EXCLUDED)
-                             & ci_startswith("COMPNAME", codes.SPECIAL_CLIENT_PREFIX))
+    return src.clients.where(special_client_rows())
 
 
-def special_samples(src: Sources, cal_date, cal_end) -> DataFrame:
-    """Distinct sample keys of the special client in the window (J14)."""
+def _base_rows(src: Sources, cal_date, cal_end) -> DataFrame:
+    """Window results with a real result and a billable code, joined to
+    folder/sample/any client/test group/test, priced at a released version.
+    Both the report rows and the special-client samples come from here, so
+    the results are scanned and shuffled once for both."""
     r = src.results.where(in_window("DATEENTER", cal_date, cal_end)
                           & ~ci_in("NUMRES", codes.NO_RESULT_VALUES)
-                          & (F.col("TESTCODE") == codes.SPECIAL_CLIENT_TESTCODE)
                           & ~F.col("TESTCODE").isin(codes.EXCLUDED_TESTCODES))
-    x = r.join(folder_dimension(src, clients=special_clients(src)), "FOLDERNO")
-    x = x.withColumn("_pricing_code", codes.pricing_code("TESTCODE", "_testno", "_group_testcode"))
-    x = _with_released_price(x, src)
-    return x.select("ExternalId").distinct()
-
-
-def legacy_rows(src: Sources, cal_date, cal_end) -> DataFrame:
-    """Result rows entering the legacy aggregate."""
-    r = valid_results(src.results).where(in_window("DATEENTER", cal_date, cal_end))
-    r = flags.drop_pending_folders(r, src.results)
-    r = flags.drop_orders_with_later_results(r, src.results, src.folders, cal_end)
     o = src.origin
     md = broadcast.bounded(legacy_lookup_by_value(src.lookup), key=(o, "lookup"))
     nd = broadcast.bounded(legacy_lookup_by_text(src.lookup), key=(o, "lookup"))
-    fd = folder_dimension(src).withColumn("_gk", ci("TESTGROUPNAME"))
+    fd = folder_dimension(src, billable_only=False).withColumn("_gk", ci("TESTGROUPNAME"))
     fd = (fd.join(md, fd["_gk"] == md["_md_key"], "left")
             .join(nd, fd["_gk"] == nd["_nd_key"], "left")
             .drop("_gk", "_md_key", "_nd_key"))
@@ -87,9 +82,32 @@ def legacy_rows(src: Sources, cal_date, cal_end) -> DataFrame:
     return _with_released_price(x, src)
 
 
+def special_samples_from(base: DataFrame) -> DataFrame:
+    """Distinct samples of the special client (J14): no status, category,
+    pending or later-result rule applies to this set."""
+    return (base.where(special_client_rows() & (F.col("TESTCODE") == codes.SPECIAL_CLIENT_TESTCODE))
+            .select("ExternalId").distinct())
+
+
+def special_samples(src: Sources, cal_date, cal_end) -> DataFrame:
+    check_dimensions(src)
+    return special_samples_from(_base_rows(src, cal_date, cal_end))
+
+
+def legacy_rows(src: Sources, cal_date, cal_end, base: DataFrame | None = None) -> DataFrame:
+    """Result rows entering the legacy aggregate. The pending anti-join runs
+    right after the FOLDERNO join (same partitioning), the later-results
+    anti-join shuffles on ORDNO, which the (ORDNO, COMPNAME) aggregate reuses."""
+    base = _base_rows(src, cal_date, cal_end) if base is None else base
+    x = base.where(ci_ne("S", codes.CANCEL) & billable_client("COMPNAME", "Category"))
+    x = flags.drop_pending_folders(x, src.results)
+    return flags.drop_orders_with_later_results(x, src.results, src.folders, cal_end)
+
+
 def legacy_report(src: Sources, cal_date, cal_end, *, pii: bool = True) -> DataFrame:
     check_dimensions(src)
-    rows = legacy_rows(src, cal_date, cal_end)
+    base = _base_rows(src, cal_date, cal_end)
+    rows = legacy_rows(src, cal_date, cal_end, base)
     g = rows.groupBy("ORDNO", "COMPNAME").agg(
         F.min("BirthDate").alias("BIRTH_DATE"),
         F.min("ClientSampleId").alias("CLIENT_SAMPLE_ID"),
@@ -120,6 +138,6 @@ def legacy_report(src: Sources, cal_date, cal_end, *, pii: bool = True) -> DataF
         "LAST_NAME", "SPEC_SOURCE", testcode.alias("TESTCODE"), "CATEGORY", "COMPNAME",
         "DATEENTER", "FINAL", "NUMRES", "RN2", price.alias("PRICE"), "PRICELISTID", "ORDNO",
         "STATE", "CITY", "ZIP", cancel.alias("CANCEL_STATUS"))
-    sk = special_samples(src, cal_date, cal_end).select(ci("ExternalId").alias("_sk")).distinct()
+    sk = special_samples_from(base).select(ci("ExternalId").alias("_sk")).distinct()
     out = out.join(sk, ci(out["EXTERNAL_ID"]) == sk["_sk"], "left_anti")
     return out if pii else out.drop(*PII_COLUMNS)
