@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,12 +56,18 @@ def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *
     return read
 
 
-def fixture_reader(src: Sources) -> Reader:
+def fixture_reader(src: Sources, results_partitions: int | None = None) -> Reader:
+    """Reader over in-memory/test tables. ``results_partitions`` mimics the
+    JDBC extract's ORIGREC range split (one output file per range)."""
     tables = as_dict(src)
 
     def read(table: str, where: str | None = None) -> DataFrame:
         df = tables[table].select(*EXTRACT_COLUMNS[table])
-        return df.where(F.expr(where)) if where else df
+        if where:
+            df = df.where(F.expr(where))
+        if table == "RESULTS" and results_partitions:
+            df = df.repartitionByRange(results_partitions, "ORIGREC")
+        return df
 
     return read
 
@@ -87,6 +94,14 @@ def stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
-def stage_all(tables: dict[str, DataFrame], staging_dir: str) -> None:
-    for name, df in tables.items():
-        stage(df, f"{staging_dir}/{name}")
+def stage_all(tables: dict[str, DataFrame], staging_dir: str, parallel: int = 9) -> None:
+    """Stage every table; the copies are independent, so their jobs are
+    submitted concurrently and Spark interleaves their tasks."""
+    if parallel <= 1:
+        for name, df in tables.items():
+            stage(df, f"{staging_dir}/{name}")
+        return
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        futures = [pool.submit(stage, df, f"{staging_dir}/{name}") for name, df in tables.items()]
+        for f in futures:
+            f.result()

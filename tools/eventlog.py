@@ -33,7 +33,8 @@ def main():
     for e in lines(path):
         ev = e["Event"]
         if ev == "SparkListenerJobStart":
-            jobs[e["Job ID"]] = [e["Submission Time"], None, len(e["Stage Infos"])]
+            jobs[e["Job ID"]] = [e["Submission Time"], None, len(e["Stage Infos"]),
+                                 [si["Stage ID"] for si in e["Stage Infos"]]]
         elif ev == "SparkListenerJobEnd":
             jobs[e["Job ID"]][1] = e["Completion Time"]
         elif ev == "SparkListenerStageCompleted":
@@ -43,8 +44,11 @@ def main():
     if not jobs:
         return
     t0 = min(v[0] for v in jobs.values())
-    for j, (s, en, n) in sorted(jobs.items()):
-        print(f"job {j:4d} at {(s - t0) / 1000:7.2f}s took {((en or s) - s) / 1000:6.2f}s stages={n}")
+    for j, (s, en, n, ids) in sorted(jobs.items()):
+        ran = [(stages[i][2], i, stages[i][1]) for i in ids if i in stages]
+        slow = max(ran) if ran else (0, -1, 0)
+        print(f"job {j:4d} at {(s - t0) / 1000:7.2f}s took {((en or s) - s) / 1000:6.2f}s "
+              f"stages={n} ran={len(ran)} slowest=stage {slow[1]} ({slow[2]} tasks, {slow[0]}ms)")
     for k, v in sorted(stages.items()):
         if v[2] >= min_ms:
             print(f"  stage {k:4d} tasks={v[1]:4d} {v[2]:6d}ms {v[0]}")
