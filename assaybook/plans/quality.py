@@ -43,6 +43,12 @@ def reconcile_price(old: DataFrame, new: DataFrame) -> DataFrame:
         .where(F.col("STATUS").isNotNull()))
 
 
+def largest_differences_first(diffs: DataFrame) -> DataFrame:
+    """O3: the reconciliation listing ordered by |price difference|, largest
+    first (a global sort, applied only where the listing is written)."""
+    return diffs.orderBy(F.col("PRICE_DIFF").desc(), F.col("ORDNO"), F.col("COMPNAME"))
+
+
 def reconcile_columns(old: DataFrame, new: DataFrame) -> DataFrame:
     """Orders in both reports whose test code or cancel status differ (J16).
     Cancel statuses compare blank-insensitively (' ' equals '')."""

@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The source job is a nightly batch (one trigger a day) with no watermark or
+state: late results are handled by rebuilding the prior and current year on
+every run (``assaybook.sources.store.reload_window``). Nothing here on
+purpose; see README, "Not built".
+"""
