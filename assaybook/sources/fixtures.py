@@ -17,9 +17,17 @@ from assaybook.sources.tables import Sources
 _READS: dict[tuple, DataFrame] = {}
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    """Identity of a live session (a bare id() can be reused after GC)."""
+    try:
+        return (spark.sparkContext.applicationId, id(spark))
+    except Exception:  # sessions without a local SparkContext
+        return (id(spark),)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet read, reused within a session (schema discovery reads footers)."""
-    key = (id(spark), sf_dir, name)
+    key = (_session_key(spark), sf_dir, name)
     if key not in _READS:
         _READS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _READS[key]
@@ -203,7 +211,7 @@ _LOADED: dict[tuple, Sources] = {}
 
 def load_cached(spark: SparkSession, sf_dir: str) -> Sources:
     """``load`` reused within a session (DataFrames are immutable plans)."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (_session_key(spark), sf_dir.rstrip("/"))
     if key not in _LOADED:
         _LOADED[key] = load(spark, sf_dir)
     return _LOADED[key]
