@@ -14,8 +14,11 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "assaybook", event_log_dir: str | None = None) -> SparkSession:
-    """A local session tuned for the test/bench machine."""
+                  app: str = "assaybook", event_log_dir: str | None = None,
+                  advisory_partition_size: str = "8m") -> SparkSession:
+    """A local session tuned for the test/bench machine (a few cores, small
+    data): AQE aims at 8 MB partitions so small outputs still use every core.
+    A cluster sets its own (see README, suggested confs)."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -25,6 +28,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory_partition_size)
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
     )

@@ -25,8 +25,13 @@ EXTRACT_COLUMNS = {name: [f.name for f in st.fields] for name, st in schemas.SOU
 LOOKUP_FILTER = "LOOKUP_NAME = 'PanelPricing'"
 
 
+# Large and medium tables are read as parallel range scans on an integer key.
+SPLIT_COLUMNS = {"RESULTS": "ORIGREC", "FOLDERS": "FOLDERNO", "CENTRALRECEIVING": "ORIGREC"}
+
+
 def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *,
-                results_partitions: int = 64, fetchsize: int = 10_000) -> Reader:
+                results_partitions: int = 64, medium_partitions: int = 16,
+                fetchsize: int = 10_000) -> Reader:
     """Reader over a SQL Server style JDBC source, read-uncommitted."""
     props = dict(properties or {})
 
@@ -40,33 +45,37 @@ def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *
 
     def read(table: str, where: str | None = None) -> DataFrame:
         cols = ", ".join(EXTRACT_COLUMNS[table])
-        if table == "RESULTS":
-            # parallel range reads on ORIGREC; bounds from one small query
+        split = SPLIT_COLUMNS.get(table)
+        if split:
+            # parallel range reads on the split key; bounds from one small query
             cond = f" WHERE {where}" if where else ""
-            b = (base().option("query", f"SELECT MIN(ORIGREC) AS lo, MAX(ORIGREC) AS hi "
-                                        f"FROM RESULTS{cond}").load().first())
+            b = (base().option("query", f"SELECT MIN({split}) AS lo, MAX({split}) AS hi "
+                                        f"FROM {table}{cond}").load().first())
             lo, hi = (b["lo"] or 0), (b["hi"] or 0)
-            return (base().option("dbtable", f"(SELECT {cols} FROM RESULTS{cond}) r")
-                    .option("partitionColumn", "ORIGREC").option("lowerBound", lo)
+            n = results_partitions if table == "RESULTS" else medium_partitions
+            return (base().option("dbtable", f"(SELECT {cols} FROM {table}{cond}) t")
+                    .option("partitionColumn", split).option("lowerBound", lo)
                     .option("upperBound", hi + 1)
-                    .option("numPartitions", results_partitions).load())
+                    .option("numPartitions", n).load())
         q = f"SELECT {cols} FROM {table}" + (f" WHERE {where}" if where else "")
         return base().option("query", q).load()
 
     return read
 
 
-def fixture_reader(src: Sources, results_partitions: int | None = None) -> Reader:
-    """Reader over in-memory/test tables. ``results_partitions`` mimics the
-    JDBC extract's ORIGREC range split (one output file per range)."""
+def fixture_reader(src: Sources, results_partitions: int | None = None,
+                   medium_partitions: int | None = None) -> Reader:
+    """Reader over in-memory/test tables. The partition counts mimic the JDBC
+    extract's range split on ``SPLIT_COLUMNS`` (one output file per range)."""
     tables = as_dict(src)
 
     def read(table: str, where: str | None = None) -> DataFrame:
         df = tables[table].select(*EXTRACT_COLUMNS[table])
         if where:
             df = df.where(F.expr(where))
-        if table == "RESULTS" and results_partitions:
-            df = df.repartitionByRange(results_partitions, "ORIGREC")
+        n = results_partitions if table == "RESULTS" else medium_partitions
+        if table in SPLIT_COLUMNS and n:
+            df = df.repartitionByRange(n, SPLIT_COLUMNS[table])
         return df
 
     return read

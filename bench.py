@@ -87,7 +87,8 @@ def main():
 
     n_files = 2 * (int(cpus) if cpus.isdigit() else 8)
     timed("extract_stage", lambda: extract.stage_all(extract.extract_all(
-        extract.fixture_reader(fixtures.load_cached(spark, sf_dir), results_partitions=n_files)),
+        extract.fixture_reader(fixtures.load_cached(spark, sf_dir), results_partitions=n_files,
+                               medium_partitions=n_files // 2)),
         staging_dir))
     src = read_staged(spark, staging_dir)
 
