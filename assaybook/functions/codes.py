@@ -74,10 +74,14 @@ def resolved_testcode(source_code, testno, group_testcode, legacy_testcode) -> C
                   remap_code(source_code)).otherwise(parse_int(legacy_testcode))
 
 
-def pricing_code(source_code, testno, group_testcode) -> Column:
-    """Code used to look up the price: source code, or the group's test code."""
+def pricing_code(source_code, testno, group_testcode, legacy_testcode=None,
+                 rule: str = "test") -> Column:
+    """Code used to look up the price: the source code when the group has no
+    usable test, else the group's test code (``rule='test'``, the legacy
+    report's form) or its legacy code (``rule='legacy'``)."""
+    group_code = legacy_testcode if rule == "legacy" and legacy_testcode is not None else group_testcode
     return F.when(no_usable_group_test(testno, group_testcode),
-                  col_(source_code).cast("int")).otherwise(parse_int(group_testcode))
+                  col_(source_code).cast("int")).otherwise(parse_int(group_code))
 
 
 def cancel_status(status: str | Column, rn3: str | Column, blank: str = "") -> Column:

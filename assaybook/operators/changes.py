@@ -23,22 +23,37 @@ def xml_escape(c: Column) -> Column:
     return out
 
 
-def row_xml(cols, prefix: str) -> Column:
+def _text(c: Column, is_time: bool, utc_offset_hours: int) -> Column:
+    """Column value as text; timestamps as 'yyyy-MM-dd HH:mm:ss.SSS' followed
+    by the UTC offset in hours and ':00'."""
+    if is_time:
+        return F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS"),
+                        F.lit(f"{utc_offset_hours}:00"))
+    return c.cast("string")
+
+
+def row_xml(cols, prefix: str, time_cols=(), utc_offset_hours: int = 0) -> Column:
     """``<?xml …?><ROWSET><ROW><COL>value</COL>…</ROW></ROWSET>`` with CRLF
     line ends, columns in name order, NULL as empty content."""
     parts = [F.lit(f"<?xml version = '1.0'?>{CRLF}<ROWSET>{CRLF} <ROW>{CRLF}")]
     for c in sorted(cols):
-        v = F.coalesce(xml_escape(F.col(f"{prefix}{c}").cast("string")), F.lit(""))
+        raw = _text(F.col(f"{prefix}{c}"), c in time_cols, utc_offset_hours)
+        v = F.coalesce(xml_escape(raw), F.lit(""))
         parts += [F.lit(f"  <{c}>"), v, F.lit(f"</{c}>{CRLF}")]
     parts.append(F.lit(f" </ROW>{CRLF}</ROWSET>{CRLF}"))
     return F.concat(*parts)
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, keys, table: str,
-                  cols=None) -> DataFrame:
-    """(keys…, TABLENAME, EVENT_TYPE, EVENTCODE, ROW_DATA) per changed key."""
+def snapshot_diff(old: DataFrame, new: DataFrame, keys, table: str, cols=None, *,
+                  utc_offset_hours: int = 0, audit: dict | None = None) -> DataFrame:
+    """(keys…, TABLENAME, EVENT_TYPE, EVENTCODE, ROW_DATA) per changed key.
+
+    ``audit`` adds the trail's job-level columns: DB_USER, APP_NAME,
+    APP_USERNAME, AUDIT_DT (a timestamp) and AUDIT_DT_OFFSET (minutes)."""
     keys = list(keys)
     cols = list(cols or [c for c in new.columns])
+    time_cols = {f.name for f in new.schema.fields
+                 if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date")}
     o = old.select(*[F.col(c).alias(f"_o_{c}") for c in cols], F.lit(True).alias("_in_old"))
     n = new.select(*[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_new"))
     cond = None
@@ -51,8 +66,17 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys, table: str,
     event = (F.when(F.col("_in_new").isNull(), F.lit("Delete"))
              .when(F.col("_in_old").isNull(), F.lit("Create"))
              .when(~same, F.lit("Edit")))
-    data = F.when(F.col("_in_new").isNull(), row_xml(cols, "_o_")).otherwise(row_xml(cols, "_n_"))
-    return (j.select(*[F.coalesce(f"_n_{k}", f"_o_{k}").alias(k) for k in keys],
+    data = F.when(F.col("_in_new").isNull(),
+                  row_xml(cols, "_o_", time_cols, utc_offset_hours)).otherwise(
+                  row_xml(cols, "_n_", time_cols, utc_offset_hours))
+    extra = []
+    if audit is not None:
+        extra = [F.lit(audit.get("user")).cast("string").alias("DB_USER"),
+                 F.lit(audit.get("app", "SQLSERVER")).cast("string").alias("APP_NAME"),
+                 F.lit(audit.get("user")).cast("string").alias("APP_USERNAME"),
+                 F.lit(audit.get("at")).cast("timestamp_ntz").alias("AUDIT_DT"),
+                 F.lit(int(utc_offset_hours) * 60).alias("AUDIT_DT_OFFSET")]
+    return (j.select(*[F.coalesce(f"_n_{k}", f"_o_{k}").alias(k) for k in keys], *extra,
                      F.lit(table).alias("TABLENAME"), event.alias("EVENT_TYPE"),
                      F.lit("N/A").alias("EVENTCODE"), data.alias("ROW_DATA"))
             .where(F.col("EVENT_TYPE").isNotNull()))

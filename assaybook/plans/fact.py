@@ -85,8 +85,13 @@ def folder_dimension(src: Sources, *, billable_only: bool = True,
 
 def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
                panel_rule: str = "either", per_test_version: bool = False,
-               keep_pricing_code: bool = False) -> DataFrame:
-    """Fact rows for results entered in ``[start, end)`` (unbounded if None)."""
+               price_code_rule: str = "test", keep_pricing_code: bool = False) -> DataFrame:
+    """Fact rows for results entered in ``[start, end)`` (unbounded if None).
+
+    Options (SURVEY decisions): ``panel_rule`` 'either' | 'flag' | 'name';
+    ``per_test_version`` picks the latest version pricing the row's code;
+    ``price_code_rule`` 'test' | 'legacy' picks the group code used for the
+    price lookup."""
     check_dimensions(src)
     raw = src.results
     rows = valid_results(raw)
@@ -108,7 +113,7 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
           .withColumn("ResolvedTestCode", codes.resolved_testcode(
               "TESTCODE", "_testno", "_group_testcode", "_legacy_testcode"))
           .withColumn("_pricing_code", codes.pricing_code(
-              "TESTCODE", "_testno", "_group_testcode")))
+              "TESTCODE", "_testno", "_group_testcode", "_legacy_testcode", price_code_rule)))
     x = asof.asof_price(x, src.price_lists, src.prices, per_test=per_test_version,
                         list_col="PriceListId", time_col="DATEENTER",
                         code_col="_pricing_code", origin=src.origin)

@@ -64,10 +64,10 @@ def sort_report(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col(name), F.col("ORDNO"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, sort: bool = True) -> None:
     """CSV files with a header via Spark's writer, configured to keep blanks
     and write NULL and '' as nothing."""
-    (sort_report(df).write.mode("overwrite")
+    ((sort_report(df) if sort else df).write.mode("overwrite")
      .option("header", True).option("quote", '"').option("escape", '"')
      .option("nullValue", "").option("emptyValue", "")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -76,8 +76,8 @@ def write_csv(df: DataFrame, path: str) -> None:
      .csv(path))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    sort_report(df).transform(json_records).write.mode("overwrite").text(path)
+def write_json(df: DataFrame, path: str, sort: bool = True) -> None:
+    (sort_report(df) if sort else df).transform(json_records).write.mode("overwrite").text(path)
 
 
 def write_tabs(tabbed: DataFrame, path: str) -> None:
