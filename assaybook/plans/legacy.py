@@ -138,7 +138,8 @@ def legacy_report(src: Sources, cal_date, cal_end, *, pii: bool = True) -> DataF
         "LAST_NAME", "SPEC_SOURCE", testcode.alias("TESTCODE"), "CATEGORY", "COMPNAME",
         "DATEENTER", "FINAL", "NUMRES", "RN2", price.alias("PRICE"), "PRICELISTID", "ORDNO",
         "STATE", "CITY", "ZIP", cancel.alias("CANCEL_STATUS"))
-    # data-dependent set: size proven per call, broadcast only under the bound
-    sk = broadcast.bounded(special_samples_from(base).select(ci("ExternalId").alias("_sk")).distinct())
+    # The anti-join runs on aggregated rows (one per order), so a shuffle
+    # anti-join is cheap; no size proof (it would rerun the folder join).
+    sk = special_samples_from(base).select(ci("ExternalId").alias("_sk")).distinct()
     out = out.join(sk, ci(out["EXTERNAL_ID"]) == sk["_sk"], "left_anti")
     return out if pii else out.drop(*PII_COLUMNS)

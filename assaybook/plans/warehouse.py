@@ -29,5 +29,5 @@ def materialized_fact(spark: SparkSession, src: Sources, **fact_opts) -> DataFra
     """Read the stored fact for ``src``, building it first if absent."""
     path = fact_location(spark, src)
     if not store.path_exists(spark, f"{path}/_SUCCESS"):
-        store.publish(spark, build_fact(src, **fact_opts), path)
+        store.publish(spark, build_fact(src, **fact_opts), path, replace=False)
     return store.read_fact(spark, path)

@@ -53,12 +53,14 @@ def _write_partitioned(df: DataFrame, path: str, max_records_per_file: int) -> i
 
 
 def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
-            allow_empty: bool = False, max_records_per_file: int = 5_000_000) -> int:
+            allow_empty: bool = False, max_records_per_file: int = 5_000_000,
+            replace: bool = True) -> int:
     """Write ``df`` and publish it into ``fact_dir``.
 
     ``years=None`` replaces the whole table; otherwise exactly those
     ``year=YYYY`` folders are replaced (a year without rows is cleared).
-    Returns the number of rows written."""
+    ``replace=False`` (whole table only) keeps a complete table another run
+    published meanwhile and discards this copy. Returns the rows written."""
     fact_dir = fact_dir.rstrip("/")
     staging = f"{fact_dir}__staging_{uuid.uuid4().hex[:12]}"
     n = _write_partitioned(df, staging, max_records_per_file)
@@ -68,6 +70,9 @@ def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
         fs.delete(Path(staging), True)
         raise EmptyOutputError(f"transform produced 0 rows; {fact_dir} left unchanged")
     if years is None:
+        if not replace and fs.exists(Path(f"{fact_dir}/_SUCCESS")):
+            fs.delete(Path(staging), True)
+            return n
         fs.delete(Path(fact_dir), True)
         fs.rename(Path(staging), Path(fact_dir))
         return n
