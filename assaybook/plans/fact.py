@@ -3,8 +3,8 @@ in force when it was entered (the job the nightly pipeline runs).
 
 Plan shape (one lazy DataFrame; Catalyst prunes and pushes filters):
 
-  folder dimension   folders ⋈ samples (EXTERNAL_ID)  ⋈ billable clients (broadcast,
-                     bounded) ⟕ test groups ⟕ tests (broadcast, bounded)
+  folder dimension   folders ⋈ samples (EXTERNAL_ID) ⋈ billable clients (planner
+                     decides by size) ⟕ test groups ⟕ tests (broadcast, bounded)
   result rows        valid results ⋈ folder dimension (FOLDERNO)
                      ⟕ pending folders (FOLDERNO; same partitioning, no re-shuffle)
                      → as-of version + price (broadcast, bounded)
