@@ -46,5 +46,11 @@ def check(candidates: dict[tuple, DataFrame], max_rows: int = DEFAULT_MAX_ROWS)
         _VERDICTS[k] = counts.get(i, 0) <= max_rows
 
 
+def record(key: tuple, rows: int, max_rows: int = DEFAULT_MAX_ROWS) -> None:
+    """Register a row count already proven elsewhere (e.g. counted while the
+    table was written), so no size-check job is needed for ``key``."""
+    _VERDICTS[key] = int(rows) <= max_rows
+
+
 def bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, key: tuple | None = None) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows, key) else df

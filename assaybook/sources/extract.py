@@ -11,10 +11,11 @@ import datetime as dt
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from assaybook import schemas
+from assaybook.operators import broadcast
 from assaybook.operators.filters import ts
 from assaybook.sources.tables import Sources, as_dict
 
@@ -99,18 +100,32 @@ def extract_all(read: Reader, rolling_start: dt.date | None = None) -> dict[str,
     return out
 
 
-def stage(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+def stage(df: DataFrame, path: str) -> int:
+    """Write one staged table; returns its row count, observed by the write."""
+    obs = Observation(f"stage:{path}")
+    (df.observe(obs, F.count(F.lit(1)).alias("rows"))
+       .write.mode("overwrite").option("compression", "snappy").parquet(path))
+    return int(obs.get["rows"])
 
 
-def stage_all(tables: dict[str, DataFrame], staging_dir: str, parallel: int = 9) -> None:
+# staged table -> size-check key of the plans (see plans.fact.check_dimensions)
+BOUND_KEYS = {"RASPRICELIST": "price_intervals", "RASTESTPRICES": "prices",
+              "TESTGROUPNAMES": "groups", "TESTS": "tests", "METADATA_LOOKUP_VALUES": "lookup"}
+
+
+def stage_all(tables: dict[str, DataFrame], staging_dir: str, parallel: int = 9) -> dict[str, int]:
     """Stage every table; the copies are independent, so their jobs are
-    submitted concurrently and Spark interleaves their tasks."""
+    submitted concurrently and Spark interleaves their tasks. The row counts
+    observed on the way are recorded as proven broadcast bounds for the
+    staged source, so reading it back needs no size-check job."""
     if parallel <= 1:
-        for name, df in tables.items():
-            stage(df, f"{staging_dir}/{name}")
-        return
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        futures = [pool.submit(stage, df, f"{staging_dir}/{name}") for name, df in tables.items()]
-        for f in futures:
-            f.result()
+        counts = {name: stage(df, f"{staging_dir}/{name}") for name, df in tables.items()}
+    else:
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            futures = {name: pool.submit(stage, df, f"{staging_dir}/{name}")
+                       for name, df in tables.items()}
+            counts = {name: f.result() for name, f in futures.items()}
+    for name, key in BOUND_KEYS.items():
+        if name in counts:
+            broadcast.record((staging_dir, key), counts[name])
+    return counts
