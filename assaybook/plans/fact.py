@@ -85,13 +85,15 @@ def folder_dimension(src: Sources, *, billable_only: bool = True,
 
 def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
                panel_rule: str = "either", per_test_version: bool = False,
-               price_code_rule: str = "test", keep_pricing_code: bool = False) -> DataFrame:
+               price_code_rule: str = "test", keep_pricing_code: bool = False,
+               pending_results: DataFrame | None = None) -> DataFrame:
     """Fact rows for results entered in ``[start, end)`` (unbounded if None).
 
     Options (SURVEY decisions): ``panel_rule`` 'either' | 'flag' | 'name';
     ``per_test_version`` picks the latest version pricing the row's code;
     ``price_code_rule`` 'test' | 'legacy' picks the group code used for the
-    price lookup."""
+    price lookup. ``pending_results`` (FOLDERNO, S) replaces the results as
+    the source of the pending flag when those cover only a rolling window."""
     check_dimensions(src)
     raw = src.results
     rows = valid_results(raw)
@@ -105,7 +107,8 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
     # only two columns and a selective status filter.
     latest_in = raw if start is None else raw.where(F.col("DATEENTER") >= ts(start))
     latest = flags.latest_result(latest_in, src.folders)
-    pending = flags.pending_folders(raw).withColumn("_pending", F.lit(True))
+    pending = (flags.pending_folders(raw if pending_results is None else pending_results)
+               .withColumn("_pending", F.lit(True)))
 
     x = (rows.join(folder_dimension(src), "FOLDERNO")
          .join(pending, "FOLDERNO", "left"))

@@ -20,11 +20,18 @@ log = logging.getLogger("assaybook.jobs")
 
 def nightly_build(spark: SparkSession, read: extract.Reader, staging_dir: str, fact_dir: str,
                   now: dt.date | None = None, **fact_opts) -> int:
-    """Extract (RESULTS from Jan 1 of the prior year, other tables whole),
-    stage, then rebuild the prior and current year of the fact."""
+    """Extract (RESULTS from Jan 1 of the prior year, other tables whole, plus
+    the pending-status rows of all history), stage, then rebuild the prior
+    and current year of the fact. Latest-result needs no older rows: an
+    order's later results are always inside the window."""
     now = now or dt.datetime.now(dt.timezone.utc).date()
-    extract.stage_all(extract.extract_all(read, store.rolling_start(now)), staging_dir)
-    return store.reload_window(spark, read_staged(spark, staging_dir), fact_dir, now, **fact_opts)
+    tables = extract.extract_all(read, store.rolling_start(now))
+    tables[extract.PENDING_TABLE] = extract.extract_pending(read)
+    extract.stage_all(tables, staging_dir)
+    pending = spark.read.schema("FOLDERNO long, S string").parquet(
+        f"{staging_dir}/{extract.PENDING_TABLE}")
+    return store.reload_window(spark, read_staged(spark, staging_dir), fact_dir, now,
+                               pending_results=pending, **fact_opts)
 
 
 def backfill_years(spark: SparkSession, read: extract.Reader, staging_dir: str, fact_dir: str,

@@ -88,6 +88,17 @@ def extract_results(read: Reader, start: dt.date | None = None) -> DataFrame:
     return df if start is None else df.where(F.col("DATEENTER") >= ts(start))
 
 
+PENDING_FILTER = "S IN ('Logged', 'Draft')"
+PENDING_TABLE = "RESULTS_PENDING"
+
+
+def extract_pending(read: Reader) -> DataFrame:
+    """(FOLDERNO, S) of every pending-status result, all history: the pending
+    flag needs results older than the rolling window, but only these rows.
+    The status filter is pushed to the source."""
+    return read("RESULTS", PENDING_FILTER).select("FOLDERNO", "S")
+
+
 def extract_all(read: Reader, rolling_start: dt.date | None = None) -> dict[str, DataFrame]:
     out = {}
     for name in schemas.SOURCES:

@@ -53,3 +53,16 @@ def test_change_capture_time_and_audit_columns(spark):
                               audit={"user": "job", "at": "2024-01-01 00:00:00"}).collect()[0]
     assert "<START_DATE>2020-01-02 03:04:06.000-5:00</START_DATE>" in r.ROW_DATA
     assert (r.DB_USER, r.APP_NAME, r.AUDIT_DT_OFFSET) == ("job", "SQLSERVER", -300)
+
+
+def test_nightly_pending_flag_sees_older_results(spark, tmp_path):
+    # folder 6: released result in 1999, a Draft result in 1997 (before the rolling start)
+    results = [r for r in RESULTS if r[1] != 6] + [
+        (20, 6, "O6", 300, "A1", "F", "5", " x ", "N", "Released", T("1999-03-01")),
+        (21, 6, "O6", 300, "A1", "F", "5", " x ", "N", "Draft", T("1997-03-01"))]
+    src = make_sources(spark, results=results, folders=FOLDERS, samples=SAMPLES, clients=CLIENTS,
+                       groups=GROUPS, tests=TESTS, price_lists=LISTS, prices=PRICES, lookup=LOOKUP)
+    staging, fact = str(tmp_path / "staging"), str(tmp_path / "fact")
+    jobs.nightly_build(spark, extract.fixture_reader(src), staging, fact, now=dt.date(1999, 6, 30))
+    o6 = [r for r in store.read_fact(spark, fact).collect() if r.ORDNO == "O6"]
+    assert len(o6) == 1 and o6[0].HasPendingResults is True
