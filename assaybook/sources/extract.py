@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from assaybook import schemas
 from assaybook.operators import broadcast
-from assaybook.operators.filters import ts
 from assaybook.sources.tables import Sources, as_dict
 
 Reader = Callable[[str, "str | None"], DataFrame]
@@ -83,9 +82,12 @@ def fixture_reader(src: Sources, results_partitions: int | None = None,
 
 
 def extract_results(read: Reader, start: dt.date | None = None) -> DataFrame:
-    """RESULTS, optionally limited to DATEENTER >= start (rolling window)."""
-    df = read("RESULTS", None)
-    return df if start is None else df.where(F.col("DATEENTER") >= ts(start))
+    """RESULTS, optionally limited to DATEENTER >= start (rolling window).
+    The predicate goes to the reader, so a range-split source read takes its
+    split bounds from the window rows only."""
+    if start is None:
+        return read("RESULTS", None)
+    return read("RESULTS", f"DATEENTER >= '{start.isoformat()}'")
 
 
 PENDING_FILTER = "S IN ('Logged', 'Draft')"
