@@ -13,14 +13,16 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from assaybook.plans.fact import build_fact
-from assaybook.session import is_local_path, local_fingerprint, work_dir
+from assaybook.session import work_dir
 from assaybook.sources import store
 from assaybook.sources.tables import Sources
 
 
 def fact_location(spark: SparkSession, src: Sources, tag: str = "fact") -> str:
+    """Cache folder keyed by the source location and a listing fingerprint of
+    it, so changed inputs get a new fact."""
     origin = src.origin or "anonymous"
-    marker = origin + "|" + (local_fingerprint(origin) if is_local_path(origin) else "")
+    marker = origin + "|" + (store.fingerprint(spark, origin) if src.origin else "")
     h = hashlib.sha1(marker.encode()).hexdigest()[:16]
     return f"{work_dir(spark)}/assaybook/{tag}-{h}"
 

@@ -7,7 +7,6 @@ tables.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -57,19 +56,3 @@ def work_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="assaybook-ckpt-")
     sc.setCheckpointDir(d)
     return (sc.getCheckpointDir() or d).rstrip("/")
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def local_fingerprint(path: str) -> str:
-    """Cheap change marker for local inputs (names, sizes, mtimes)."""
-    p = path[5:] if path.startswith("file:") else path
-    if not os.path.isdir(p):
-        return ""
-    parts = []
-    for name in sorted(os.listdir(p)):
-        st = os.stat(os.path.join(p, name))
-        parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
-    return "|".join(parts)

@@ -33,6 +33,20 @@ def _fs(spark: SparkSession, path: str):
     return fs, p, jvm
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Change marker of a folder on any Hadoop filesystem: names, sizes and
+    modification times of the files below it (metadata listing only)."""
+    fs, p, _ = _fs(spark, path)
+    if not fs.exists(p):
+        return ""
+    it = fs.listFiles(p, True)
+    parts = []
+    while it.hasNext():
+        st = it.next()
+        parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+    return "|".join(sorted(parts))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p, _ = _fs(spark, path)
     return fs.exists(p)
