@@ -29,6 +29,7 @@ import json
 import os
 import sys
 import time
+import traceback
 import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -83,9 +84,16 @@ def main():
     fact_dir, staging_dir = f"{run}/fact", f"{run}/staging"
     timings: dict[str, float] = {}
 
+    errors: dict[str, str] = {}
+
     def timed(name, fn):
         t0 = time.perf_counter()
-        fn()
+        try:
+            fn()
+        except Exception as exc:  # keep going; report the failure in the JSON line
+            traceback.print_exc(file=sys.stderr)
+            errors[name] = f"{type(exc).__name__}: {exc}"[:300]
+            return
         timings[name] = round(time.perf_counter() - t0, 3)
 
     n_files = 2 * (int(cpus) if cpus.isdigit() else 8)
@@ -113,9 +121,12 @@ def main():
     timed("client_changes", lambda: consume(changes.snapshot_diff(old, new, ["RASCLIENTID"], "RASCLIENTS")))
 
     sf = sf_dir.rsplit("sf", 1)[-1]
-    print(json.dumps({"metric": "total_sec", "value": round(sum(timings.values()), 3),
-                      "unit": "sec", "queries": timings,
-                      "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+    out = {"metric": "total_sec", "value": round(sum(timings.values()), 3),
+           "unit": "sec", "queries": timings,
+           "sf": float(sf) if sf.replace(".", "").isdigit() else sf}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
