@@ -49,7 +49,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys, table: str, cols=None, *
     """(keys…, TABLENAME, EVENT_TYPE, EVENTCODE, ROW_DATA) per changed key.
 
     ``audit`` adds the trail's job-level columns: DB_USER, APP_NAME,
-    APP_USERNAME, AUDIT_DT (a timestamp) and AUDIT_DT_OFFSET (minutes)."""
+    APP_USERNAME, AUDIT_DT (a timestamp), AUDIT_DT_OFFSET (minutes) and
+    DB_SID; a snapshot with ORIGREC also gets ORIGINAL_ORIGREC."""
     keys = list(keys)
     cols = list(cols or [c for c in new.columns])
     time_cols = {f.name for f in new.schema.fields
@@ -70,12 +71,15 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys, table: str, cols=None, *
                   row_xml(cols, "_o_", time_cols, utc_offset_hours)).otherwise(
                   row_xml(cols, "_n_", time_cols, utc_offset_hours))
     extra = []
+    if "ORIGREC" in cols:
+        extra.append(F.coalesce("_n_ORIGREC", "_o_ORIGREC").alias("ORIGINAL_ORIGREC"))
     if audit is not None:
-        extra = [F.lit(audit.get("user")).cast("string").alias("DB_USER"),
+        extra += [F.lit(audit.get("user")).cast("string").alias("DB_USER"),
                  F.lit(audit.get("app", "SQLSERVER")).cast("string").alias("APP_NAME"),
                  F.lit(audit.get("user")).cast("string").alias("APP_USERNAME"),
                  F.lit(audit.get("at")).cast("timestamp_ntz").alias("AUDIT_DT"),
-                 F.lit(int(utc_offset_hours) * 60).alias("AUDIT_DT_OFFSET")]
+                 F.lit(int(utc_offset_hours) * 60).alias("AUDIT_DT_OFFSET"),
+                 F.lit(audit.get("sid")).cast("int").alias("DB_SID")]
     return (j.select(*[F.coalesce(f"_n_{k}", f"_o_{k}").alias(k) for k in keys], *extra,
                      F.lit(table).alias("TABLENAME"), event.alias("EVENT_TYPE"),
                      F.lit("N/A").alias("EVENTCODE"), data.alias("ROW_DATA"))

@@ -31,12 +31,15 @@ SPLIT_COLUMNS = {"RESULTS": "ORIGREC", "FOLDERS": "FOLDERNO", "CENTRALRECEIVING"
 
 def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *,
                 results_partitions: int = 64, medium_partitions: int = 16,
-                fetchsize: int = 10_000) -> Reader:
-    """Reader over a SQL Server style JDBC source, read-uncommitted."""
+                fetchsize: int = 10_000, query_timeout_s: int = 3600) -> Reader:
+    """Reader over a SQL Server style JDBC source, read-uncommitted, each
+    statement limited to ``query_timeout_s`` (task retries cover transient
+    failures)."""
     props = dict(properties or {})
 
     def base():
         r = (spark.read.format("jdbc").option("url", url).option("fetchsize", fetchsize)
+             .option("queryTimeout", query_timeout_s)
              .option("sessionInitStatement",
                      "SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"))
         for k, v in props.items():

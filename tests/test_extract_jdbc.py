@@ -50,6 +50,7 @@ def test_jdbc_reader_split_and_pushdown():
     assert (data["partitionColumn"], data["lowerBound"], data["upperBound"], data["numPartitions"]) \
         == ("ORIGREC", 10, 100, 32)
     assert data["sessionInitStatement"] == "SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"
+    assert data["queryTimeout"] == 3600
     assert data["user"] == "u" and data["format"] == "jdbc"
     read("FOLDERS")
     assert spark.log[-1]["partitionColumn"] == "FOLDERNO" and spark.log[-1]["numPartitions"] == 4

@@ -66,3 +66,10 @@ def test_nightly_pending_flag_sees_older_results(spark, tmp_path):
     jobs.nightly_build(spark, extract.fixture_reader(src), staging, fact, now=dt.date(1999, 6, 30))
     o6 = [r for r in store.read_fact(spark, fact).collect() if r.ORDNO == "O6"]
     assert len(o6) == 1 and o6[0].HasPendingResults is True
+
+
+def test_change_capture_origrec_and_sid(spark):
+    old = spark.createDataFrame([(7, "1", "a")], "ORIGREC int, k string, v string")
+    new = spark.createDataFrame([(7, "1", "b")], "ORIGREC int, k string, v string")
+    r = changes.snapshot_diff(old, new, ["k"], "T", audit={"user": "job", "sid": 55}).collect()[0]
+    assert (r.ORIGINAL_ORIGREC, r.DB_SID, r.EVENT_TYPE) == (7, 55, "Edit")
