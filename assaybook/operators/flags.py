@@ -38,7 +38,10 @@ def pending_flag(results: DataFrame, folders: DataFrame) -> DataFrame:
 
 def orders_with_later_results(results: DataFrame, folders: DataFrame, cal_end) -> DataFrame:
     """ORDNOs having a result (with a folder) entered after ``cal_end``."""
-    later = results.where(F.col("DATEENTER") > ts(cal_end)).select("ORDNO", "FOLDERNO")
+    # reduced to distinct (order, folder) pairs map-side before any shuffle:
+    # for an old window "later" is most of the table
+    later = (results.where(F.col("DATEENTER") > ts(cal_end))
+             .select("ORDNO", "FOLDERNO").distinct())
     return (later.join(folders.select("FOLDERNO"), "FOLDERNO", "left_semi")
             .select("ORDNO").distinct())
 
