@@ -47,11 +47,20 @@ def audit_append(spark: SparkSession, audit_dir: str, *, user: str, year: int, m
 
 
 def audit_query(audit: DataFrame, month: str) -> DataFrame:
-    """One month's entries, newest first (reads only that partition)."""
+    """One month's entries, newest first. The month partition prunes the
+    stored table; the equivalent Timestamp_UTC range (a row's month is the
+    UTC month of its timestamp) also reaches scans where month is derived."""
     if not _MONTH.match(month or ""):
         raise ValueError("Month must be in YYYY-MM format")
-    return (audit.where(F.col("month") == month)
-            .select(*AUDIT_COLUMNS).orderBy(F.col("Timestamp_UTC").desc(), F.col("RowKey")))
+    y, m = int(month[:4]), int(month[5:])
+    start = dt.datetime(y, m, 1)
+    end = dt.datetime(y + (m == 12), m % 12 + 1, 1)
+    ts = F.col("Timestamp_UTC")
+    in_month = ((F.col("month") == month)
+                & (ts >= F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz"))
+                & (ts < F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz")))
+    return (audit.where(in_month)
+            .select(*AUDIT_COLUMNS).orderBy(ts.desc(), F.col("RowKey")))
 
 
 def read_audit(spark: SparkSession, audit_dir: str) -> DataFrame:
