@@ -3,6 +3,8 @@ listings (J15-J18, A7-A10, D-a ... D-f)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +121,9 @@ def boundary_results(fact: DataFrame, price_lists: DataFrame, since, origin: str
     # at most one row per version: the price-list row bound covers it
     days = broadcast.bounded(days, key=None if origin is None else (origin, "price_intervals"))
     f = fact.where(F.col("DateEnter") >= ts(since))
+    if "year" in fact.columns and "month" in fact.columns:
+        d = since if isinstance(since, dt.date) else dt.date.fromisoformat(str(since)[:10])
+        f = f.where(F.col("year") * 100 + F.col("month") >= d.year * 100 + d.month)
     return (f.join(days, F.to_date(f["DateEnter"]) == days["_day"], "left_semi")
             .select("ORDNO", "DateEnter", "Price", "PriceListId", "PriceListVersion"))
 
