@@ -1,0 +1,25 @@
+from assaybook.operators import broadcast
+from assaybook.plans.warehouse import fact_location
+from assaybook.sources.tables import Sources
+
+
+def test_check_and_record(spark):
+    small = spark.range(5)
+    big = spark.range(50)
+    broadcast.check({("t-origin", "small"): small, ("t-origin", "big"): big}, max_rows=10)
+    assert broadcast.fits(small, 10, key=("t-origin", "small")) is True
+    assert broadcast.fits(big, 10, key=("t-origin", "big")) is False
+    broadcast.record(("t-origin", "counted"), 3, max_rows=10)
+    assert broadcast.fits(big, 10, key=("t-origin", "counted")) is True   # recorded proof wins
+    assert "Broadcast" not in str(broadcast.bounded(big, 10)._jdf.queryExecution().logical())
+
+
+def test_fact_location_follows_input_changes(spark, tmp_path):
+    d = str(tmp_path / "src")
+    spark.range(3).write.parquet(f"{d}/a")
+    df = spark.range(1)
+    src = Sources(*([df] * 9), origin=d)
+    first = fact_location(spark, src)
+    assert fact_location(spark, src) == first
+    spark.range(4).write.parquet(f"{d}/b")
+    assert fact_location(spark, src) != first
