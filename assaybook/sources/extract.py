@@ -69,7 +69,8 @@ def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *
 def fixture_reader(src: Sources, results_partitions: int | None = None,
                    medium_partitions: int | None = None) -> Reader:
     """Reader over in-memory/test tables. The partition counts mimic the JDBC
-    extract's range split on ``SPLIT_COLUMNS`` (one output file per range)."""
+    extract's parallel reads on ``SPLIT_COLUMNS`` (one output file per read);
+    a hash split on the key avoids range sampling, the files are as parallel."""
     tables = as_dict(src)
 
     def read(table: str, where: str | None = None) -> DataFrame:
@@ -78,7 +79,7 @@ def fixture_reader(src: Sources, results_partitions: int | None = None,
             df = df.where(F.expr(where))
         n = results_partitions if table == "RESULTS" else medium_partitions
         if table in SPLIT_COLUMNS and n:
-            df = df.repartitionByRange(n, SPLIT_COLUMNS[table])
+            df = df.repartition(n, SPLIT_COLUMNS[table])
         return df
 
     return read
