@@ -25,22 +25,31 @@ def nightly_build(spark: SparkSession, read: extract.Reader, staging_dir: str, f
     and current year of the fact. Latest-result needs no older rows: an
     order's later results are always inside the window."""
     now = now or dt.datetime.now(dt.timezone.utc).date()
-    tables = extract.extract_all(read, store.rolling_start(now))
+    pending = _stage_with_pending(spark, read, staging_dir, store.rolling_start(now))
+    return store.reload_window(spark, read_staged(spark, staging_dir), fact_dir, now,
+                               pending_results=pending, **fact_opts)
+
+
+def _stage_with_pending(spark: SparkSession, read: extract.Reader, staging_dir: str,
+                        start: dt.date):
+    """Stage the tables (RESULTS from ``start``) plus the pending-status rows
+    of all history; returns the staged pending rows."""
+    tables = extract.extract_all(read, start)
     tables[extract.PENDING_TABLE] = extract.extract_pending(read)
     extract.stage_all(tables, staging_dir)
-    pending = spark.read.schema("FOLDERNO long, S string").parquet(
+    return spark.read.schema("FOLDERNO long, S string").parquet(
         f"{staging_dir}/{extract.PENDING_TABLE}")
-    return store.reload_window(spark, read_staged(spark, staging_dir), fact_dir, now,
-                               pending_results=pending, **fact_opts)
 
 
 def backfill_years(spark: SparkSession, read: extract.Reader, staging_dir: str, fact_dir: str,
                    years, **fact_opts) -> int:
-    """Extract everything from the first year on, then rebuild those years
-    (each replaced whole, half-open [Y-01-01, Y+1-01-01))."""
+    """Extract everything from the first year on (plus all-history pending
+    rows), then rebuild those years (each replaced whole, half-open
+    [Y-01-01, Y+1-01-01))."""
     years = sorted(set(int(y) for y in years))
-    extract.stage_all(extract.extract_all(read, dt.date(years[0], 1, 1)), staging_dir)
-    return store.backfill(spark, read_staged(spark, staging_dir), fact_dir, years, **fact_opts)
+    pending = _stage_with_pending(spark, read, staging_dir, dt.date(years[0], 1, 1))
+    return store.backfill(spark, read_staged(spark, staging_dir), fact_dir, years,
+                          pending_results=pending, **fact_opts)
 
 
 def report_request(spark: SparkSession, fact_dir: str, staging_dir: str, cal_date, cal_end,
