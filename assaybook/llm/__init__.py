@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lang_id", "html_wrapper", "license_scan", "bin_packing", "exact_dedup",
-           "simhash_dedup", "decontaminate", "quality_rank", "warc_zip", "substring_dedup")
+MODULES = ("exact_dedup",)
 
 
 def queries() -> dict:
