@@ -9,9 +9,15 @@ in ``__spark_entry__.py`` and ``corpus_pipeline.py``.
 
 from __future__ import annotations
 
+import sys
 from importlib import import_module
 
-MODULES = ("exact_dedup",)
+from pyspark import cloudpickle
+
+# functions of this package travel to the executors by value: nothing to install there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+MODULES = ("exact_dedup", "simhash_dedup")
 
 
 def queries() -> dict:
