@@ -17,7 +17,8 @@ from pyspark import cloudpickle
 # functions of this package travel to the executors by value: nothing to install there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODULES = ("exact_dedup", "simhash_dedup", "substring_dedup")
+MODULES = ("exact_dedup", "simhash_dedup", "warc_zip",
+           "substring_dedup")
 
 
 def queries() -> dict:
