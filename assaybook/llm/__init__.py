@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 # functions of this package travel to the executors by value: nothing to install there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODULES = ("lang_id", "html_wrapper", "exact_dedup", "simhash_dedup", "warc_zip",
+MODULES = ("lang_id", "html_wrapper", "exact_dedup", "simhash_dedup", "quality_rank", "warc_zip",
            "substring_dedup")
 
 
