@@ -247,16 +247,16 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         for i in range(0, b.num_rows, 500):
             part = b.slice(i, 500)
-            shapes, blocks = zip(*(parse(x) for x in part.column(3).to_pylist()), strict=True)
+            shapes, blocks = zip(*(parse(x) for x in part.column("_html").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2), part.column(4), pa.array(shapes, pa.string()),
+                [*(part.column(c) for c in ("_id", "_url", "_host", "_digest")), pa.array(shapes, pa.string()),
                  pa.array(blocks, _BLOCKS)], ["_id", "_url", "_host", "_digest", "_shape", "_blocks"])
 
 
 def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        slots = [align(s, t) for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(slots, pa.list_(pa.string()))],
+        slots = [align(s, t) for s, t in zip(b.column("_shape").to_pylist(), b.column("_seed").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("_host"), b.column("_shape_id"), pa.array(slots, pa.list_(pa.string()))],
                                          ["_host", "_shape_id", "_slots"])
 
 

@@ -211,13 +211,13 @@ def _predict_batches(model: BiGated | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            texts = b.column(1).to_pylist()
+            texts = b.column("_text").to_pylist()
             while at < len(texts):  # some MB of text at a time
                 to, size = at, 0
                 while to < len(texts) and size < 4 << 20:
                     size += len(texts[to])
                     to += 1
-                part, ids = texts[at:to], b.column(0).slice(at, to - at)
+                part, ids = texts[at:to], b.column("_id").slice(at, to - at)
                 at = to
                 known = [model is not None and any(map(str.isalpha, t)) for t in part]
                 lang, score = [UNKNOWN] * len(part), [0.0] * len(part)

@@ -128,8 +128,8 @@ _FEATURE_ARRAY = T.ArrayType(T.DoubleType())
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        f = pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), f], ["_label", "_x"])
+        f = pa.array([features(t) for t in b.column("_text").to_pylist()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([b.column("_label"), f], ["_label", "_x"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -159,8 +159,8 @@ def _score_batches(model: PairwiseRank | None) -> Callable:
                 if model is None:
                     s = np.full(part.num_rows, CUT)
                 else:
-                    s = model.score(np.array([features(t) for t in part.column(1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["_id", "score"])
+                    s = model.score(np.array([features(t) for t in part.column("_text").to_pylist()]))
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(s)], ["_id", "score"])
     return run
 
 

@@ -68,8 +68,8 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array((fingerprint(t, shingle) for t in b.column(1).to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["_id", "_fp"])
+            fp = pa.array((fingerprint(t, shingle) for t in b.column("_text").to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("_id"), fp], ["_id", "_fp"])
     return run
 
 
@@ -167,7 +167,8 @@ def _compare(radius: int):
                     [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["_a", "_b"])
 
         for batch in batches:
-            tile, block, visitor, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            tile, block, visitor, fp = (batch.column(c).to_numpy(zero_copy_only=False)
+                                        for c in ("_tile", "_block", "_visitor", "_fp"))
             fp = fp.astype(np.int64).view(np.uint64)
             cut = np.nonzero((np.diff(tile) != 0) | (np.diff(block) != 0) | (np.diff(visitor) != 0))[0] + 1
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(tile)], strict=True):

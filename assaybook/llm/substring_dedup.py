@@ -78,9 +78,9 @@ class _Text:
 
 def _digests(batches):
     for b in batches:
-        texts = [_Text(t) for t in b.column(1).to_pylist()]
+        texts = [_Text(t) for t in b.column("_text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([t.n for t in texts], pa.int64()),
+            [b.column("_id"), pa.array([t.n for t in texts], pa.int64()),
              pa.array([t.digest() for t in texts], pa.binary())], ["_id", "_words", "_sha"])
 
 

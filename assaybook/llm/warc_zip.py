@@ -43,6 +43,7 @@ _DATA, _INDEX, _ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapacka
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOCD, _EOCD64, _LOCATOR, _CENTRAL, _LOCAL = (b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4")
 _ID = "urn:page:"
+_ROW = ("_id", "_url", "_html", "_size", "_sha", "_refers_to")
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -129,7 +130,7 @@ def _writer(folder: str, package_bytes: int, date: str):
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in p.close()], ["path", "bytes", "records"])
 
         for b in batches:
-            for i, url, html, size, sha, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, url, html, size, sha, refers_to in zip(*(b.column(c).to_pylist() for c in _ROW), strict=True):
                 package = package or _Package(f"{folder}/{uuid.uuid4().hex}.wacz")
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 payload = None if html is None else html.encode()
@@ -261,7 +262,7 @@ def _reader(with_payload: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path in b.column("path").to_pylist():
                 part = []
                 for row in rows(path):
                     part.append(row)
