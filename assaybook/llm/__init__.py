@@ -17,8 +17,8 @@ from pyspark import cloudpickle
 # functions of this package travel to the executors by value: nothing to install there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODULES = ("lang_id", "html_wrapper", "exact_dedup", "simhash_dedup", "decontaminate", "quality_rank", "warc_zip",
-           "substring_dedup")
+MODULES = ("lang_id", "html_wrapper", "license_scan", "bin_packing", "exact_dedup", "simhash_dedup",
+           "decontaminate", "quality_rank", "warc_zip", "substring_dedup")
 
 
 def queries() -> dict:
