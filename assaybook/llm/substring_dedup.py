@@ -281,11 +281,14 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     whole = F.col("_rows") > 1
     all_of = F.array(F.struct(F.lit(0).alias("start"), F.col("_words").cast("int").alias("stop")))
+    # staged: the last join then has an exchange on either side, so AQE can split a hot text
     known = (long.join(cut, "_sha", "left")
              .select("_sha", F.when(whole, F.col("_words")).otherwise(F.col("_removed")).alias("_removed"),
                      F.when(whole, all_of).otherwise(F.col("_spans")).alias("_spans"),
                      F.when(whole, F.lit(_EMPTY)).otherwise(F.col("_kept")).alias("_kept"))
              .where("_removed is not null"))
+    # written: the last join then has an exchange on either side, so AQE can split a hot text
+    known = stage(known, "repeated-spans")
     return (rows.join(known, "_sha", "left")
             .select(F.col("_id").alias("doc_id"), F.col("_words").alias("n_words"),
                     F.coalesce("_removed", F.lit(0).cast("long")).alias("n_removed"),
