@@ -207,27 +207,48 @@ def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return BiGated(labels).fit([t for _, t in rows], [labels.index(lang) for lang, _ in rows])
 
 
+def _parts(texts: list[str], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts of about ``size`` characters."""
+    at = 0
+    while at < len(texts):
+        to, n = at, 0
+        while to < len(texts) and n < size:
+            n += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
+def _label(model: BiGated | None, texts: list[str]) -> tuple[list[str], list[float]]:
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    mine = [i for i, t in enumerate(texts) if model is not None and any(map(str.isalpha, t))]
+    if mine:
+        prob = model.predict([texts[i].encode() for i in mine])
+        for i, best, p in zip(mine, prob.argmax(1), prob.max(1), strict=True):
+            lang[i], score[i] = model.labels[best], min(1.0, float(p))
+    return lang, score
+
+
 def _predict_batches(model: BiGated | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
             texts = b.column("_text").to_pylist()
-            while at < len(texts):  # some MB of text at a time
-                to, size = at, 0
-                while to < len(texts) and size < 4 << 20:
-                    size += len(texts[to])
-                    to += 1
-                part, ids = texts[at:to], b.column("_id").slice(at, to - at)
-                at = to
-                known = [model is not None and any(map(str.isalpha, t)) for t in part]
-                lang, score = [UNKNOWN] * len(part), [0.0] * len(part)
-                mine = [i for i, k in enumerate(known) if k]
-                if mine:
-                    prob = model.predict([part[i].encode() for i in mine])
-                    for i, best, p in zip(mine, prob.argmax(1), prob.max(1), strict=True):
-                        lang[i], score[i] = model.labels[best], min(1.0, float(p))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lang), pa.array(score, pa.float64())],
-                                                 ["_id", "lang_pred", "score"])
+            for at, to in _parts(texts):
+                lang, score = _label(model, texts[at:to])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("_id").slice(at, to - at), pa.array(lang), pa.array(score, pa.float64())],
+                    ["_id", "lang_pred", "score"])
+    return run
+
+
+def _keep_batches(model: BiGated, text_col: str, least: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            for at, to in _parts(texts):
+                lang, score = _label(model, texts[at:to])
+                keep = [w != UNKNOWN and s >= least for w, s in zip(lang, score, strict=True)]
+                yield b.slice(at, to - at).filter(pa.array(keep))
     return run
 
 
@@ -246,6 +267,12 @@ def identify_languages(docs: DataFrame, model: BiGated | None, *, id_col: str =
     return d.mapInArrow(_predict_batches(model), schema).withColumnRenamed("_id", "doc_id")
 
 
+def keep_known(docs: DataFrame, model: BiGated, least: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with a pooled
+    probability of at least ``least``."""
+    return docs.mapInArrow(_keep_batches(model, text_col, least), docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The contract's hold-out rule."""
     return crc_bucket(id_col, 4) == 2
