@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaybook.llm.common import stage, table, text_or_empty
+from assaybook.llm.common import fresh, id_key, stage, table, text_or_empty
 
 THRESHOLD = 0.6
 QUESTION_SHARE, ANSWER_SHARE = 0.8, 0.5
@@ -253,12 +253,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold an item, all columns. Ids decide, so
-    rows that repeat a contaminated id go too; a row with a null id stays."""
+    rows that repeat a contaminated id go too (null ids count as one id)."""
     found = find_contamination(docs, items, id_col=id_col, text_col=text_col, item_col=item_col,
                                item_text_col=item_text_col)
-    bad = stage(found.select(F.col("doc_id").alias("_bad_key")).distinct(), "contaminated")
-    own = docs.withColumn("_row_key", F.col(id_col))
-    return own.join(bad, F.col("_row_key") == F.col("_bad_key"), "left_anti").select(*docs.columns)
+    key = fresh(docs, "_row_key")
+    bad = stage(found.select(id_key(F.col("doc_id")).alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, id_key(F.col(id_col))).join(bad, key, "left_anti").select(*docs.columns)
 
 
 # ---------------------------------------------------------------- query

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaybook.llm.common import WORD_GAP, stage, table, text_or_empty
+from assaybook.llm.common import WORD_GAP, fresh, id_key, stage, table, text_or_empty
 
 #: Ranks that one node of the tree merges.
 FAN_IN = 16
@@ -85,13 +85,14 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without exact copies, all columns: one row of each group stays
-    (repeated rows with the id that stays count once)."""
+    (of repeated rows with the id that stays, any one)."""
+    key, sha = fresh(docs, "_row_key"), fresh(docs, "_row_sha")
     kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(
-        F.col("doc_id").alias("_keep_key"), F.col("text_sha256").alias("_keep_sha")).distinct()
-    sha = F.sha2(F.regexp_replace(text_or_empty(text_col), WORD_GAP, ""), 256)
-    own = docs.withColumns({"_row_key": F.col(id_col), "_row_sha": sha})
-    on = own["_row_key"].eqNullSafe(kept["_keep_key"]) & (own["_row_sha"] == kept["_keep_sha"])
-    return own.join(kept, on, "left_semi").dropDuplicates(["_row_key", "_row_sha"]).select(*docs.columns)
+        id_key(F.col("doc_id")).alias(key), F.col("text_sha256").alias(sha)).distinct()
+    own = docs.withColumns({key: id_key(F.col(id_col)),
+                            sha: F.sha2(F.regexp_replace(text_or_empty(text_col), WORD_GAP, ""), 256)})
+    # one exchange of the rows serves the join and the duplicates
+    return own.join(kept, [key, sha], "left_semi").dropDuplicates([key, sha]).select(*docs.columns)
 
 
 # ---------------------------------------------------------------- query

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaybook.llm.common import stage, table, text_or_empty
+from assaybook.llm.common import fresh, id_key, stage, table, text_or_empty
 
 SHINGLE = 3
 RADIUS = 3
@@ -278,11 +278,10 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                      shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component (the smallest id), all columns."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
+    key = fresh(docs, "_row_key")
     keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_keep_key")).distinct())
-    own = docs.withColumn("_row_key", F.col(id_col))
-    return (own.join(keep, own["_row_key"].eqNullSafe(keep["_keep_key"]), "left_semi")
-            .select(*docs.columns))
+            .select(id_key(F.col("doc_id")).alias(key)).distinct())
+    return docs.withColumn(key, id_key(F.col(id_col))).join(keep, key, "left_semi").select(*docs.columns)
 
 
 # ---------------------------------------------------------------- query
