@@ -8,14 +8,16 @@ with them. Parameters are fixed here: report window 1998-01-01 .. 1998-12-31,
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
-import uuid
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import duckdb_oracle as O
+from assaybook import schemas
 from assaybook.functions import codes
 from assaybook.functions.text import strip_newlines_rtrim, trim_blanks, rtrim_blanks
 from assaybook.operators import changes, flags
@@ -55,7 +57,7 @@ def _fact(spark, sf_dir):
 
 def _view(spark, sf_dir, pii=True):
     src = _src(spark, sf_dir)
-    return views.priced_view(_fact(spark, sf_dir), src.lookup, pii=pii, origin=src.origin)
+    return views.priced_view(_fact(spark, sf_dir), src.lookup, pii=pii)
 
 
 def _report(spark, sf_dir, kind="RWP"):
@@ -66,8 +68,9 @@ def _legacy(spark, sf_dir, pii=True):
     return legacy.legacy_report(_src(spark, sf_dir), CAL_DATE, CAL_END, pii=pii)
 
 
-def _run_dir(spark, tag):
-    return f"{work_dir(spark)}/assaybook/runs/{tag}-{uuid.uuid4().hex[:10]}"
+def _run_dir(spark, tag, sf_dir):
+    """One folder per query and source: publishing again removes the run before the last."""
+    return f"{work_dir(spark)}/assaybook/runs/{tag}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}"
 
 
 def _no_load_time(df):
@@ -75,7 +78,6 @@ def _no_load_time(df):
 
 
 def _spine(src):
-    fact_plan.check_dimensions(src)
     return valid_results(src.results).join(fact_plan.folder_dimension(src), "FOLDERNO")
 
 
@@ -103,23 +105,55 @@ def q_rolling_extract(spark, sf_dir):
 
 
 def q_backfill_year(spark, sf_dir):
-    d = _run_dir(spark, "backfill")
-    store.backfill(spark, _src(spark, sf_dir), d, [BACKFILL_YEAR])
+    d = _run_dir(spark, "backfill", sf_dir)
+    store.backfill(spark, _src(spark, sf_dir), d, [BACKFILL_YEAR], grace_s=0)
     return _no_load_time(store.read_fact(spark, d))
 
 
 def q_fact_partitions(spark, sf_dir):
-    d = _run_dir(spark, "fact")
-    store.publish(spark, fact_plan.build_fact(_src(spark, sf_dir)), d)
+    d = _run_dir(spark, "fact", sf_dir)
+    store.publish(spark, fact_plan.build_fact(_src(spark, sf_dir), keep_folder=True), d, grace_s=0)
     return _no_load_time(store.read_fact(spark, d))
 
 
-def q_rolling_reload(spark, sf_dir):
+def q_staged_results(spark, sf_dir):
+    """Staged from the source's own types (integer order numbers), read back as declared."""
+    read = extract.fixture_reader(_src(spark, sf_dir))
+    d = _run_dir(spark, "staged", sf_dir)
+    raw = extract.extract_results(read).withColumn("ORDNO", F.col("ORDNO").cast("long"))
+    extract.stage_all({"RESULTS": raw}, d)
+    return spark.read.schema(schemas.RESULTS).parquet(f"{d}/RESULTS")
+
+
+def _as_it_was(src):
+    """The source before the reloaded years were finished: rows missing, others
+    with another text, date or status, so that every year's stored flags are stale."""
+    late = F.year("DATEENTER").isin(store.rolling_years(NOW))
+    first = F.lit(f"{NOW.year - 1}-01-01 12:00:00").cast("timestamp_ntz")
+    r = src.results.where(~(late & (F.col("ORIGREC") % 3 == 0)))
+    r = r.withColumns({
+        "FINAL": F.when(late, F.lit("stale")).otherwise(F.col("FINAL")),
+        "S": F.when(late & F.col("S").isin("Logged", "Draft"), F.lit("Released")).otherwise(F.col("S")),
+        "DATEENTER": F.when(late & (F.col("ORIGREC") % 5 == 1), first).otherwise(F.col("DATEENTER"))})
+    return dataclasses.replace(src, results=r)
+
+
+def _reloaded(spark, sf_dir, tag):
     src = _src(spark, sf_dir)
-    d = _run_dir(spark, "reload")
-    store.publish(spark, fact_plan.build_fact(src), d)
-    store.reload_window(spark, src, d, NOW)
-    return _no_load_time(store.read_fact(spark, d))
+    d = _run_dir(spark, tag, sf_dir)
+    store.publish(spark, fact_plan.build_fact(_as_it_was(src), keep_folder=True), d, grace_s=0)
+    store.reload_window(spark, src, d, NOW, grace_s=0)
+    return store.read_fact(spark, d)
+
+
+def q_rolling_reload(spark, sf_dir):
+    return _no_load_time(_reloaded(spark, sf_dir, "reload"))
+
+
+def q_reload_flags(spark, sf_dir):
+    """Flags of the years that the reload leaves alone."""
+    return (_reloaded(spark, sf_dir, "flags").where(F.col("year") < store.rolling_start(NOW).year)
+            .select("ORDNO", "COMPNAME", "DateEnter", "HasPendingResults", "LatestResultDate"))
 
 
 def q_pruned_window(spark, sf_dir):
@@ -174,7 +208,7 @@ def q_asof_price(spark, sf_dir):
     from assaybook.operators.asof import asof_price
     src = _src(spark, sf_dir)
     x = asof_price(_resolved(src), src.price_lists, src.prices, list_col="PriceListId",
-                   code_col="PricingCode", origin=src.origin)
+                   code_col="PricingCode")
     return x.select("FOLDERNO", "ORDNO", "DATEENTER", "PriceListId", "PricingCode",
                     "PriceListVersion", "Price")
 
@@ -192,7 +226,7 @@ def q_price_intervals(spark, sf_dir):
 
 def q_panel_lookup(spark, sf_dir):
     src = _src(spark, sf_dir)
-    f = with_panel_lookups(_fact(spark, sf_dir), src.lookup, origin=src.origin)
+    f = with_panel_lookups(_fact(spark, sf_dir), src.lookup)
     return f.where(F.col("IsPanel")).select("ORDNO", "TestGroupName", "PanelCode", "PanelPrice")
 
 
@@ -292,8 +326,7 @@ def q_panel_rows(spark, sf_dir):
 
 def q_boundary_results(spark, sf_dir):
     src = _src(spark, sf_dir)
-    return quality.boundary_results(_fact(spark, sf_dir), src.price_lists, BOUNDARY_SINCE,
-                                    origin=src.origin)
+    return quality.boundary_results(_fact(spark, sf_dir), src.price_lists, BOUNDARY_SINCE)
 
 
 def q_unpriced_results(spark, sf_dir):
@@ -306,7 +339,7 @@ def q_multi_row_orders(spark, sf_dir):
 
 def q_pending_counts(spark, sf_dir):
     src = _src(spark, sf_dir)
-    return quality.pending_counts(_fact(spark, sf_dir), src.lookup, origin=src.origin)
+    return quality.pending_counts(_fact(spark, sf_dir), src.lookup)
 
 
 def q_price_drift(spark, sf_dir):
@@ -319,7 +352,8 @@ def q_price_drift(spark, sf_dir):
 # ---------------------------------------------------------------- change capture / audit
 def q_client_changes(spark, sf_dir):
     old, new = fixtures.client_snapshots(spark, sf_dir)
-    return changes.snapshot_diff(old, new, ["RASCLIENTID"], "RASCLIENTS")
+    return changes.snapshot_diff(old, new, ["RASCLIENTID"], "RASCLIENTS", utc_offset_hours=O.TRAIL_OFFSET,
+                                 audit={"user": O.TRAIL_USER, "at": O.TRAIL_AT, "sid": O.TRAIL_SID})
 
 
 def q_audit_month(spark, sf_dir):

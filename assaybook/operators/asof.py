@@ -6,11 +6,11 @@ Versions become validity intervals ``[STARTDDATE, next STARTDDATE)`` per list
 the lower version an empty interval, so the highest version wins; versions
 without a start date never match. A result matches at most one interval.
 
-Physical plan: with the interval table under the broadcast bound, the join is
-a BroadcastHashJoin on the list id with the time range as a residual — the
-result side is never shuffled. Above the bound, intervals are cut into
-(list, year) buckets and joined on the bucket with the range as residual, a
-plain equi-join that Spark shuffles and AQE can split when one bucket is hot.
+Physical plan: intervals are cut into (list, year) buckets and joined on the
+bucket with the time range as a residual, a plain equi-join. Spark sends the
+intervals to every task where the table's true size allows it and otherwise
+shuffles by bucket, where AQE can split a hot one. A result is compared with
+the versions of one list and year only.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaybook.functions.text import ci
-from assaybook.operators import broadcast
 
 
 def price_intervals(price_lists: DataFrame, by_code: DataFrame | None = None) -> DataFrame:
@@ -48,9 +47,7 @@ def _covers(t, iv: DataFrame):
 
 def asof_version(rows: DataFrame, price_lists: DataFrame, *, list_col="PRICELISTID",
                  time_col="DATEENTER", out_col="PriceListVersion",
-                 code_col: str | None = None, prices: DataFrame | None = None,
-                 max_broadcast_rows: int = broadcast.DEFAULT_MAX_ROWS,
-                 origin: str | None = None) -> DataFrame:
+                 code_col: str | None = None, prices: DataFrame | None = None) -> DataFrame:
     """Left-join the version in force at ``time_col`` onto every row."""
     iv = price_intervals(price_lists, prices if code_col else None)
     key_cols = ["_list_key"] + (["_code"] if code_col else [])
@@ -59,18 +56,9 @@ def asof_version(rows: DataFrame, price_lists: DataFrame, *, list_col="PRICELIST
     keyed = rows.withColumn("_list_key", ci(list_col))
     if code_col:
         keyed = keyed.withColumn("_code", F.col(code_col))
-    # interval rows <= version rows (per list) or version x code rows (per test)
-    size_key = None if origin is None else (origin, "price_intervals_by_code" if code_col
-                                            else "price_intervals")
-    if broadcast.fits(iv, max_broadcast_rows, key=size_key):
-        ivb = F.broadcast(iv)
-        cond = [keyed[k] == ivb["_iv" + k] for k in key_cols]
-        cond.append(_covers(keyed[time_col], ivb))
-        out = keyed.join(ivb, cond, "left")
-    else:
-        out = _bucketed_join(keyed, iv, key_cols, time_col)
-    return out.drop("_from", "_until", "_bucket", "_rbucket",
-                    *key_cols, *["_iv" + k for k in key_cols])
+    return (_bucketed_join(keyed, iv, key_cols, time_col)
+            .drop("_from", "_until", "_bucket", "_rbucket",
+                  *key_cols, *["_iv" + k for k in key_cols]))
 
 
 def _bucketed_join(keyed: DataFrame, iv: DataFrame, key_cols, time_col) -> DataFrame:
@@ -89,16 +77,12 @@ def _bucketed_join(keyed: DataFrame, iv: DataFrame, key_cols, time_col) -> DataF
 
 def test_price(rows: DataFrame, prices: DataFrame, *, list_col="PRICELISTID",
                version_col="PriceListVersion", code_col="_pricing_code",
-               out_col="Price",
-               max_broadcast_rows: int = broadcast.DEFAULT_MAX_ROWS,
-               origin: str | None = None) -> DataFrame:
+               out_col="Price") -> DataFrame:
     """Left-join the price of (list, version, code)."""
     p = prices.select(ci("PRICELISTID").alias("_pk_list"),
                       F.col("PRICELISTVERSION").alias("_pk_version"),
                       F.col("TESTCODE").alias("_pk_code"),
                       F.col("PRICE").alias(out_col))
-    p = broadcast.bounded(p, max_broadcast_rows,
-                          key=None if origin is None else (origin, "prices"))
     cond = [ci(rows[list_col]) == p["_pk_list"],
             rows[version_col] == p["_pk_version"],
             rows[code_col] == p["_pk_code"]]
@@ -107,10 +91,10 @@ def test_price(rows: DataFrame, prices: DataFrame, *, list_col="PRICELISTID",
 
 def asof_price(rows: DataFrame, price_lists: DataFrame, prices: DataFrame, *,
                per_test: bool = False, list_col="PRICELISTID", time_col="DATEENTER",
-               code_col="_pricing_code", origin: str | None = None) -> DataFrame:
+               code_col="_pricing_code") -> DataFrame:
     """Version in force + its test price (J6). ``per_test`` picks the latest
     version that prices the row's code instead of the latest list version."""
     v = asof_version(rows, price_lists, list_col=list_col, time_col=time_col,
                      code_col=code_col if per_test else None,
-                     prices=prices if per_test else None, origin=origin)
-    return test_price(v, prices, list_col=list_col, code_col=code_col, origin=origin)
+                     prices=prices if per_test else None)
+    return test_price(v, prices, list_col=list_col, code_col=code_col)

@@ -4,7 +4,7 @@ snapshots of a table in one full outer join on the key.
 
 * Delete — key only in the old snapshot, old row image;
 * Create — key only in the new snapshot, new row image;
-* Edit   — key in both and any column changed (NULL-safe, like EXCEPT),
+* Edit   — key in both (text keys compare as the source does) and any column changed (NULL-safe, like EXCEPT),
            new row image.
 """
 
@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaybook.functions.text import ci
+
+# Fixed values of the trail: line end and the frame of a row image.
 CRLF = "\r\n"
 
 
@@ -59,7 +62,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys, table: str, cols=None, *
     n = new.select(*[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_new"))
     cond = None
     for k in keys:
-        e = o[f"_o_{k}"] == n[f"_n_{k}"]
+        a, b = o[f"_o_{k}"], n[f"_n_{k}"]
+        e = ci(a) == ci(b) if new.schema[k].dataType.typeName() == "string" else a == b
         cond = e if cond is None else cond & e
     j = o.join(n, cond, "full_outer")
     same = F.struct(*[F.col(f"_o_{c}") for c in cols]).eqNullSafe(
@@ -84,8 +88,3 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys, table: str, cols=None, *
                      F.lit(table).alias("TABLENAME"), event.alias("EVENT_TYPE"),
                      F.lit("N/A").alias("EVENTCODE"), data.alias("ROW_DATA"))
             .where(F.col("EVENT_TYPE").isNotNull()))
-
-
-def changed_rows(new: DataFrame, old: DataFrame) -> DataFrame:
-    """X1: rows of ``new`` not in ``old`` (set semantics, NULL-safe)."""
-    return new.subtract(old)

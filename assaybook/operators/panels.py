@@ -1,8 +1,8 @@
 """Panel code and panel price lookups over the dual-row key/value table.
 
-Rows are either (code -> panel name) or (panel name -> price). The lookup
-is a small master table; it is broadcast only after its row bound is
-checked (``operators.broadcast``).
+Rows are either (code -> panel name) or (panel name -> price). Names that
+differ only in case or trailing blanks are one name, so each key yields one
+row per value and no fact row multiplies.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from assaybook.functions.codes import is_int_text, parse_int, parse_price
 from assaybook.functions.text import ci, ci_eq
-from assaybook.operators import broadcast
 
 PANEL_LOOKUP = "PanelPricing"
 
@@ -21,28 +20,25 @@ def panel_codes(lookup: DataFrame, name: str = PANEL_LOOKUP) -> DataFrame:
     """DISTINCT (TEXT, code): VALUE is an integer and TEXT is not (J7)."""
     rows = lookup.where(ci_eq("LOOKUP_NAME", name) & parse_int("VALUE").isNotNull()
                         & parse_int("TEXT").isNull())
-    return rows.select(F.col("TEXT").alias("PanelName"),
-                       parse_int("VALUE").alias("PanelCode")).distinct()
+    return (rows.groupBy(ci("TEXT").alias("_key"), parse_int("VALUE").alias("PanelCode"))
+            .agg(F.min("TEXT").alias("PanelName")).select("PanelName", "PanelCode"))
 
 
 def panel_prices(lookup: DataFrame, name: str = PANEL_LOOKUP) -> DataFrame:
     """DISTINCT (panel name, price text): VALUE not an integer, TEXT a price (J8)."""
     rows = lookup.where(ci_eq("LOOKUP_NAME", name) & parse_int("VALUE").isNull()
                         & parse_price("TEXT").isNotNull())
-    return rows.select(F.col("VALUE").alias("PanelName"),
-                       F.col("TEXT").alias("PanelPriceText")).distinct()
+    return (rows.groupBy(ci("VALUE").alias("_key"), ci("TEXT").alias("_price"))
+            .agg(F.min("VALUE").alias("PanelName"), F.min("TEXT").alias("PanelPriceText"))
+            .select("PanelName", "PanelPriceText"))
 
 
 def with_panel_lookups(fact: DataFrame, lookup: DataFrame, *,
-                       group_col="TestGroupName", panel_col="IsPanel",
-                       origin: str | None = None) -> DataFrame:
+                       group_col="TestGroupName", panel_col="IsPanel") -> DataFrame:
     """Left-join PanelCode and PanelPrice onto panel rows only."""
-    key = None if origin is None else (origin, "lookup")
-    pc = broadcast.bounded(
-        panel_codes(lookup).select(ci("PanelName").alias("_pc_key"), "PanelCode"), key=key)
-    pp = broadcast.bounded(
-        panel_prices(lookup).select(ci("PanelName").alias("_pp_key"),
-                                    parse_price("PanelPriceText").alias("PanelPrice")), key=key)
+    pc = panel_codes(lookup).select(ci("PanelName").alias("_pc_key"), "PanelCode")
+    pp = panel_prices(lookup).select(ci("PanelName").alias("_pp_key"),
+                                     parse_price("PanelPriceText").alias("PanelPrice"))
     key = ci(group_col)
     out = fact.join(pc, (key == pc["_pc_key"]) & F.col(panel_col), "left")
     out = out.join(pp, (key == pp["_pp_key"]) & F.col(panel_col), "left")

@@ -1,18 +1,20 @@
 """The transform: one fact row per billable result, priced at the version
 in force when it was entered (the job the nightly pipeline runs).
 
-Plan shape (one lazy DataFrame; Catalyst prunes and pushes filters):
-
-  folder dimension   folders ⋈ samples (EXTERNAL_ID) ⋈ billable clients (planner
-                     decides by size) ⟕ test groups ⟕ tests (broadcast, bounded)
-  result rows        valid results ⋈ folder dimension (FOLDERNO)
-                     ⟕ pending folders (FOLDERNO; same partitioning, no re-shuffle)
-                     → as-of version + price (broadcast, bounded)
-                     ⟕ latest result per order (ORDNO; pre-aggregated per
-                       order/folder pair before the shuffle)
-
-The big results table is shuffled once on FOLDERNO and once on ORDNO; flags
-are computed from raw results (before any filter), as the report requires.
+Plan shape (one lazy DataFrame; Catalyst prunes and pushes filters, and picks
+broadcast or shuffle joins by the tables' true sizes):
+
+  folder dimension   folders ⟕ pending folders (FOLDERNO) ⋈ samples (EXTERNAL_ID)
+                     ⋈ billable clients ⟕ test groups ⟕ tests
+  result rows        valid results ⋈ folder dimension (FOLDERNO; nothing else
+                     shares this stage, so AQE can split a hot folder)
+                     → as-of version + price
+                     ⟕ latest result per order (ORDNO)
+
+Shuffles that see result rows: one on FOLDERNO and one on ORDNO for the fact
+rows; for the latest result one on (ORDNO, FOLDERNO), after a map-side
+aggregate, then two of one row per pair (FOLDERNO, ORDNO). Flags are computed
+from raw results (before any filter), as the report requires.
 """
 
 from __future__ import annotations
@@ -22,38 +24,19 @@ from pyspark.sql import functions as F
 
 from assaybook.functions import codes
 from assaybook.functions.text import ci
-from assaybook.operators import asof, broadcast, flags
+from assaybook.operators import asof, flags
 from assaybook.operators.filters import billable_clients, ts, valid_results
 from assaybook.sources.tables import Sources
 
 
-def check_dimensions(src: Sources, extra: dict | None = None) -> None:
-    """One early-stopping size-check job for the master tables joined with a
-    broadcast hint: price lists (as-of range join), prices, test groups,
-    tests and the lookup. Their static size estimates can be far off when
-    they are derived (aggregates), and a shuffle join against the result
-    stream on a low-cardinality key (a test group) would be skewed, so their
-    row bound is proven once per source. Clients, folders and samples are
-    joined without hints: Spark's planner decides by size, AQE re-decides
-    on actual sizes and splits skewed partitions."""
-    o = src.origin
-    broadcast.check({
-        **{(o, k): v for k, v in (extra or {}).items()},
-        (o, "price_intervals"): src.price_lists,
-        (o, "prices"): src.prices,
-        (o, "groups"): src.groups,
-        (o, "tests"): src.tests,
-        (o, "lookup"): src.lookup,
-    })
-
-
 def folder_dimension(src: Sources, *, billable_only: bool = True,
-                     clients: DataFrame | None = None) -> DataFrame:
+                     pending: DataFrame | None = None) -> DataFrame:
     """One row per (folder, sample, client) with test-group/test attributes.
-
-    ``clients`` overrides the client table (already filtered)."""
+    ``pending`` (FOLDERNO) adds ``_pending``, true for its folders."""
     f = src.folders.select("FOLDERNO", ci("EXTERNAL_ID").alias("_sample_key"),
                            F.col("TESTGROUPNAME"))
+    if pending is not None:
+        f = f.join(pending.withColumn("_pending", F.lit(True)), "FOLDERNO", "left")
     s = src.samples.select(
         ci("EXTERNAL_ID").alias("_sample_key"),
         F.col("EXTERNAL_ID").alias("ExternalId"), F.col("BIRTH_DATE").alias("BirthDate"),
@@ -61,8 +44,7 @@ def folder_dimension(src: Sources, *, billable_only: bool = True,
         F.col("FIRST_NAME").alias("FirstName"), F.col("LAST_NAME").alias("LastName"),
         F.col("DATE_COLLECTED").alias("DateCollected"),
         F.col("SPEC_SOURCE").alias("SpecSource"), ci("RASCLIENTID").alias("_client_key"))
-    if clients is None:
-        clients = billable_clients(src.clients) if billable_only else src.clients
+    clients = billable_clients(src.clients) if billable_only else src.clients
     c = clients.select(ci("RASCLIENTID").alias("_client_key"), "COMPNAME",
                  F.col("CATEGORY").alias("Category"), F.col("STATE").alias("State"),
                  F.col("CITY").alias("City"), F.col("ZIP").alias("Zip"),
@@ -72,20 +54,19 @@ def folder_dimension(src: Sources, *, billable_only: bool = True,
     t = src.tests.select(ci("TESTNO").alias("_test_key"), F.col("TESTNO").alias("_testno"),
                          F.col("TESTCODE").alias("_group_testcode"),
                          F.col("LEGACY_TESTCODE").alias("_legacy_testcode"))
-    o = src.origin
     dim = (f.join(s, "_sample_key")
            .join(c, "_client_key")
            .withColumn("_group_key", ci("TESTGROUPNAME"))
-           .join(broadcast.bounded(g, key=(o, "groups")), "_group_key", "left"))
-    tb = broadcast.bounded(t, key=(o, "tests"))
+           .join(g, "_group_key", "left"))
     # tests hang off the matched test-group row, not the folder's raw name
-    dim = dim.join(tb, F.col("_group_hit") & (dim["_group_key"] == tb["_test_key"]), "left")
+    dim = dim.join(t, F.col("_group_hit") & (dim["_group_key"] == t["_test_key"]), "left")
     return dim.drop("_sample_key", "_client_key", "_test_key", "_group_hit")
 
 
 def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
                panel_rule: str = "either", per_test_version: bool = False,
                price_code_rule: str = "test", keep_pricing_code: bool = False,
+               keep_folder: bool = False,
                pending_results: DataFrame | None = None) -> DataFrame:
     """Fact rows for results entered in ``[start, end)`` (unbounded if None).
 
@@ -93,8 +74,8 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
     ``per_test_version`` picks the latest version pricing the row's code;
     ``price_code_rule`` 'test' | 'legacy' picks the group code used for the
     price lookup. ``pending_results`` (FOLDERNO, S) replaces the results as
-    the source of the pending flag when those cover only a rolling window."""
-    check_dimensions(src)
+    the source of the pending flag when those cover only a rolling window;
+    ``keep_folder`` adds FolderNo, which the stored fact keeps for its flags."""
     raw = src.results
     rows = valid_results(raw)
     if start is not None:
@@ -107,11 +88,9 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
     # only two columns and a selective status filter.
     latest_in = raw if start is None else raw.where(F.col("DATEENTER") >= ts(start))
     latest = flags.latest_result(latest_in, src.folders)
-    pending = (flags.pending_folders(raw if pending_results is None else pending_results)
-               .withColumn("_pending", F.lit(True)))
+    pending = flags.pending_folders(raw if pending_results is None else pending_results)
 
-    x = (rows.join(folder_dimension(src), "FOLDERNO")
-         .join(pending, "FOLDERNO", "left"))
+    x = rows.join(folder_dimension(src, pending=pending), "FOLDERNO")
     x = (x.withColumn("IsPanel", codes.is_panel("TESTGROUPNAME", "TESTPANEL", panel_rule))
           .withColumn("ResolvedTestCode", codes.resolved_testcode(
               "TESTCODE", "_testno", "_group_testcode", "_legacy_testcode"))
@@ -119,7 +98,7 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
               "TESTCODE", "_testno", "_group_testcode", "_legacy_testcode", price_code_rule)))
     x = asof.asof_price(x, src.price_lists, src.prices, per_test=per_test_version,
                         list_col="PriceListId", time_col="DATEENTER",
-                        code_col="_pricing_code", origin=src.origin)
+                        code_col="_pricing_code")
     x = x.join(latest, "ORDNO", "left")
     load = (F.current_timestamp().cast("timestamp_ntz") if load_ts is None else ts(load_ts))
     return x.select(
@@ -137,8 +116,5 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
         "Category", "State", "City", "Zip", "LatestResultDate",
         load.alias("ETL_LoadDate"),
         *([F.col("_pricing_code").alias("PricingCode")] if keep_pricing_code else []),
+        *([F.col("FOLDERNO").alias("FolderNo")] if keep_folder else []),
     )
-
-
-def fact_without_load_time(df: DataFrame) -> DataFrame:
-    return df.drop("ETL_LoadDate")

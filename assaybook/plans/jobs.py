@@ -37,7 +37,7 @@ def _stage_with_pending(spark: SparkSession, read: extract.Reader, staging_dir:
     tables = extract.extract_all(read, start)
     tables[extract.PENDING_TABLE] = extract.extract_pending(read)
     extract.stage_all(tables, staging_dir)
-    return spark.read.schema("FOLDERNO long, S string").parquet(
+    return spark.read.schema(extract.PENDING_SCHEMA).parquet(
         f"{staging_dir}/{extract.PENDING_TABLE}")
 
 
@@ -61,10 +61,8 @@ def report_request(spark: SparkSession, fact_dir: str, staging_dir: str, cal_dat
     cal_date, cal_end, report_type, fmt = report_plan.validate_request(
         cal_date, cal_end, report_type, fmt)
     staged = read_staged(spark, staging_dir)
-    # the staged source's identity lets the lookup's proven row bound (recorded
-    # when it was staged, or checked once per process) be reused per request
-    view = views.priced_view(store.read_fact(spark, fact_dir), staged.lookup,
-                             pii=report_type == "RWP", origin=staged.origin)
+    fact = store.read_fact(spark, fact_dir, cal_date, cal_end)  # lists the window's years only
+    view = views.priced_view(fact, staged.lookup, pii=report_type == "RWP")
     rep = report_plan.report(view, cal_date, cal_end, report_type)
     if report_type == "RWP":
         rep = report_plan.display(rep)
@@ -77,7 +75,8 @@ def report_request(spark: SparkSession, fact_dir: str, staging_dir: str, cal_dat
         if fmt == "csv":
             sinks.write_csv(counted, out_path, sort=False)
         elif fmt == "xlsx":
-            sinks.write_tabs(report_plan.tabs(counted, cal_date), out_path)
+            sinks.write_tabs(report_plan.tabs(counted, cal_date, report_type), out_path,
+                             report_plan.sheet_names(cal_date, report_type))
         else:
             sinks.write_json(counted, out_path, sort=False)
         rows = int(obs.get["rows"])

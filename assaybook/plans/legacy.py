@@ -18,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaybook import schemas
 from assaybook.functions import codes
 from assaybook.functions.text import ci, ci_contains, ci_in, ci_ne, ci_startswith
-from assaybook.operators import broadcast, flags
+from assaybook.operators import flags
 from assaybook.operators.filters import billable_client, in_window
 from assaybook.operators.panels import legacy_lookup_by_text, legacy_lookup_by_value
-from assaybook.plans.fact import check_dimensions, folder_dimension
+from assaybook.plans.fact import folder_dimension
 from assaybook.sources.tables import Sources
 
 # The company list of the special-client selection (note the
@@ -33,8 +34,6 @@ SPECIAL_SET_EXCLUDED = [
     "MiraVista Quality System", "Greater Than", "Additional Positive Unconfirmed", "ZZZ%",
 ]
 
-PII_COLUMNS = ["BIRTH_DATE", "CLIENT_SAMPLE_ID", "FIRST_NAME", "LAST_NAME"]
-
 
 def released_prices(src: Sources) -> DataFrame:
     """(list key, code) -> MIN(PRICE) over versions with status Released."""
@@ -47,8 +46,7 @@ def released_prices(src: Sources) -> DataFrame:
 
 
 def _with_released_price(rows: DataFrame, src: Sources) -> DataFrame:
-    # at most one row per price row: the prices' row bound covers it
-    rp = broadcast.bounded(released_prices(src), key=(src.origin, "prices"))
+    rp = released_prices(src)
     cond = (ci(rows["PriceListId"]) == rp["_lp_list"]) & (rows["_pricing_code"] == rp["_lp_code"])
     return rows.join(rp, cond).drop("_lp_list", "_lp_code")
 
@@ -62,18 +60,17 @@ def special_clients(src: Sources) -> DataFrame:
     return src.clients.where(special_client_rows())
 
 
-def _base_rows(src: Sources, cal_date, cal_end) -> DataFrame:
+def _base_rows(src: Sources, cal_date, cal_end, pending: DataFrame | None = None) -> DataFrame:
     """Window results with a real result and a billable code, joined to
     folder/sample/any client/test group/test, priced at a released version.
-    Both the report rows and the special-client samples come from here, so
-    the results are scanned and shuffled once for both."""
+    With ``pending`` the folders carry that flag, so the pending rule costs no
+    join of the result rows."""
     r = src.results.where(in_window("DATEENTER", cal_date, cal_end)
                           & ~ci_in("NUMRES", codes.NO_RESULT_VALUES)
                           & ~F.col("TESTCODE").isin(codes.EXCLUDED_TESTCODES))
-    o = src.origin
-    md = broadcast.bounded(legacy_lookup_by_value(src.lookup), key=(o, "lookup"))
-    nd = broadcast.bounded(legacy_lookup_by_text(src.lookup), key=(o, "lookup"))
-    fd = folder_dimension(src, billable_only=False).withColumn("_gk", ci("TESTGROUPNAME"))
+    md, nd = legacy_lookup_by_value(src.lookup), legacy_lookup_by_text(src.lookup)
+    fd = folder_dimension(src, billable_only=False, pending=pending)
+    fd = fd.withColumn("_gk", ci("TESTGROUPNAME"))
     fd = (fd.join(md, fd["_gk"] == md["_md_key"], "left")
             .join(nd, fd["_gk"] == nd["_nd_key"], "left")
             .drop("_gk", "_md_key", "_nd_key"))
@@ -82,33 +79,27 @@ def _base_rows(src: Sources, cal_date, cal_end) -> DataFrame:
     return _with_released_price(x, src)
 
 
-def special_samples_from(base: DataFrame) -> DataFrame:
+def special_samples(src: Sources, cal_date, cal_end) -> DataFrame:
     """Distinct samples of the special client (J14): no status, category,
-    pending or later-result rule applies to this set."""
+    pending or later-result rule applies to this set. Its own scan of the
+    window: the client and code filters reach the tables before the shuffle."""
+    base = _base_rows(src, cal_date, cal_end)
     return (base.where(special_client_rows() & (F.col("TESTCODE") == codes.SPECIAL_CLIENT_TESTCODE))
             .select("ExternalId").distinct())
 
 
-def special_samples(src: Sources, cal_date, cal_end) -> DataFrame:
-    check_dimensions(src)
-    return special_samples_from(_base_rows(src, cal_date, cal_end))
-
-
-def legacy_rows(src: Sources, cal_date, cal_end, base: DataFrame | None = None) -> DataFrame:
-    """Result rows entering the legacy aggregate. The pending anti-join runs
-    right after the FOLDERNO join (same partitioning), the later-results
-    anti-join shuffles on ORDNO, which the (ORDNO, COMPNAME) aggregate reuses."""
-    base = _base_rows(src, cal_date, cal_end) if base is None else base
-    x = base.where(ci_ne("S", codes.CANCEL) & billable_client("COMPNAME", "Category"))
-    x = flags.drop_pending_folders(x, src.results)
-    return flags.drop_orders_with_later_results(x, src.results, src.folders, cal_end)
+def legacy_rows(src: Sources, cal_date, cal_end) -> DataFrame:
+    """Result rows entering the legacy aggregate (pending folders removed)."""
+    base = _base_rows(src, cal_date, cal_end, flags.pending_folders(src.results))
+    return base.where(F.col("_pending").isNull() & ci_ne("S", codes.CANCEL)
+                      & billable_client("COMPNAME", "Category"))
 
 
 def legacy_report(src: Sources, cal_date, cal_end, *, pii: bool = True) -> DataFrame:
-    check_dimensions(src)
-    base = _base_rows(src, cal_date, cal_end)
-    rows = legacy_rows(src, cal_date, cal_end, base)
-    g = rows.groupBy("ORDNO", "COMPNAME").agg(
+    # grouped under the collation, aggregated map-side first: a hot order is a
+    # few rows before the later-results rule, which depends on ORDNO only
+    g = legacy_rows(src, cal_date, cal_end).groupBy("ORDNO", ci("COMPNAME").alias("_comp")).agg(
+        F.min("COMPNAME").alias("COMPNAME"),
         F.min("BirthDate").alias("BIRTH_DATE"),
         F.min("ClientSampleId").alias("CLIENT_SAMPLE_ID"),
         F.min("DateCollected").alias("DATE_COLLECTED"),
@@ -126,6 +117,7 @@ def legacy_report(src: Sources, cal_date, cal_end, *, pii: bool = True) -> DataF
         F.min("RN2").alias("RN2"), F.min("PriceListId").alias("PRICELISTID"),
         F.min("State").alias("STATE"), F.min("City").alias("CITY"),
         F.min("Zip").alias("ZIP"), F.min("S").alias("_s"), F.min("RN3").alias("_rn3"))
+    g = flags.drop_orders_with_later_results(g, src.results, src.folders, cal_end)
     panel = F.coalesce(ci_contains("_g", "panel"), F.lit(False))
     testcode = F.when(panel, F.when(ci("_ndt") == ci("_g"), codes.parse_int("_ndv"))).otherwise(
         codes.resolved_testcode("_src", "_tno", "_gtc", "_leg"))
@@ -138,8 +130,7 @@ def legacy_report(src: Sources, cal_date, cal_end, *, pii: bool = True) -> DataF
         "LAST_NAME", "SPEC_SOURCE", testcode.alias("TESTCODE"), "CATEGORY", "COMPNAME",
         "DATEENTER", "FINAL", "NUMRES", "RN2", price.alias("PRICE"), "PRICELISTID", "ORDNO",
         "STATE", "CITY", "ZIP", cancel.alias("CANCEL_STATUS"))
-    # The anti-join runs on aggregated rows (one per order), so a shuffle
-    # anti-join is cheap; no size proof (it would rerun the folder join).
-    sk = special_samples_from(base).select(ci("ExternalId").alias("_sk")).distinct()
+    # the anti-join runs on aggregated rows, one per order and company
+    sk = special_samples(src, cal_date, cal_end).select(ci("ExternalId").alias("_sk")).distinct()
     out = out.join(sk, ci(out["EXTERNAL_ID"]) == sk["_sk"], "left_anti")
-    return out if pii else out.drop(*PII_COLUMNS)
+    return out if pii else out.drop(*schemas.PII)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaybook.functions.text import ci
-from assaybook.operators import broadcast
 from assaybook.operators.filters import in_window, month_key_between, ts
 from assaybook.plans.legacy import released_prices
-from assaybook.plans.views import PII_VIEW_COLUMNS, view_keeps
+from assaybook.plans.views import view_keeps
+from assaybook.schemas import PII
 from assaybook.operators.panels import with_panel_lookups
 
 STATUS_OLD_ONLY, STATUS_NEW_ONLY, STATUS_DIFF = "old_only", "new_only", "diff"
@@ -45,6 +45,21 @@ def reconcile_price(old: DataFrame, new: DataFrame) -> DataFrame:
         .where(F.col("STATUS").isNotNull()))
 
 
+def panel_rows_in_order(rows: DataFrame) -> DataFrame:
+    """O5: the panel listing by company, then order."""
+    return rows.orderBy("COMPNAME", "ORDNO", "TESTCODE", "PRICE")
+
+
+def unpriced_in_order(rows: DataFrame) -> DataFrame:
+    """O5: the unpriced listing by company."""
+    return rows.orderBy("COMPNAME", "ORDNO", "DateEnter")
+
+
+def most_results_first(orders: DataFrame) -> DataFrame:
+    """O5: the multi-row orders, most results first."""
+    return orders.orderBy(F.col("ResultCount").desc(), "ORDNO", "COMPNAME")
+
+
 def largest_differences_first(diffs: DataFrame) -> DataFrame:
     """O3: the reconciliation listing ordered by |price difference|, largest
     first (a global sort, applied only where the listing is written)."""
@@ -79,10 +94,10 @@ def reconcile_counts(old: DataFrame, new: DataFrame, view: DataFrame, cal_date,
                       F.count_if(F.col("_src") == 2).alias("VIEW_ROWS"))
 
 
-def pending_counts(fact: DataFrame, lookup: DataFrame, origin: str | None = None) -> DataFrame:
+def pending_counts(fact: DataFrame, lookup: DataFrame) -> DataFrame:
     """PendingInFact, RowsInView, TotalInFact in one pass over the fact (A9);
     RowsInView <= TotalInFact is the D-d invariant."""
-    x = with_panel_lookups(fact, lookup, origin=origin)
+    x = with_panel_lookups(fact, lookup)
     return x.agg(F.count_if(F.col("HasPendingResults")).alias("PendingInFact"),
                  F.count_if(view_keeps()).alias("RowsInView"),
                  F.count(F.lit(1)).alias("TotalInFact"))
@@ -110,16 +125,15 @@ def panel_rows(view: DataFrame, cal_date, cal_end) -> DataFrame:
 
 def multi_row_orders(fact: DataFrame, cal_date, cal_end) -> DataFrame:
     """(ORDNO, COMPNAME) with more than one fact row in the window (A8)."""
-    return (fact_window(fact, cal_date, cal_end).groupBy("ORDNO", "COMPNAME")
-            .agg(F.count(F.lit(1)).alias("ResultCount")).where(F.col("ResultCount") > 1))
+    return (fact_window(fact, cal_date, cal_end).groupBy("ORDNO", ci("COMPNAME").alias("_comp"))
+            .agg(F.min("COMPNAME").alias("COMPNAME"), F.count(F.lit(1)).alias("ResultCount"))
+            .where(F.col("ResultCount") > 1).drop("_comp"))
 
 
-def boundary_results(fact: DataFrame, price_lists: DataFrame, since, origin: str | None = None) -> DataFrame:
+def boundary_results(fact: DataFrame, price_lists: DataFrame, since) -> DataFrame:
     """Results entered on a calendar day some price version started (J18)."""
     days = (price_lists.where(F.col("STARTDDATE").isNotNull())
             .select(F.to_date("STARTDDATE").alias("_day")).distinct())
-    # at most one row per version: the price-list row bound covers it
-    days = broadcast.bounded(days, key=None if origin is None else (origin, "price_intervals"))
     f = fact.where(F.col("DateEnter") >= ts(since))
     if "year" in fact.columns and "month" in fact.columns:
         d = since if isinstance(since, dt.date) else dt.date.fromisoformat(str(since)[:10])
@@ -137,7 +151,7 @@ def version_changes(price_lists: DataFrame, start, end) -> DataFrame:
 def price_drift(fact_with_code: DataFrame, src, cal_date, cal_end) -> DataFrame:
     """Per result in the window: point-in-time price vs the legacy released
     price of the same code (D-f); rows where they differ."""
-    rp = broadcast.bounded(released_prices(src), key=(src.origin, "prices"))
+    rp = released_prices(src)
     f = fact_with_code.where(in_window("DateEnter", cal_date, cal_end))
     j = f.join(rp, (ci(f["PriceListId"]) == rp["_lp_list"]) & (f["PricingCode"] == rp["_lp_code"]),
                "left")
@@ -149,6 +163,6 @@ def price_drift(fact_with_code: DataFrame, src, cal_date, cal_end) -> DataFrame:
 
 def assert_no_pii(df: DataFrame) -> None:
     """A10: the no-PII frame must not carry any PII column."""
-    leaked = sorted(set(c.upper() for c in df.columns) & set(PII_VIEW_COLUMNS))
+    leaked = sorted(set(c.upper() for c in df.columns) & set(PII))
     if leaked:
         raise AssertionError(f"PII columns present: {leaked}")

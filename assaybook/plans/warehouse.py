@@ -9,27 +9,34 @@ named by ``spark.checkpoint.dir`` and read back with partition pruning.
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaybook import schemas
 from assaybook.plans.fact import build_fact
 from assaybook.session import work_dir
 from assaybook.sources import store
 from assaybook.sources.tables import Sources
 
+#: Raised with every change of the transform's rules, so old facts are not reused.
+FACT_VERSION = 2
 
-def fact_location(spark: SparkSession, src: Sources, tag: str = "fact") -> str:
-    """Cache folder keyed by the source location and a listing fingerprint of
-    it, so changed inputs get a new fact."""
-    origin = src.origin or "anonymous"
-    marker = origin + "|" + (store.fingerprint(spark, origin) if src.origin else "")
-    h = hashlib.sha1(marker.encode()).hexdigest()[:16]
-    return f"{work_dir(spark)}/assaybook/{tag}-{h}"
+
+def fact_location(spark: SparkSession, src: Sources, **fact_opts) -> str:
+    """Cache folder keyed by the source's location and version, the transform's
+    options and version, and the stored schema."""
+    if not src.origin:
+        raise ValueError("a source without an origin has no identity to cache a fact under")
+    key = [src.origin, store.source_version(spark, src.origin), sorted((k, repr(v)) for k, v in fact_opts.items()),
+           FACT_VERSION, schemas.FACT_STORED.simpleString()]
+    h = hashlib.sha1(json.dumps(key).encode()).hexdigest()[:16]
+    return f"{work_dir(spark)}/assaybook/fact-{h}"
 
 
 def materialized_fact(spark: SparkSession, src: Sources, **fact_opts) -> DataFrame:
     """Read the stored fact for ``src``, building it first if absent."""
-    path = fact_location(spark, src)
-    if not store.path_exists(spark, f"{path}/_SUCCESS"):
-        store.publish(spark, build_fact(src, **fact_opts), path, replace=False)
+    path = fact_location(spark, src, **fact_opts)
+    if store.current_years(spark, path) is None:
+        store.publish(spark, build_fact(src, keep_folder=True, **fact_opts), path, replace=False)
     return store.read_fact(spark, path)

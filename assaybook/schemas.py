@@ -57,9 +57,8 @@ FACT = _st(
     ("Category", S), ("State", S), ("City", S), ("Zip", S),
     ("LatestResultDate", TS), ("ETL_LoadDate", TS),
 )
-FACT_COLUMNS = [f.name for f in FACT.fields]
-FACT_PARTITIONS = ["year", "month"]
-FACT_STORED = T.StructType(FACT.fields + [T.StructField("year", I, True),
+# As stored: FolderNo (for refreshing the folder's flag; readers drop it) and the partition columns.
+FACT_STORED = T.StructType(FACT.fields + [T.StructField("FolderNo", L, True), T.StructField("year", I, True),
                                           T.StructField("month", I, True)])
 
 PII = ["BIRTH_DATE", "CLIENT_SAMPLE_ID", "FIRST_NAME", "LAST_NAME"]

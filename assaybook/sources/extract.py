@@ -8,14 +8,16 @@ fixture tables, which expose the same projection."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaybook import schemas
-from assaybook.operators import broadcast
+from assaybook.sources import store
 from assaybook.sources.tables import Sources, as_dict
 
 Reader = Callable[[str, "str | None"], DataFrame]
@@ -30,16 +32,17 @@ SPLIT_COLUMNS = {"RESULTS": "ORIGREC", "FOLDERS": "FOLDERNO", "CENTRALRECEIVING"
 
 
 def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *,
-                results_partitions: int = 64, medium_partitions: int = 16,
-                fetchsize: int = 10_000, query_timeout_s: int = 3600) -> Reader:
+                rows_per_task: int = 1_000_000, fetchsize: int = 10_000,
+                query_timeout_s: int = 3600) -> Reader:
     """Reader over a SQL Server style JDBC source, read-uncommitted, each
     statement limited to ``query_timeout_s`` (task retries cover transient
-    failures)."""
+    failures). Split tables are read by as many tasks as their row count
+    needs. Date-times come without a zone, as the source stores them."""
     props = dict(properties or {})
 
     def base():
         r = (spark.read.format("jdbc").option("url", url).option("fetchsize", fetchsize)
-             .option("queryTimeout", query_timeout_s)
+             .option("queryTimeout", query_timeout_s).option("preferTimestampNTZ", True)
              .option("sessionInitStatement",
                      "SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"))
         for k, v in props.items():
@@ -50,12 +53,12 @@ def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *
         cols = ", ".join(EXTRACT_COLUMNS[table])
         split = SPLIT_COLUMNS.get(table)
         if split:
-            # parallel range reads on the split key; bounds from one small query
+            # parallel range reads on the split key; bounds and count from one small query
             cond = f" WHERE {where}" if where else ""
-            b = (base().option("query", f"SELECT MIN({split}) AS lo, MAX({split}) AS hi "
+            b = (base().option("query", f"SELECT MIN({split}) AS lo, MAX({split}) AS hi, COUNT_BIG(*) AS n "
                                         f"FROM {table}{cond}").load().first())
             lo, hi = (b["lo"] or 0), (b["hi"] or 0)
-            n = results_partitions if table == "RESULTS" else medium_partitions
+            n = max(1, -(-(b["n"] or 0) // rows_per_task))
             return (base().option("dbtable", f"(SELECT {cols} FROM {table}{cond}) t")
                     .option("partitionColumn", split).option("lowerBound", lo)
                     .option("upperBound", hi + 1)
@@ -66,10 +69,9 @@ def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *
     return read
 
 
-def fixture_reader(src: Sources, results_partitions: int | None = None,
-                   medium_partitions: int | None = None) -> Reader:
-    """Reader over in-memory/test tables. The partition counts mimic the JDBC
-    extract's parallel reads on ``SPLIT_COLUMNS`` (one output file per read);
+def fixture_reader(src: Sources, split_partitions: int | None = None) -> Reader:
+    """Reader over in-memory/test tables. ``split_partitions`` mimics the JDBC
+    extract's parallel reads of ``SPLIT_COLUMNS`` (one output file per read);
     a hash split on the key avoids range sampling, the files are as parallel."""
     tables = as_dict(src)
 
@@ -77,9 +79,8 @@ def fixture_reader(src: Sources, results_partitions: int | None = None,
         df = tables[table].select(*EXTRACT_COLUMNS[table])
         if where:
             df = df.where(F.expr(where))
-        n = results_partitions if table == "RESULTS" else medium_partitions
-        if table in SPLIT_COLUMNS and n:
-            df = df.repartition(n, SPLIT_COLUMNS[table])
+        if table in SPLIT_COLUMNS and split_partitions:
+            df = df.repartition(split_partitions, SPLIT_COLUMNS[table])
         return df
 
     return read
@@ -117,32 +118,42 @@ def extract_all(read: Reader, rolling_start: dt.date | None = None) -> dict[str,
     return out
 
 
-def stage(df: DataFrame, path: str) -> int:
-    """Write one staged table; returns its row count, observed by the write."""
-    obs = Observation(f"stage:{path}")
-    (df.observe(obs, F.count(F.lit(1)).alias("rows"))
-       .write.mode("overwrite").option("compression", "snappy").parquet(path))
-    return int(obs.get["rows"])
+PENDING_SCHEMA = T.StructType([f for f in schemas.RESULTS.fields if f.name in ("FOLDERNO", "S")])
+
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the staged table's columns and types. The source's integer
+    and text keys, date-times and money become the declared types; a value
+    that does not fit raises (ANSI casts) instead of being staged as null."""
+    def typed(f):
+        c = F.col(f.name)
+        have = df.schema[f.name].dataType
+        if isinstance(f.dataType, T.TimestampNTZType) and isinstance(have, T.TimestampType):
+            raise TypeError(f"{f.name} was read with a time zone; read it with preferTimestampNTZ")
+        return c.cast(f.dataType).alias(f.name)
+    return df.select(*map(typed, schema.fields))
 
-# staged table -> size-check key of the plans (see plans.fact.check_dimensions)
-BOUND_KEYS = {"RASPRICELIST": "price_intervals", "RASTESTPRICES": "prices",
-              "TESTGROUPNAMES": "groups", "TESTS": "tests", "METADATA_LOOKUP_VALUES": "lookup"}
+
+def stage(df: DataFrame, path: str, schema: T.StructType | None = None) -> int:
+    """Write one staged table under its declared types; returns its row count,
+    observed by the write."""
+    obs = Observation(f"stage:{path}")
+    out = df if schema is None else conform(df, schema)
+    (out.observe(obs, F.count(F.lit(1)).alias("rows"))
+        .write.mode("overwrite").option("compression", "snappy").parquet(path))
+    return int(obs.get["rows"])
 
 
 def stage_all(tables: dict[str, DataFrame], staging_dir: str, parallel: int = 9) -> dict[str, int]:
     """Stage every table; the copies are independent, so their jobs are
-    submitted concurrently and Spark interleaves their tasks. The row counts
-    observed on the way are recorded as proven broadcast bounds for the
-    staged source, so reading it back needs no size-check job."""
-    if parallel <= 1:
-        counts = {name: stage(df, f"{staging_dir}/{name}") for name, df in tables.items()}
-    else:
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            futures = {name: pool.submit(stage, df, f"{staging_dir}/{name}")
-                       for name, df in tables.items()}
-            counts = {name: f.result() for name, f in futures.items()}
-    for name, key in BOUND_KEYS.items():
-        if name in counts:
-            broadcast.record((staging_dir, key), counts[name])
+    submitted concurrently and Spark interleaves their tasks. A version marker
+    is written last: what is derived from the staged tables is kept by it."""
+    kinds = schemas.SOURCES | {PENDING_TABLE: PENDING_SCHEMA}
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        futures = {name: pool.submit(stage, df, f"{staging_dir}/{name}", kinds.get(name))
+                   for name, df in tables.items()}
+        counts = {name: f.result() for name, f in futures.items()}
+    for df in tables.values():
+        store.write_text(df.sparkSession, f"{staging_dir}/_VERSION", uuid.uuid4().hex, replace=True)
+        break
     return counts

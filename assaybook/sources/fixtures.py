@@ -37,6 +37,15 @@ def _txt(c: Column) -> Column:
     return c.cast("string")
 
 
+def _entered() -> Column:
+    """Ship date with a time of day: midnight and 00:01 each for a fifth of the
+    rows (both sides of a closed window's end), else any millisecond."""
+    supp = F.col("l_suppkey") % 5
+    ms = (F.when(supp == 0, F.lit(0)).when(supp == 1, F.lit(60_000))
+          .otherwise((F.col("l_partkey") * 7919 + F.col("l_orderkey") * 104_729) % 86_400_000))
+    return F.timestamp_add("MILLISECOND", ms.cast("long"), F.col("l_shipdate").cast("timestamp_ntz"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
@@ -57,7 +66,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_discount") > 0.095, "Cancel")
          .when(supp % 97 == 5, "Logged").when(supp % 97 == 6, "Draft")
          .otherwise("Released").alias("S"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("DATEENTER"),
+        _entered().alias("DATEENTER"),
     )
 
 
@@ -95,6 +104,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients, and for some a second row whose name differs in case and blanks."""
+    one = client_rows(spark, sf_dir)
+    again = one.where(F.col("RASCLIENTID").cast("long") % 40 == 7)
+    return one.unionByName(again.withColumn("COMPNAME", F.concat(F.upper("COMPNAME"), F.lit("  "))))
+
+
+def client_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     n = _read(spark, sf_dir, "nation")
     r = _read(spark, sf_dir, "region")
@@ -171,7 +187,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "TESTCODE", "base",
         F.concat(F.lit("PL"), _txt(F.col("_n") % 5), F.lit("/"),
                  _txt((F.floor(F.col("_n") / 5) + 1).cast("int"))).alias("_k"))
-    out = keyed.join(F.broadcast(lists), "_k")
+    out = keyed.join(lists, "_k")
     price = (F.col("base").cast("decimal(8,2)") + 10 * F.col("PRICELISTVERSION")).cast("decimal(8,2)")
     return (out.where((F.col("TESTCODE") + F.col("PRICELISTVERSION")) % 11 != 0)
             .select("PRICELISTID", "PRICELISTVERSION", "TESTCODE", price.alias("PRICE")))
@@ -181,6 +197,8 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOOKUP_ROWS = [
     ("PanelPricing", "401", "Histo Panel"),
     ("PanelPricing", "Histo Panel", "150.00"),
+    ("PanelPricing", "401", "HISTO PANEL "),
+    ("PanelPricing", "histo panel", "150.00 "),
     ("PanelPricing", "402", "Fungal panel"),
     ("PanelPricing", "Fungal panel", "275.50"),
 ]
@@ -219,11 +237,14 @@ def load_cached(spark: SparkSession, sf_dir: str) -> Sources:
 
 def client_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two client snapshots for change capture: old lacks ids % 17 = 0 and has
-    ZIP altered where id % 13 = 0; new lacks ids % 19 = 0."""
-    c = clients(spark, sf_dir)
+    ZIP altered where id % 13 = 0; new lacks ids % 19 = 0 and has a trailing blank
+    in the ids % 23 = 0 (the same key, another row image)."""
     key = F.col("RASCLIENTID").cast("long")
+    c = client_rows(spark, sf_dir).select(key.alias("ORIGREC"), "*")
     old = (c.where(key % 17 != 0)
             .withColumn("ZIP", F.when(key % 13 == 0, F.concat(F.lit("X"), F.col("ZIP")))
                         .otherwise(F.col("ZIP"))))
-    new = c.where(key % 19 != 0)
+    new = (c.where(key % 19 != 0)
+            .withColumn("RASCLIENTID", F.when(key % 23 == 0, F.concat(F.col("RASCLIENTID"), F.lit(" ")))
+                        .otherwise(F.col("RASCLIENTID"))))
     return old, new

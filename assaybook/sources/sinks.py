@@ -65,24 +65,23 @@ def sort_report(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, sort: bool = True) -> None:
-    """CSV files with a header via Spark's writer, configured to keep blanks
-    and write NULL and '' as nothing."""
-    ((sort_report(df) if sort else df).write.mode("overwrite")
-     .option("header", True).option("quote", '"').option("escape", '"')
-     .option("nullValue", "").option("emptyValue", "")
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss")
-     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss")
-     .csv(path))
+    """CSV text exactly as ``csv_lines`` has it. The first file holds the header
+    alone, so the files in name order are the whole document and an empty
+    report still has its header."""
+    rows = sort_report(df) if sort else df
+    header = df.sparkSession.range(1).select(F.lit(csv_header(df)).alias("line"))
+    header.coalesce(1).union(csv_lines(rows)).write.mode("overwrite").text(path)
 
 
 def write_json(df: DataFrame, path: str, sort: bool = True) -> None:
     (sort_report(df) if sort else df).transform(json_records).write.mode("overwrite").text(path)
 
 
-def write_tabs(tabbed: DataFrame, path: str) -> None:
-    """One folder per tab (the spreadsheet's sheets), one scan."""
-    (tabbed.write.mode("overwrite").partitionBy("tab")
-     .option("header", True).option("nullValue", "").option("emptyValue", "")
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .csv(path))
+def write_tabs(tabbed: DataFrame, path: str, names: list[str]) -> None:
+    """One folder per tab (the spreadsheet's sheets), one scan; each is CSV text
+    as ``write_csv`` writes it, empty tabs included."""
+    body = tabbed.drop("tab")
+    lines = tabbed.select("tab", F.concat_ws(",", *[csv_field(body, c) for c in body.columns]).alias("line"))
+    headers = (tabbed.sparkSession.range(1)
+               .select(F.explode(F.array(*map(F.lit, names))).alias("tab"), F.lit(csv_header(body)).alias("line")))
+    headers.coalesce(1).union(lines).write.mode("overwrite").partitionBy("tab").text(path)

@@ -1,57 +1,146 @@
 """Gold fact store: partitioned Parquet by year/month of DateEnter.
 
-Writes go to a staging folder beside the target in one job and are then
-published per year folder with filesystem renames, so a failed or empty
-run never removes live partitions, and a reloaded year is replaced whole
-(months that became empty disappear; other years are untouched).
+Every write goes to a new run folder; readers follow a pointer that maps each
+year to the run holding it. Publishing is one small file: the next numbered
+pointer, created only if that number is free. Live data is never moved or
+deleted before the switch, so a run that fails at any step leaves the old fact
+whole, and a pointer that was cut short is passed over for the one before it.
+Runs that the last pointers no longer name are removed afterwards.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from assaybook import schemas
+from assaybook.operators import flags
+from assaybook.operators.filters import ts
+
+POINTERS = "_pointers"
+#: Pointers whose runs are kept, and the age from which an unnamed run is removed.
+KEEP_POINTERS, GRACE_S = 2, 86_400
 
 
 class EmptyOutputError(RuntimeError):
     """The transform produced no rows; nothing was published."""
 
 
+class ConcurrentPublishError(RuntimeError):
+    """Another run published meanwhile; this one was discarded."""
+
+
 def with_partitions(df: DataFrame, col: str = "DateEnter") -> DataFrame:
     return (df.withColumn("year", F.year(col).cast("int"))
               .withColumn("month", F.month(col).cast("int")))
 
 
+# ---------------------------------------------------------------- small files
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs, p, jvm
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def fingerprint(spark: SparkSession, path: str) -> str:
-    """Change marker of a folder on any Hadoop filesystem: names, sizes and
-    modification times of the files below it (metadata listing only)."""
+def _names(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, length, modification time) of a folder's own entries."""
     fs, p, _ = _fs(spark, path)
     if not fs.exists(p):
-        return ""
-    it = fs.listFiles(p, True)
-    parts = []
-    while it.hasNext():
-        st = it.next()
-        parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
-    return "|".join(sorted(parts))
+        return []
+    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p, jvm = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, *, replace: bool = False) -> None:
+    """Write a small file; without ``replace`` an existing one raises."""
     fs, p, _ = _fs(spark, path)
-    return fs.exists(p)
+    stream = fs.create(p, replace)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.delete(p, True)
+
+
+def source_version(spark: SparkSession, path: str) -> str:
+    """Version of a source folder: the marker that staging writes last, or, for
+    a folder without one, its own entries (one listing, not recursive)."""
+    marker = read_text(spark, f"{path}/_VERSION")
+    return marker if marker is not None else json.dumps(_names(spark, path))
+
+
+# ---------------------------------------------------------------- pointer
+def _pointers(spark: SparkSession, fact_dir: str) -> list[tuple[int, dict[int, str]]]:
+    """Readable pointers (number, year -> run), newest first."""
+    out = []
+    for name, _, _ in reversed(_names(spark, f"{fact_dir}/{POINTERS}")):
+        try:
+            years = json.loads(read_text(spark, f"{fact_dir}/{POINTERS}/{name}"))["years"]
+            out.append((int(name.split(".")[0]), {int(y): run for y, run in years.items()}))
+        except (ValueError, KeyError, TypeError):
+            continue  # cut short: the pointer before it still holds
+    return out
 
 
+def current_years(spark: SparkSession, fact_dir: str) -> dict[int, str] | None:
+    """Year -> run of the live fact; None if nothing is published."""
+    found = _pointers(spark, fact_dir.rstrip("/"))
+    return found[0][1] if found else None
+
+
+def _switch(spark: SparkSession, fact_dir: str, years: dict[int, str], seen: int) -> None:
+    """Publish ``years`` as the pointer after number ``seen``."""
+    path = f"{fact_dir}/{POINTERS}/{seen + 1:012d}.json"
+    body = json.dumps({"years": {str(y): r for y, r in sorted(years.items())}})
+    try:
+        write_text(spark, path, body)
+    except Exception as e:
+        if "already exists" in str(e).lower():
+            raise ConcurrentPublishError(path) from e
+        raise
+
+
+def _last_number(spark: SparkSession, fact_dir: str) -> int:
+    return max([0, *(int(n.split(".")[0]) for n, _, _ in _names(spark, f"{fact_dir}/{POINTERS}")
+                     if n.split(".")[0].isdigit())])
+
+
+def remove_old_runs(spark: SparkSession, fact_dir: str, *, keep: int = KEEP_POINTERS,
+                    grace_s: float = GRACE_S) -> list[str]:
+    """Remove run folders that the last ``keep`` pointers do not name and that
+    are older than ``grace_s`` (a run still being written is younger)."""
+    fact_dir = fact_dir.rstrip("/")
+    named = {run for _, years in _pointers(spark, fact_dir)[:keep] for run in years.values()}
+    gone = []
+    for name, _, changed in _names(spark, fact_dir):
+        if name.startswith("run-") and name not in named and time.time() - changed / 1000 >= grace_s:
+            fs, p, _ = _fs(spark, f"{fact_dir}/{name}")
+            if fs.delete(p, True):
+                gone.append(name)
+    return gone
+
+
+# ---------------------------------------------------------------- write
 def _write_partitioned(df: DataFrame, path: str, max_records_per_file: int) -> int:
     obs = Observation("fact_write")
     out = with_partitions(df).observe(obs, F.count(F.lit(1)).alias("rows"))
@@ -62,7 +151,7 @@ def _write_partitioned(df: DataFrame, path: str, max_records_per_file: int) -> i
     # window ending mid-month skips row groups inside its edge months.
     (out.hint("rebalance", "year", "month")
         .sortWithinPartitions("year", "month", "DateEnter")
-        .write.mode("overwrite")
+        .write.mode("error")
         .option("maxRecordsPerFile", max_records_per_file)
         .option("compression", "snappy")
         .partitionBy("year", "month")
@@ -72,45 +161,64 @@ def _write_partitioned(df: DataFrame, path: str, max_records_per_file: int) -> i
 
 def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
             allow_empty: bool = False, max_records_per_file: int = 5_000_000,
-            replace: bool = True) -> int:
-    """Write ``df`` and publish it into ``fact_dir``.
+            replace: bool = True, grace_s: float = GRACE_S) -> int:
+    """Write ``df`` as a new run and switch ``fact_dir`` to it.
 
-    ``years=None`` replaces the whole table; otherwise exactly those
-    ``year=YYYY`` folders are replaced (a year without rows is cleared).
-    ``replace=False`` (whole table only) keeps a complete table another run
-    published meanwhile and discards this copy. Returns the rows written."""
+    ``years=None`` replaces the whole table; otherwise exactly those years (a
+    year without rows is cleared). ``replace=False`` (whole table only) keeps a
+    table that another run published meanwhile and discards this copy. Returns
+    the rows written."""
     fact_dir = fact_dir.rstrip("/")
-    staging = f"{fact_dir}__staging_{uuid.uuid4().hex[:12]}"
-    n = _write_partitioned(df, staging, max_records_per_file)
-    fs, _, jvm = _fs(spark, staging)
-    Path = jvm.org.apache.hadoop.fs.Path
-    if n == 0 and not allow_empty:
-        fs.delete(Path(staging), True)
-        raise EmptyOutputError(f"transform produced 0 rows; {fact_dir} left unchanged")
-    if years is None:
-        if not replace and fs.exists(Path(f"{fact_dir}/_SUCCESS")):
-            fs.delete(Path(staging), True)
+    seen = _last_number(spark, fact_dir)
+    run = f"run-{uuid.uuid4().hex[:12]}"
+    fs, path, _ = _fs(spark, f"{fact_dir}/{run}")
+    try:
+        n = _write_partitioned(df, f"{fact_dir}/{run}", max_records_per_file)
+        if n == 0 and not allow_empty:
+            raise EmptyOutputError(f"transform produced 0 rows; {fact_dir} left unchanged")
+        live = current_years(spark, fact_dir)
+        if years is None and not replace and live is not None:
+            fs.delete(path, True)
             return n
-        fs.delete(Path(fact_dir), True)
-        fs.rename(Path(staging), Path(fact_dir))
-        return n
-    fs.mkdirs(Path(fact_dir))
-    for y in years:
-        live = Path(f"{fact_dir}/year={y}")
-        staged = Path(f"{staging}/year={y}")
-        fs.delete(live, True)
-        if fs.exists(staged):
-            fs.rename(staged, live)
-    fs.delete(Path(staging), True)
+        wrote = {int(name[5:]): run for name, _, _ in _names(spark, f"{fact_dir}/{run}")
+                 if name.startswith("year=") and name[5:].isdigit()}
+        if years is None:
+            now = wrote
+        else:
+            chosen = {int(y) for y in years}
+            now = {y: r for y, r in (live or {}).items() if y not in chosen}
+            now |= {y: r for y, r in wrote.items() if y in chosen}
+        _switch(spark, fact_dir, now, seen)
+    except Exception:
+        fs.delete(path, True)
+        raise
+    remove_old_runs(spark, fact_dir, grace_s=grace_s)
     return n
 
 
-def read_fact(spark: SparkSession, fact_dir: str) -> DataFrame:
-    """External-table read: explicit schema, year/month from the folder names."""
-    return (spark.read.schema(schemas.FACT_STORED)
-            .option("basePath", fact_dir).parquet(fact_dir))
+# ---------------------------------------------------------------- read
+def read_fact(spark: SparkSession, fact_dir: str, start=None, end=None, *, years=None,
+              internal: bool = False) -> DataFrame:
+    """External-table read: explicit schema, year/month from the folder names.
+
+    Only the year folders between ``start`` and ``end`` (or in ``years``) are
+    listed. ``internal`` keeps FolderNo, which the flags' refresh needs."""
+    fact_dir = fact_dir.rstrip("/")
+    live = current_years(spark, fact_dir)
+    if live is None:
+        raise FileNotFoundError(f"no fact is published in {fact_dir}")
+    lo, hi = getattr(start, "year", None), getattr(end, "year", None)
+    by_run: dict[str, list[str]] = {}
+    for y, run in sorted(live.items()):
+        if (lo is None or y >= lo) and (hi is None or y <= hi) and (years is None or y in years):
+            by_run.setdefault(run, []).append(f"{fact_dir}/{run}/year={y}")
+    parts = [spark.read.schema(schemas.FACT_STORED).option("basePath", f"{fact_dir}/{run}").parquet(*paths)
+             for run, paths in by_run.items()]
+    out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.FACT_STORED)
+    return out if internal else out.drop("FolderNo")
 
 
+# ---------------------------------------------------------------- reload
 def rolling_years(now: dt.date) -> list[int]:
     return [now.year - 1, now.year]
 
@@ -120,21 +228,54 @@ def rolling_start(now: dt.date) -> dt.date:
     return dt.date(now.year - 1, 1, 1)
 
 
-def reload_window(spark: SparkSession, src, fact_dir: str, now: dt.date, **fact_opts) -> int:
-    """Nightly reload: rebuild prior + current year, leave older years alone."""
+def refreshed_flags(old: DataFrame, latest: DataFrame, pending: DataFrame) -> DataFrame:
+    """Stored rows with both flags brought up to date, and ``_changed``.
+    ``latest`` (ORDNO, LatestResultDate) and ``pending`` (FOLDERNO) come from
+    the newly extracted results."""
+    p = pending.select(F.col("FOLDERNO").alias("FolderNo"), F.lit(True).alias("_p"))
+    recent = latest.select("ORDNO", F.col("LatestResultDate").alias("_l"))
+    x = (old.join(p, "FolderNo", "left").join(recent, "ORDNO", "left")
+         .withColumns({"_p": F.coalesce("_p", F.lit(False)),
+                       "_l": F.greatest("LatestResultDate", "_l")}))
+    changed = ~(F.col("_p").eqNullSafe(F.col("HasPendingResults"))
+                & F.col("_l").eqNullSafe(F.col("LatestResultDate")))
+    return (x.withColumn("_changed", changed)
+            .withColumns({"HasPendingResults": F.col("_p"), "LatestResultDate": F.col("_l")})
+            .select(*old.columns, "_changed"))
+
+
+def reload_window(spark: SparkSession, src, fact_dir: str, now: dt.date, *,
+                  grace_s: float = GRACE_S, **fact_opts) -> int:
+    """Nightly reload: rebuild prior + current year, and refresh the flags of
+    the older years. Those years' results do not change, but a new result can
+    be an old order's latest, and a folder can become pending or final; the
+    years that own such a row are rewritten with the same switch."""
     from assaybook.plans.fact import build_fact
     start = rolling_start(now)
     end = dt.date(now.year + 1, 1, 1)
-    df = build_fact(src, start=start, end=end, **fact_opts)
-    return publish(spark, df, fact_dir, years=rolling_years(now))
+    df = build_fact(src, start=start, end=end, keep_folder=True, **fact_opts)
+    years = rolling_years(now)
+    older = sorted(set(current_years(spark, fact_dir) or ()) - set(years))
+    if older:
+        raw = fact_opts.get("pending_results")
+        fresh = refreshed_flags(
+            read_fact(spark, fact_dir, years=older, internal=True),
+            flags.latest_result(src.results.where(F.col("DATEENTER") >= ts(start)), src.folders),
+            flags.pending_folders(src.results if raw is None else raw))
+        stale = [r["year"] for r in fresh.where("_changed").select("year").distinct().collect()]
+        if stale:
+            redo = fresh.where(F.col("year").isin(stale)).drop("year", "month", "_changed")
+            df = df.unionByName(redo)
+            years = sorted({*years, *stale})
+    return publish(spark, df, fact_dir, years=years, grace_s=grace_s)
 
 
-def backfill(spark: SparkSession, src, fact_dir: str, years, **fact_opts) -> int:
+def backfill(spark: SparkSession, src, fact_dir: str, years, *, grace_s: float = GRACE_S, **fact_opts) -> int:
     """Rebuild the given years in one job (each year half-open [Y, Y+1))."""
     from assaybook.plans.fact import build_fact
     years = sorted(set(int(y) for y in years))
     df = build_fact(src, start=dt.date(years[0], 1, 1),
-                    end=dt.date(years[-1] + 1, 1, 1), **fact_opts)
+                    end=dt.date(years[-1] + 1, 1, 1), keep_folder=True, **fact_opts)
     if years != list(range(years[0], years[-1] + 1)):
         df = df.where(F.year("DateEnter").isin(years))
-    return publish(spark, df, fact_dir, years=years)
+    return publish(spark, df, fact_dir, years=years, grace_s=grace_s)

@@ -39,16 +39,21 @@ def _versions(df):
     return {r["id"]: r["PriceListVersion"] for r in df.collect()}
 
 
-def test_asof_version_broadcast(spark):
+def test_asof_version(spark):
     out = asof.asof_version(_rows(spark, ROWS), _lists(spark, LISTS))
     assert _versions(out) == EXPECT
     assert out.count() == len(ROWS)   # at most one match per row
 
 
-def test_asof_version_bucketed_fallback_matches(spark):
-    out = asof.asof_version(_rows(spark, ROWS), _lists(spark, LISTS), max_broadcast_rows=0)
-    assert _versions(out) == EXPECT
-    assert out.count() == len(ROWS)
+def test_asof_version_without_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = asof.asof_version(_rows(spark, ROWS), _lists(spark, LISTS))
+        assert _versions(out) == EXPECT
+        assert out.count() == len(ROWS)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_asof_price_and_per_test(spark):

@@ -1,5 +1,5 @@
 """As-of version vs brute force on random version tables (ties, NULL starts,
-rows exactly on a boundary), for the broadcast and the bucketed plan."""
+rows exactly on a boundary), with and without broadcast."""
 
 import datetime as dt
 
@@ -29,14 +29,20 @@ def brute(lists, rows):
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(version, min_size=0, max_size=8, unique_by=lambda x: (x[0].rstrip().lower(), x[1])),
        st.lists(row, min_size=1, max_size=12), st.booleans())
-def test_asof_matches_brute_force(spark, lists, rows, bucketed):
+def test_asof_matches_brute_force(spark, lists, rows, shuffled):
     ldf = spark.createDataFrame(
         [(l, v, None if s is None else BASE + dt.timedelta(days=s), "Released", None) for l, v, s in lists],
         "PRICELISTID string, PRICELISTVERSION int, STARTDDATE timestamp_ntz, STATUS string, EXPDATE timestamp_ntz")
     rdf = spark.createDataFrame(
         [(i, l, BASE + dt.timedelta(days=d, seconds=s)) for i, (l, d, s) in enumerate(rows)],
         "id int, PRICELISTID string, DATEENTER timestamp_ntz")
-    out = asof.asof_version(rdf, ldf, max_broadcast_rows=0 if bucketed else 1000)
-    got = {r["id"]: r["PriceListVersion"] for r in out.collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        if shuffled:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = asof.asof_version(rdf, ldf)
+        got = {r["id"]: r["PriceListVersion"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert out.count() == len(rows)
     assert got == brute(lists, rows)

@@ -8,7 +8,7 @@ from assaybook.sources import extract
 
 class _Bounds:
     def first(self):
-        return {"lo": 10, "hi": 99}
+        return {"lo": 10, "hi": 99, "n": 3_100_000}
 
 
 class _Reader:
@@ -39,23 +39,47 @@ class _Spark:
 
 def test_jdbc_reader_split_and_pushdown():
     spark = _Spark()
-    read = extract.jdbc_reader(spark, "jdbc:sqlserver://db", {"user": "u"},
-                               results_partitions=32, medium_partitions=4)
+    read = extract.jdbc_reader(spark, "jdbc:sqlserver://db", {"user": "u"}, rows_per_task=100_000)
     assert extract.extract_results(read, dt.date(1997, 1, 1)) == "df"
     bounds, data = spark.log[-2], spark.log[-1]
-    assert bounds["query"] == ("SELECT MIN(ORIGREC) AS lo, MAX(ORIGREC) AS hi FROM RESULTS "
+    assert bounds["query"] == ("SELECT MIN(ORIGREC) AS lo, MAX(ORIGREC) AS hi, COUNT_BIG(*) AS n FROM RESULTS "
                                "WHERE DATEENTER >= '1997-01-01'")
     assert data["dbtable"].startswith("(SELECT ORIGREC, FOLDERNO, ORDNO, TESTCODE")
     assert data["dbtable"].endswith("FROM RESULTS WHERE DATEENTER >= '1997-01-01') t")
     assert (data["partitionColumn"], data["lowerBound"], data["upperBound"], data["numPartitions"]) \
-        == ("ORIGREC", 10, 100, 32)
+        == ("ORIGREC", 10, 100, 31)
     assert data["sessionInitStatement"] == "SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"
-    assert data["queryTimeout"] == 3600
+    assert data["queryTimeout"] == 3600 and data["preferTimestampNTZ"] is True
     assert data["user"] == "u" and data["format"] == "jdbc"
     read("FOLDERS")
-    assert spark.log[-1]["partitionColumn"] == "FOLDERNO" and spark.log[-1]["numPartitions"] == 4
+    assert spark.log[-1]["partitionColumn"] == "FOLDERNO" and spark.log[-1]["numPartitions"] == 31
     read("METADATA_LOOKUP_VALUES", extract.LOOKUP_FILTER)
     assert spark.log[-1]["query"] == ("SELECT LOOKUP_NAME, VALUE, TEXT FROM METADATA_LOOKUP_VALUES "
                                       "WHERE LOOKUP_NAME = 'PanelPricing'")
     tables = extract.extract_all(read, dt.date(1997, 1, 1))
     assert sorted(tables) == sorted(extract.EXTRACT_COLUMNS)
+
+
+def test_staged_types_are_the_declared_ones(spark, tmp_path):
+    """Integer order numbers and date-times survive staging under another time zone."""
+    import pytest
+
+    from assaybook import schemas
+    day = dt.datetime(2025, 1, 31, 21, 0, 0, 123000)
+    raw = spark.createDataFrame([(1, 7, 42, 300, "A", "F", "5", None, "N", "Released", day)],
+                                "ORIGREC int, FOLDERNO int, ORDNO int, TESTCODE bigint, ANALYTE string, FINAL string, "
+                                "NUMRES string, RN2 string, RN3 string, S string, DATEENTER timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        counts = extract.stage_all({"RESULTS": raw, "RESULTS_PENDING": raw.select("FOLDERNO", "S")}, str(tmp_path))
+        row = spark.read.schema(schemas.RESULTS).parquet(str(tmp_path / "RESULTS")).first()
+        zoned = raw.withColumn("DATEENTER", raw.DATEENTER.cast("timestamp"))
+        with pytest.raises(TypeError):
+            extract.stage(zoned, str(tmp_path / "z"), schemas.RESULTS)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert counts == {"RESULTS": 1, "RESULTS_PENDING": 1}
+    assert (row.FOLDERNO, row.ORDNO, row.TESTCODE, row.DATEENTER) == (7, "42", 300, day)
+    assert spark.read.schema(extract.PENDING_SCHEMA).parquet(str(tmp_path / "RESULTS_PENDING")).first() == (7, "Released")
+    assert (tmp_path / "_VERSION").read_text()

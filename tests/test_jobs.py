@@ -17,7 +17,7 @@ def _src(spark):
 
 def test_nightly_then_report(spark, tmp_path):
     src = _src(spark)
-    read = extract.fixture_reader(src, results_partitions=3, medium_partitions=2)
+    read = extract.fixture_reader(src, split_partitions=3)
     staging, fact = str(tmp_path / "staging"), str(tmp_path / "fact")
     jobs.backfill_years(spark, read, staging, fact, [1997])
     n = jobs.nightly_build(spark, read, staging, fact, now=dt.date(1998, 6, 30))
@@ -35,7 +35,9 @@ def test_nightly_then_report(spark, tmp_path):
     assert logged[0].RowCount == 2 and logged[0].Version == "RWP" and logged[0].Action == "view"
     rows = jobs.report_request(spark, fact, staging, "1998-01-01", "1998-12-31", "RWPCFO", "xlsx",
                                str(tmp_path / "tabs"))
-    assert rows == 2 and (tmp_path / "tabs" / "tab=Combo Billing").exists()
+    assert rows == 2
+    sheets = [p.name for p in (tmp_path / "tabs").glob("tab=*")]
+    assert sheets == ["tab=Results With Pricing"]
 
 
 def test_price_code_rule_legacy(spark):

@@ -1,0 +1,121 @@
+"""Publishing: versioned runs behind a pointer, flags of older years, the fact cache's key."""
+
+import dataclasses
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from assaybook.plans import fact as fact_plan
+from assaybook.plans import legacy, views
+from assaybook.plans import report as report_plan
+from assaybook.plans.warehouse import fact_location, materialized_fact
+from assaybook.sources import store
+from conftest import T, make_sources
+from test_semantics import CLIENTS, FOLDERS, GROUPS, LISTS, LOOKUP, PRICES, RESULTS, SAMPLES, TESTS
+
+
+def _src(spark, results=RESULTS):
+    return make_sources(spark, results=results, folders=FOLDERS, samples=SAMPLES, clients=CLIENTS, groups=GROUPS,
+                        tests=TESTS, price_lists=LISTS, prices=PRICES, lookup=LOOKUP)
+
+
+def _rows(spark, d):
+    return sorted(tuple(r) for r in store.read_fact(spark, d).drop("ETL_LoadDate").collect())
+
+
+def _build(src):
+    return fact_plan.build_fact(src, keep_folder=True, load_ts="2000-01-01")
+
+
+@pytest.mark.parametrize("step", ["_write_partitioned", "current_years", "_switch", "write_text", "cut pointer"])
+def test_a_failure_at_any_step_leaves_the_old_fact(spark, tmp_path, monkeypatch, step):
+    d = str(tmp_path / "fact")
+    store.publish(spark, _build(_src(spark)), d)
+    before = _rows(spark, d)
+    src = _src(spark, RESULTS[:2])
+    if step == "cut pointer":  # the writer died in the middle of the small file
+        store.write_text(spark, f"{d}/{store.POINTERS}/{2:012d}.json", '{"years": {"1998"')
+    else:
+        def broken(*a, **k):
+            raise OSError("lost")
+        with monkeypatch.context() as m:
+            m.setattr(store, step, broken)
+            with pytest.raises(OSError):
+                store.publish(spark, _build(src), d, grace_s=0)
+    assert _rows(spark, d) == before
+    store.publish(spark, _build(src), d, grace_s=0)  # and the next run publishes
+    assert len(_rows(spark, d)) == _build(src).count() < len(before)
+
+
+def test_two_publishers_do_not_mix(spark, tmp_path, monkeypatch):
+    d = str(tmp_path / "fact")
+    store.publish(spark, _build(_src(spark)), d)
+    before = _rows(spark, d)
+    real = store._switch
+
+    def late(spark_, fact_dir, years, seen):  # another run took the number
+        store.write_text(spark_, f"{fact_dir}/{store.POINTERS}/{seen + 1:012d}.json",
+                         store.read_text(spark_, f"{fact_dir}/{store.POINTERS}/{seen:012d}.json"))
+        return real(spark_, fact_dir, years, seen)
+    monkeypatch.setattr(store, "_switch", late)
+    with pytest.raises(store.ConcurrentPublishError):
+        store.publish(spark, _build(_src(spark, RESULTS[:2])), d)
+    assert _rows(spark, d) == before
+
+
+def test_old_runs_go_and_window_reads_list_their_years(spark, tmp_path):
+    d = str(tmp_path / "fact")
+    for _ in range(4):
+        store.publish(spark, _build(_src(spark)), d, grace_s=0)
+    assert len(list((tmp_path / "fact").glob("run-*"))) == store.KEEP_POINTERS
+    files = store.read_fact(spark, d, dt.date(1998, 1, 1), dt.date(1998, 12, 31)).inputFiles()
+    assert files and all("/year=1998/" in f for f in files)
+    assert store.read_fact(spark, d, dt.date(1901, 1, 1), dt.date(1901, 2, 1)).count() == 0
+    with pytest.raises(store.EmptyOutputError):
+        store.publish(spark, _build(_src(spark, [])), d, years=[1998])
+    with pytest.raises(FileNotFoundError):
+        store.read_fact(spark, str(tmp_path / "nothing"))
+
+
+def test_reload_refreshes_flags_of_older_years(spark, tmp_path):
+    def result(n, order, folder, day, status="Released"):
+        return (n, folder, order, 300, "A1", "F", "5", " x ", "N", status, T(day))
+    old = [result(1, "O1", 1, "1998-03-01"), result(2, "O2", 2, "1998-04-01"), result(3, "O3", 3, "1998-05-01")]
+    new = [*old, result(4, "O1", 1, "2000-02-01"), result(5, "X", 2, "2000-03-01", "Draft")]
+    d = str(tmp_path / "fact")
+    store.publish(spark, _build(_src(spark, old)), d)
+    untouched = store.current_years(spark, d)
+    src = _src(spark, new)
+    store.reload_window(spark, src, d, dt.date(2000, 6, 30))
+    flags = {r.ORDNO: (r.LatestResultDate, r.HasPendingResults) for r in store.read_fact(spark, d).where("year = 1998").collect()}
+    assert flags == {"O1": (T("2000-02-01"), False), "O2": (T("1998-04-01"), True), "O3": (T("1998-05-01"), False)}
+    view = views.priced_view(store.read_fact(spark, d), src.lookup)
+    got = {r.ORDNO for r in report_plan.report(view, "1998-01-01", "1998-12-31").collect()}
+    assert got == {r.ORDNO for r in legacy.legacy_report(src, "1998-01-01", "1998-12-31").collect()} == {"O3"}
+    again = store.current_years(spark, d)
+    assert again[1998] != untouched[1998]
+    store.reload_window(spark, src, d, dt.date(2000, 6, 30))  # nothing is stale now
+    assert store.current_years(spark, d)[1998] == again[1998]
+
+
+def test_fact_cache_key(spark, tmp_path):
+    d = str(tmp_path / "src")
+    spark.range(3).write.parquet(f"{d}/a")
+    src = dataclasses.replace(_src(spark), origin=d)
+    first = fact_location(spark, src)
+    assert fact_location(spark, src) == first
+    assert fact_location(spark, src, panel_rule="flag") != first
+    spark.range(4).write.parquet(f"{d}/b")
+    second = fact_location(spark, src)
+    assert second != first
+    store.write_text(spark, f"{d}/_VERSION", "v1")
+    third = fact_location(spark, src)
+    spark.range(4).write.parquet(f"{d}/c")  # the marker alone counts once it is there
+    assert fact_location(spark, src) == third != second
+    store.write_text(spark, f"{d}/_VERSION", "v2", replace=True)
+    assert fact_location(spark, src) != third
+    with pytest.raises(ValueError):
+        materialized_fact(spark, dataclasses.replace(src, origin=""))
+    either = materialized_fact(spark, src)
+    assert "FolderNo" not in either.columns and either.agg(F.count("*")).first()[0] > 0
