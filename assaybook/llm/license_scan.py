@@ -27,6 +27,8 @@ from assaybook.llm.common import table, text_or_empty
 
 #: Least share of the template's own saving, and of its words in order.
 LEAST_SAVING, LEAST_WORDS = 0.5, 0.8
+#: A long block is looked at in parts of so many characters and an overlap that holds any notice.
+PART, OVERLAP = 1500, 600
 
 # Cue words (lower case) and the usual wording of license notices
 CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "cc by", "cc-by", "cc0", "public domain", "spdx")
@@ -102,7 +104,20 @@ class Scanner:
         self.templates = [_Template(n, t, self.alone) for n, t in templates.items()]
 
     def block(self, block: str) -> list[dict]:
-        """Confirmed notices of one block, best saving first."""
+        """Confirmed notices of one block. Long blocks are looked at in
+        overlapping parts, so the work grows with the length alone; a notice
+        that begins in the overlap belongs to the next part."""
+        found: list[dict] = []
+        for at in range(0, max(1, len(block) - OVERLAP), PART):
+            last = at + PART + OVERLAP >= len(block)
+            hits = [h for h in self.part(block[at:at + PART + OVERLAP]) if last or h["start"] < PART]
+            for h in _moved(hits, at):
+                found.append(h)
+                block = block[:h["start"]] + " " * (h["stop"] - h["start"]) + block[h["stop"]:]
+        return found
+
+    def part(self, block: str) -> list[dict]:
+        """Confirmed notices of one part, best saving first."""
         found: list[dict] = []
         while _has_cue(block):
             raw = block.encode()

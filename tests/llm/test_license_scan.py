@@ -35,6 +35,15 @@ def test_several_notices_and_wrapped_lines():
     assert [g[0] for g in found(wrapped)] == ["GPL-3.0", "MIT"]
 
 
+def test_long_lines():
+    notice = L.TEMPLATES["GPL-3.0"]
+    for at in range(1300, 2200, 37):  # on every side of the parts' edges
+        t = "prose " * (at // 6) + notice + " more prose" * 300
+        assert [(g[0], g[1]) for g in found(t)] == [("GPL-3.0", notice.rstrip("."))]
+    many = " ".join(L.TEMPLATES[n] for n in ("MIT", "CC-BY-4.0", "Apache-2.0") for _ in range(100))
+    assert [g[0] for g in found(many)] == ["MIT"] * 100 + ["CC-BY-4.0"] * 100 + ["Apache-2.0"] * 100
+
+
 def test_query_against_plain_search(spark, make_docs, write_tables):
     notices = ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0"]
     rows = []
