@@ -1,6 +1,6 @@
 """Main-text extraction by wrapper induction.
 
-Each page is parsed once into text blocks and a *shape*: its tree of block
+Each page is parsed into text blocks and a *shape*: its tree of block
 elements, where siblings with one signature (tag and class names) share a node,
 so lists and paragraphs of any length give one shape. Per host the commonest
 shape is the seed of the wrapper; every other distinct shape of the host is
@@ -15,7 +15,9 @@ where their text varies. A page that marks its article (``article``, else
 are not lists of links.
 
 Only distinct shapes are aligned, and slot statistics are plain aggregations,
-so a host with a third of all pages is never gathered in one task. Template
+so a host with a third of all pages is never gathered in one task. The survey
+keeps hashes of the blocks, not their texts; pages are parsed again when the
+wrappers are known, which moves and stores less than carrying the texts. Template
 shares count distinct pages, so copies of one page do not make it template.
 """
 
@@ -26,6 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,22 +238,24 @@ def align(shape: str, seed: str) -> list[str]:
 
 
 # ---------------------------------------------------------------- operator
-_PARSED = T.StructType([
-    T.StructField("_shape", T.StringType()),
-    T.StructField("_blocks", T.ArrayType(T.StructType([
-        T.StructField("node", T.IntegerType()), T.StructField("region", T.IntegerType()),
-        T.StructField("links", T.BooleanType()), T.StructField("text", T.StringType())])))])
-_BLOCKS = pa.list_(pa.struct([("node", pa.int32()), ("region", pa.int32()), ("links", pa.bool_()), ("text", pa.string())]))
+_MARKS = "array<struct<node:int,marked:boolean,text:long>>"
+_MARKS_ARROW = pa.list_(pa.struct([("node", pa.int32()), ("marked", pa.bool_()), ("text", pa.int64())]))
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mark(text: str) -> int:
+    """64-bit hash of a block's text, signed."""
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+
+def _survey_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 500):
             part = b.slice(i, 500)
             shapes, blocks = zip(*(parse(x) for x in part.column("_html").to_pylist()), strict=True)
+            marks = [[{"node": x["node"], "marked": x["region"] > 0, "text": _mark(x["text"])} for x in p] for p in blocks]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("_id", "_url", "_host", "_digest")), pa.array(shapes, pa.string()),
-                 pa.array(blocks, _BLOCKS)], ["_id", "_url", "_host", "_digest", "_shape", "_blocks"])
+                [part.column("_host"), part.column("_digest"), pa.array(shapes, pa.string()),
+                 pa.array(marks, _MARKS_ARROW)], ["_host", "_digest", "_shape", "_marks"])
 
 
 def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,37 +265,46 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                                          ["_host", "_shape_id", "_slots"])
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
-                      html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: page_id, url, blocks (the texts kept, in page
-    order), text (the blocks joined by a line break) and n_chars.
+def content(source: str, seed: str, template: list[str] | None, slots_of: dict | None = None) -> list[str]:
+    """Blocks of a page that are content under a host's wrapper: its seed shape
+    and template, entries "slot text-hash". ``slots_of`` remembers alignments."""
+    shape, blocks = parse(source)
+    if template:
+        slots_of = {} if slots_of is None else slots_of
+        slots = slots_of.get((shape, seed)) or slots_of.setdefault((shape, seed), align(shape, seed))
+        fixed = set(template)
+        blocks_left = [b for b in blocks if f"{slots[b['node']]} {_mark(b['text'])}" not in fixed]
+    else:
+        blocks_left = blocks
+    top = max((b["region"] for b in blocks), default=0)
+    return [b["text"] for b in blocks_left if b["region"] == top and (top or not b["links"])]
 
-    Null html counts as empty and gives an empty text; pages with a null url, or
-    one without a host, form one host. Repeated rows each get their row and count
-    as one page of the template. An empty table gives an empty result; other
-    columns of ``pages`` are not read.
-    """
-    html = F.coalesce(html_col, F.lit(""))
-    host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    p = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"),
-                     html.alias("_html"), F.xxhash64(html).alias("_digest"))
-    kept = [p.schema[c] for c in ("_id", "_url", "_host", "_digest")]
-    parsed = stage(p.mapInArrow(_parse_batches, T.StructType([*kept, *_PARSED.fields])), "parsed-pages")
-    parsed = parsed.withColumn("_shape_id", F.xxhash64("_shape"))
-
-    shapes = (parsed.groupBy("_host", "_shape_id").agg(F.first("_shape").alias("_shape"),
-                                                       F.approx_count_distinct("_digest").alias("_pages")))
-    shapes = stage(shapes, "page-shapes")
-    seeds = (shapes.groupBy("_host").agg(F.max_by("_shape", F.struct("_pages", "_shape_id")).alias("_seed")))
-    slots = (shapes.join(seeds, "_host").select("_host", "_shape_id", "_shape", "_seed")
-             .mapInArrow(_align_batches, "_host string, _shape_id long, _slots array<string>"))
-    slots = stage(slots, "page-slots")
-
-    slot = F.element_at("_slots", F.col("_b.node") + 1)
-    filled = (parsed.select("_host", "_shape_id", "_digest", F.explode("_blocks").alias("_b"))
+
+def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        slots_of: dict = {}
+        for i in range(0, b.num_rows, 500):
+            part = b.slice(i, 500)
+            cols = (part.column(c).to_pylist() for c in ("_html", "_seed", "_template"))
+            kept = [content(h, s, t, slots_of) for h, s, t in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_url"), pa.array(kept, pa.list_(pa.string()))],
+                                             ["_id", "_url", "blocks"])
+
+
+def induce_wrappers(pages: DataFrame) -> DataFrame:
+    """One row per host: _host, _seed (shape) and _template ("slot text-hash" of
+    what is template), from rows (_host, _html, _digest)."""
+    seen = stage(pages.mapInArrow(_survey_batches, f"_host string, _digest long, _shape string, _marks {_MARKS}"),
+                 "page-marks").withColumn("_shape_id", F.xxhash64("_shape"))
+    shapes = stage(seen.groupBy("_host", "_shape_id").agg(F.first("_shape").alias("_shape"),
+                                                          F.approx_count_distinct("_digest").alias("_pages")), "page-shapes")
+    seeds = shapes.groupBy("_host").agg(F.max_by("_shape", F.struct("_pages", "_shape_id")).alias("_seed"))
+    slots = stage(shapes.join(seeds, "_host").mapInArrow(
+        _align_batches, "_host string, _shape_id long, _slots array<string>"), "page-slots")
+    filled = (seen.select("_host", "_shape_id", "_digest", F.explode("_marks").alias("_b"))
               .join(slots, ["_host", "_shape_id"])
-              .select("_host", "_digest", slot.alias("_slot"), F.xxhash64("_b.text").alias("_text"),
-                      (F.col("_b.region") > 0).alias("_marked")).distinct())
+              .select("_host", "_digest", F.element_at("_slots", F.col("_b.node") + 1).alias("_slot"),
+                      F.col("_b.marked").alias("_marked"), F.col("_b.text").alias("_text")).distinct())
     counts = filled.groupBy("_host", "_slot", "_marked", "_text").agg(F.count_distinct("_digest").alias("_n"))
     pages_of = filled.groupBy("_host", "_slot", "_marked").agg(F.count_distinct("_digest").alias("_of"))
     share = F.when(F.col("_marked"), ARTICLE_SHARE).otherwise(PAGE_SHARE)
@@ -298,17 +312,26 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     template = (counts.where(F.col("_n") >= MIN_PAGES * PAGE_SHARE).join(pages_of, ["_host", "_slot", "_marked"])
                 .where((F.col("_of") >= MIN_PAGES) & (F.col("_n") >= share * F.col("_of")))
                 .groupBy("_host").agg(F.collect_set(F.concat_ws(" ", "_slot", "_text")).alias("_template")))
-    wrapper = slots.join(template, "_host", "left")
+    return stage(seeds.join(template, "_host", "left"), "wrappers")
 
-    top = F.coalesce(F.array_max(F.transform("_blocks", lambda b: b["region"])), F.lit(0))
 
-    def content(b):
-        key = F.concat_ws(" ", F.element_at("_slots", b["node"] + 1), F.xxhash64(b["text"]).cast("string"))
-        fixed = F.coalesce(F.array_contains("_template", key), F.lit(False))
-        return (b["region"] == F.col("_top")) & ~fixed & ((b["region"] > 0) | ~b["links"])
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
+                      html_col: str = "html") -> DataFrame:
+    """One row per row of ``pages``: page_id, url, blocks (the texts kept, in page
+    order), text (the blocks joined by a line break) and n_chars.
 
-    return (parsed.drop("_shape").join(wrapper, ["_host", "_shape_id"]).withColumn("_top", top)
-            .withColumn("blocks", F.transform(F.filter("_blocks", content), lambda b: b["text"]))
+    Null html counts as empty and gives an empty text; pages with a null url, or
+    one without a host, form one host. Repeated rows each get their row and count
+    as one page of the template. An empty table gives an empty result; other
+    columns of ``pages`` are not read.
+    """
+    html = F.coalesce(html_col, F.lit(""))
+    host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    p = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), html.alias("_html"))
+    wrappers = induce_wrappers(p.select("_host", "_html", F.xxhash64("_html").alias("_digest")))
+    # a written table: the planner sends it to every task, or shuffles the pages, by its true size
+    schema = T.StructType([p.schema["_id"], p.schema["_url"], T.StructField("blocks", T.ArrayType(T.StringType()))])
+    return (p.join(wrappers, "_host").mapInArrow(_extract_batches, schema)
             .withColumn("text", F.array_join("blocks", "\n"))
             .select(F.col("_id").alias("page_id"), F.col("_url").alias("url"), "blocks", "text",
                     F.length("text").cast("long").alias("n_chars")))
