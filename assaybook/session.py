@@ -1,8 +1,8 @@
 """Session construction (bench/tests only) and the shared work folder.
 
-Library code never changes global confs of a session it is handed; it only
-reads ``spark.checkpoint.dir`` to find the shared folder for materialised
-tables.
+Library code never changes the confs of a session it is handed. It reads
+``spark.checkpoint.dir`` to find the shared folder for materialised tables;
+only a local-mode session that names none gets a folder of its own.
 """
 
 from __future__ import annotations
