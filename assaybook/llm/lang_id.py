@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaybook.llm.common import crc_bucket, table, text_or_empty
+from assaybook.llm.common import crc_bucket, first_by_hash, table, text_or_empty
 
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 400
@@ -196,11 +196,11 @@ def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sample); None if no row has a label and a text."""
     h = F.xxhash64(F.lit("lang-sample"), F.col(id_col), F.col(text_col))
     at = F.pmod(h, F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
-    rows = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-            .select(F.col(lang_col).cast("string").alias("_lang"),
-                    F.substring(F.col(text_col), at, F.lit(SAMPLE_CHARS)).alias("_text"), h.alias("_h"))
-            .orderBy("_h", "_lang").limit(sample_rows).collect())
-    rows = [(r["_lang"], r["_text"].encode()) for r in rows if r["_text"]]
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("_lang"), h.alias("_h"),
+        F.substring(F.col(text_col), at, F.lit(SAMPLE_CHARS)).alias("_text"))
+    rows = first_by_hash(known, F.col("_h"), sample_rows).collect()
+    rows = [(r["_lang"], r["_text"].encode()) for r in rows if any(map(str.isalpha, r["_text"]))]
     if not rows:
         return None
     labels = sorted({lang for lang, _ in rows})
