@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaybook.llm.common import crc_bucket, table, text_or_empty
+from assaybook.llm.common import crc_bucket, first_by_hash, table, text_or_empty
 
 TRAIN_ROWS = 30_000
 PAIRS = 4_000_000
@@ -138,8 +138,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     id or label teach nothing); None unless both labels occur."""
     lab = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
            .select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"),
-                   F.xxhash64(F.lit("quality-sample"), F.col(id_col)).alias("_h"))
-           .orderBy("_h", "_label").limit(rows))  # documented bound: two integers a row
+                   F.xxhash64(F.lit("quality-sample"), F.col(id_col)).alias("_h")))
+    lab = first_by_hash(lab, F.col("_h"), rows)  # documented bound: three numbers a row
     d = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     known = (d.join(F.broadcast(lab), "_id")  # at most ``rows`` rows of a few integers.select("_label", "_text")
              .mapInArrow(_feature_batches, T.StructType([T.StructField("_label", T.IntegerType()),
