@@ -1,3 +1,5 @@
+import random
+
 from assaybook.llm import license_scan as L
 
 
@@ -44,6 +46,19 @@ def test_long_lines():
     assert [g[0] for g in found(many)] == ["MIT"] * 100 + ["CC-BY-4.0"] * 100 + ["Apache-2.0"] * 100
 
 
+def test_every_template_in_a_long_block_of_varied_prose():
+    rng = random.Random(5)
+    parts = "ba con dor el fi gra hu in jo kel lu men nor ost pri qua ra ste tu vin".split()
+    vocab = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    for name, notice in L.TEMPLATES.items():
+        for _ in range(8):
+            words = [rng.choice(vocab) for _ in range(500)]
+            prose = " ".join(words)[:L.PART + L.OVERLAP - len(notice) - 2]
+            at = prose.index(" ", rng.randrange(len(prose) - 100))
+            text = f"{prose[:at]} {notice}{prose[at:]}"
+            assert [(g[0], g[1]) for g in found(text)] == [(name, notice.rstrip("."))]
+
+
 def test_query_against_plain_search(spark, make_docs, write_tables):
     notices = ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0"]
     rows = []
