@@ -39,6 +39,8 @@ from assaybook.llm.common import stage, table
 MIN_PAGES = 5
 #: Share of these pages with the same text that makes it template, in marked articles and elsewhere.
 ARTICLE_SHARE, PAGE_SHARE = 0.9, 0.6
+#: Characters of a path below a matched node from which its hash stands for it.
+LONG_SLOT = 200
 
 # Fixed values of HTML
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
@@ -196,31 +198,32 @@ def _tree(shape: str) -> tuple[list[str], list[list[int]]]:
 
 def align(shape: str, seed: str) -> list[str]:
     """Slot of every node of ``shape``: by simple tree matching with ``seed`` the
-    seed's node, or a path below the nearest matched node."""
+    seed's node, or a path below the nearest matched node. No step recurses, so
+    pages may nest as deep as they like."""
     a, ka = _tree(shape)
     b, kb = _tree(seed)
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(i: int, j: int) -> int:
-        """Size of the largest order-keeping match of the trees at i and j."""
-        if a[i] != b[j]:
-            return 0
-        if (i, j) not in memo:
-            best = [[0] * (len(kb[j]) + 1) for _ in range(len(ka[i]) + 1)]
-            for x, u in enumerate(ka[i]):
-                for y, v in enumerate(kb[j]):
-                    best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + match(u, v))
-            memo[i, j] = (best[-1][-1] + 1, best)
-        return memo[i, j][0]
+    # pairs of like nodes below like nodes, parents first; a pair is met once, from its parents' pair
+    pairs = [(0, 0)] if a[0] == b[0] else []
+    for i, j in pairs:
+        pairs += [(u, v) for u in ka[i] for v in kb[j] if a[u] == b[v]]
+    # size of the largest order-keeping match of the trees at each pair, children first
+    size: dict[tuple[int, int], int] = {}
+    table_of: dict[tuple[int, int], list[list[int]]] = {}
+    for i, j in reversed(pairs):
+        best = [[0] * (len(kb[j]) + 1) for _ in range(len(ka[i]) + 1)]
+        for x, u in enumerate(ka[i]):
+            for y, v in enumerate(kb[j]):
+                best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + size.get((u, v), 0))
+        size[i, j], table_of[i, j] = best[-1][-1] + 1, best
 
     slots = [""] * len(a)
-
-    def place(i: int, j: int | None, slot: str) -> None:
+    todo: list[tuple[int, int | None, str]] = [(0, 0 if pairs else None, "0")]
+    while todo:
+        i, j, slot = todo.pop()
         slots[i] = slot
         matched = {}
         if j is not None:
-            match(i, j)
-            best, x, y = memo[i, j][1], len(ka[i]), len(kb[j])
+            best, x, y = table_of[i, j], len(ka[i]), len(kb[j])
             while x and y:
                 if best[x][y] == best[x - 1][y]:
                     x -= 1
@@ -229,11 +232,11 @@ def align(shape: str, seed: str) -> list[str]:
                 else:
                     x, y = x - 1, y - 1
                     matched[ka[i][x]] = kb[j][y]
+        if len(slot) > LONG_SLOT:  # a path of hashes, so that deep paths do not add up
+            slot = f"~{xxhash.xxh3_128_hexdigest(slot.encode())}"
         for u in ka[i]:
             to = matched.get(u)
-            place(u, to, f"{slot}/{a[u]}" if to is None else str(to))
-
-    place(0, 0 if a[0] == b[0] else None, "0")
+            todo.append((u, to, f"{slot}/{a[u]}" if to is None else str(to)))
     return slots
 
 

@@ -77,5 +77,26 @@ def test_alignment_of_different_shapes():
     assert placed["new"].endswith("/div.n") and placed["t"].endswith("/h2")
 
 
+@pytest.mark.parametrize("tag", ["div", "blockquote", "ul"])
+def test_deeply_nested_pages(tag):
+    depth = 5_000
+    deep, blocks = H.parse(f"<body>{f'<{tag}>' * depth}end")
+    other = H.parse(f"<body><div class=x>{f'<{tag}>' * depth}end")[0]
+    assert H.align(deep, deep) == [str(i) for i in range(depth + 2)]
+    placed = H.align(deep, other)  # all of it below the body
+    assert len(set(placed)) == depth + 2 and sum(map(len, placed)) < 300 * depth
+    assert H.align(deep, H.parse("<body><p>x")[0]) == placed
+    assert [b["text"] for b in blocks] == ["end"] and blocks[0]["node"] == depth + 1
+
+
+def test_one_deep_page_among_others(spark):
+    rng = random.Random(4)
+    made = [page(rng, 3) for _ in range(6)]
+    rows = [(i, "http://h.example/", src) for i, (src, _) in enumerate(made)]
+    rows.append((99, "http://h.example/", "<body><article>" + "<div>" * 5_000 + "deep text"))
+    got = H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: want for i, (_, want) in enumerate(made)} | {99: "deep text"}
+
+
 def test_empty_table(spark):
     assert H.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
