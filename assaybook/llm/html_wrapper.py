@@ -14,6 +14,13 @@ where their text varies. A page that marks its article (``article``, else
 ``main``) has its content there; other pages have it in all varying slots that
 are not lists of links.
 
+A form, and an element that only a hint word of its names rules out, may be a
+wrapper around the whole page (``menu-open``): an article or main that starts
+inside is read afresh, and a main also below a menu or the like that was left
+open. Below a hint word it is in doubt, as it may be a list of teasers; it is the
+content where the page marks no article outside and what else would be its
+content is shorter.
+
 Only distinct shapes are aligned, and slot statistics are plain aggregations,
 so a host with a third of all pages is never gathered in one task. The survey
 keeps hashes of the blocks, not their texts; pages are parsed again when the
@@ -54,11 +61,19 @@ _SELF_CLOSING = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td
 _SCOPE = frozenset("ul ol dl table article main body section div".split())
 # Roles that are not content: by tag, and by a word of class, id or role
 _NOT_CONTENT = frozenset("nav footer aside form button select dialog menu head fieldset".split())
+_FORMS = frozenset("form fieldset".split())
 _HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav "
                    "navbar navigation breadcrumb breadcrumbs cookie cookies notice consent gdpr popup modal newsletter "
                    "subscribe signup share sharing social related recommended comment comments disqus replies respond "
                    "footer masthead toolbar pagination pager widget login search alert complementary contentinfo "
                    "teaser outbrain taboola".split())
+_COMMENTS = frozenset("comment comments disqus replies respond".split())
+# A name with one of these words tells what an element has or lacks, not what it is
+_HAVING = frozenset("has have no not with without".split())
+# One with these is of a page whose comments are open or closed
+_STATE = frozenset("open closed".split())
+# How far an element is ruled out: not; until an article or main starts inside; until a main does; wholly
+_KEPT, _FORM, _HINTED, _ROLE, _NEVER = range(5)
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S)
@@ -73,8 +88,9 @@ class _Page:
     def __init__(self, source: str):
         self.nodes, self.index = ["-1 #"], {}  # shape lines "parent signature"
         self.blocks, self.parts, self.linked, self.chars = [], [], 0, 0
-        # open elements: (tag, node, excluded, region, header, link)
-        self.open = [("#", 0, False, 0, False, False)]
+        # open elements: (tag, node, excluded, region, header, link, hinted, doubt); hinted is the node that a
+        # hint last ruled out, doubt the one in which an article or main started afresh, or 0
+        self.open = [("#", 0, _KEPT, 0, False, False, 0, 0)]
         at, end = 0, len(source)
         while at < end:
             m = _TOKEN.search(source, at)
@@ -107,10 +123,11 @@ class _Page:
 
     def flush(self) -> None:
         if self.parts:
-            _, node, _, region, header, _ = next(x for x in reversed(self.open) if x[0] not in _INLINE)
+            _, node, _, region, header, _, _, doubt = next(x for x in reversed(self.open) if x[0] not in _INLINE)
             text = " ".join(html_lib.unescape("".join(self.parts)).split())
             if text and not header:
-                self.blocks.append({"node": node, "region": region, "links": 2 * self.linked > self.chars, "text": text})
+                self.blocks.append({"node": node, "region": region, "doubt": doubt, "links": 2 * self.linked > self.chars,
+                                    "text": text})
             self.parts, self.linked, self.chars = [], 0, 0
 
     def start(self, tag: str, attrs: str) -> None:
@@ -119,8 +136,9 @@ class _Page:
                 self.parts.append(" ")
             elif tag not in _VOID and not attrs.endswith("/"):
                 top = self.open[-1]
-                hidden = top[2] or self.hints(tag, attrs)[1]
-                self.open.append((tag, top[1], hidden, top[3], top[4], top[5] or tag == "a"))
+                role = self.hints(tag, attrs)[1]
+                hinted = top[6] if role <= _FORM else top[1] or -1
+                self.open.append((tag, top[1], max(top[2], role), top[3], top[4], top[5] or tag == "a", hinted, top[7]))
             return
         self.flush()
         if tag in _CLOSES_P:
@@ -129,34 +147,52 @@ class _Page:
             self.close(other)
         if tag in _VOID:
             return
-        _, parent, excluded, region, header, link = self.open[-1]
-        signature, not_content = self.hints(tag, attrs)
-        if tag == "header" or "header" in signature.split(".")[1:]:
+        _, parent, excluded, region, header, link, hinted, doubt = self.open[-1]
+        signature, role, named_header = self.hints(tag, attrs)
+        if role == _KEPT and excluded < {"article": _ROLE, "main": _NEVER}.get(tag, _KEPT):
+            doubt = hinted if excluded > _FORM else doubt
+            excluded, header = _KEPT, False
+        elif tag == "header" or named_header:
             # a page header is not content; of an article's own header the headings are
-            excluded, header = excluded or region == 0, True
+            if region == 0:
+                role = max(role, _ROLE if tag == "header" else _HINTED)
+            header = True
         header = header and tag not in _HEADING
         region = max(region, 2 if tag == "article" else 1 if tag == "main" else 0)
-        excluded = excluded or not_content
+        excluded = max(excluded, role)
         key = (parent, signature)
         node = self.index.get(key)
         if node is None:
             node = self.index[key] = len(self.nodes)
             self.nodes.append(f"{parent} {signature}")
-        self.open.append((tag, node, excluded, region, header, link))
+        self.open.append((tag, node, excluded, region, header, link, hinted if role <= _FORM else node, doubt))
 
     @staticmethod
-    def hints(tag: str, attrs: str) -> tuple[str, bool]:
-        """Signature of an element, and whether its role rules it out."""
+    def hints(tag: str, attrs: str) -> tuple[str, int, bool]:
+        """Signature of an element, how far its role rules it out, and whether it is named a header."""
         words: list[str] = []
+        hinted: set[str] = set()
+        comment = header = False
         for _, a, b, c in _NAMES.findall(attrs) if "=" in attrs else ():
-            words += [w for w in _SPLIT.split((a or b or c).lower()) if w]
-        out = tag in _NOT_CONTENT or bool(attrs and _HIDDEN.search(attrs))
-        hinted = _HINTS.intersection(words)
+            for name in (a or b or c).lower().split():
+                own = [w for w in _SPLIT.split(name) if w]
+                words += own
+                if not _HAVING.intersection(own):
+                    hinted |= _HINTS.intersection(own)
+                    comment = comment or bool(_COMMENTS.intersection(own)) and not _STATE.intersection(own)
+                    header = header or "header" in own
         if tag == "article":
-            hinted &= {"comment", "comments"}
-        if tag not in ("html", "body", "main"):
-            out = out or bool(hinted)
-        return ".".join([tag, *sorted(set(words))]), out
+            comment = comment and bool(hinted & {"comment", "comments"})
+            hinted.clear()
+        elif tag in ("html", "body", "main"):
+            hinted.clear()
+            comment = False
+        signature = ".".join([tag, *sorted(set(words))])
+        if comment or attrs and _HIDDEN.search(attrs):
+            return signature, _NEVER, header
+        if tag in _NOT_CONTENT and tag not in _FORMS:
+            return signature, _ROLE, header
+        return signature, _HINTED if hinted else _FORM if tag in _FORMS else _KEPT, header
 
     def close(self, tag: str) -> None:
         """Close an open ``tag`` that no enclosing scope hides."""
@@ -279,8 +315,16 @@ def content(source: str, seed: str, template: list[str] | None, slots_of: dict |
         blocks_left = [b for b in blocks if f"{slots[b['node']]} {_mark(b['text'])}" not in fixed]
     else:
         blocks_left = blocks
-    top = max((b["region"] for b in blocks), default=0)
-    return [b["text"] for b in blocks_left if b["region"] == top and (top or not b["links"])]
+    best: list[str] = []
+    for doubt in sorted({0, *(b["doubt"] for b in blocks)}, key=abs):
+        top = max((b["region"] for b in blocks if b["doubt"] == doubt), default=0)
+        own = [b["text"] for b in blocks_left
+               if b["doubt"] == doubt and b["region"] == top and (top or not b["links"])]
+        if sum(map(len, own)) > sum(map(len, best)):
+            best = own
+        if top == 2 and not doubt:
+            break
+    return best
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,6 +89,36 @@ def test_deeply_nested_pages(tag):
     assert [b["text"] for b in blocks] == ["end"] and blocks[0]["node"] == depth + 1
 
 
+TEXT = "The whole text of the article, which is longer than what stands beside it."
+WRAPPERS = ['<div class="has-sidebar">', '<div class="no-sidebar">', '<div class="page menu-open">', "<form id=aspnetForm>",
+            '<div id="login"><form>', '<div role="alert"><span class="ad">', '<div class="site fixed-header">',
+            '<div class="post comments-open">']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_marked_article_below_a_hinted_wrapper(wrapper):
+    def got(body):
+        return H.content(f"<html><body>{body}</body></html>", "-1 #", None)
+    side = "<nav>Menu</nav><div class=ad>Buy</div><aside><article>Teaser</article></aside><footer>Imprint</footer>"
+    comments = '<div class="comments"><article class="comment">Nice</article><article>Nice too</article></div>'
+    for article in ("<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>",
+                    "<main><div class='menu-open'><article>{}</article></div></main>"):
+        inner = article.format(f"<p>{TEXT}</p><form>Name</form><div class='share'>Share</div>")
+        assert got(f"<div>Welcome</div>{wrapper}{side}{inner}{comments}") == [TEXT]
+        assert got(f"<div>Welcome</div>{wrapper}{side}{inner}{comments}<div class=related><article>More") == [TEXT]
+
+
+def test_teasers_below_hint_words_do_not_displace_the_content():
+    teasers = '<div class="related"><article>One teaser</article><article>Two</article></div>'
+    for page_of in ("<article>{}</article>{}", "<main>{}{}</main>", "<article>{}{}</article>", "<div class=text>{}</div>{}",
+                    "<main>{}</main><aside>{}</aside>"):
+        assert H.content(f"<body>{page_of.format(f'<p>{TEXT}</p>', teasers)}", "-1 #", None) == [TEXT]
+    short = f"<article>Short.</article><div class=related><article>{TEXT}</article></div>"
+    assert H.content(short, "-1 #", None) == ["Short."]
+    assert H.content(f"<nav>Menu left open<main>{TEXT}</main>", "-1 #", None) == [TEXT]
+    assert H.content(f"<div>a</div><div hidden><main>{TEXT}</main></div>", "-1 #", None) == ["a"]
+
+
 def test_one_deep_page_among_others(spark):
     rng = random.Random(4)
     made = [page(rng, 3) for _ in range(6)]
