@@ -16,6 +16,13 @@ are evaluated at once in numpy.
 Retrieved pairs are then verified: the words of the question part and of the
 answer part that the passage repeats in runs of three must reach their shares.
 
+A word is a run of letters and digits; in scripts that are written without spaces
+each character is one. Items of fewer than ``LEAST_WORDS`` words have too little
+for shares and scores: they are looked up whole, all words in order, where they
+stand between stops (ends of sentences, lines or the text) or where the stops
+inside the item are repeated too. Words of a running sentence that happen to be
+those of such an item are no copy of it.
+
 Items are indexed in shards of about ``SHARD_ITEMS``; a shard's postings are
 what is sent to the executors, so their size is bounded whatever the number of
 items. Document frequencies count all items.
@@ -40,19 +47,42 @@ from assaybook.llm.common import fresh, id_key, stage, table, text_or_empty
 THRESHOLD = 0.6
 QUESTION_SHARE, ANSWER_SHARE = 0.8, 0.5
 RUN = 3
-#: Items with fewer words match anything by chance and are left out.
+#: Items with fewer words are not scored but looked up whole.
 LEAST_WORDS = 5
 LEAST_STRIDE = 64
 BLOCK_ITEMS = 8
 SHARD_ITEMS = 20_000
 K1, B = 1.2, 0.75
 
-_WORD = re.compile(r"\w+")
-_SENTENCE = re.compile(r"(?<=[.?!])\s+")
+# Letters of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Tai, Balinese,
+# Javanese, Han, kana, Bopomofo, Yi)
+_UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u2e80-\u2fdf"
+             "\u3005-\u3007\u3031-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua4cf\ua980-\ua9ff\uaa60-\uaa7f"
+             "\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U000323af")
+_WORD, _SPLIT_WORD = re.compile(r"\w+"), re.compile(rf"[^\W{_UNSPACED}]+|(?=[{_UNSPACED}])\w")
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_SENTENCE = re.compile(r"(?<=[.?!])\s+|(?<=[。？！｡])\s*")
+#: What ends a sentence or a line, in a gap between words.
+_STOP = re.compile(r"[.?!:;][^\w\s]*\s|[\n\r。？！：；｡]")
+
+
+def _word_pattern(low: str) -> re.Pattern:
+    return _SPLIT_WORD if not low.isascii() and _HAS_UNSPACED.search(low) else _WORD
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    return _word_pattern(low).findall(low)
+
+
+def stops_of(text: str) -> list[bool]:
+    """Whether a stop, or the text's start or end, stands before each word and after the last."""
+    low = text.lower()
+    stops, at = [], 0
+    for m in _word_pattern(low).finditer(low):
+        stops.append(not stops or bool(_STOP.search(low, at, m.start())))
+        at = m.end()
+    return [*stops, True]
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -80,7 +110,7 @@ def overlap(part: list[str], passage: list[str]) -> float:
 
 
 class ItemIndex:
-    """Inverted index of one shard of items."""
+    """Inverted index of one shard of the items that are scored."""
 
     def __init__(self, items: list[tuple[object, list[str], list[str]]], df: dict[str, int], total: int,
                  mean_words: float, threshold: float = THRESHOLD):
@@ -171,21 +201,55 @@ class ItemIndex:
             yield n, i, score, q, a
 
 
-_PARTS = T.StructType([T.StructField("_q", T.ArrayType(T.StringType())), T.StructField("_a", T.ArrayType(T.StringType()))])
+class WholeItems:
+    """Items of too few words to score, by all their words."""
+
+    def __init__(self, items: list[tuple[object, list[str], list[bool]]]):
+        """``items``: (id, words, whether a stop stands before each word and after the last)."""
+        self.items = items
+        self.at: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for i, (_, words, _) in enumerate(items):
+            self.at[tuple(words)].append(i)
+        self.first = {words[0] for words in self.at}
+        self.lengths = sorted({len(words) for words in self.at})
+
+    def search(self, text: str, words: list[str]) -> list[int]:
+        """Items that ``text``, whose words are ``words``, holds."""
+        if self.first.isdisjoint(words):
+            return []
+        found, stops = set(), None
+        for lo, w in enumerate(words):
+            if w not in self.first:
+                continue
+            for n in self.lengths:
+                if lo + n > len(words):
+                    break
+                for i in self.at.get(tuple(words[lo:lo + n]), ()):
+                    stops = stops or stops_of(text)
+                    inside = [k for k in range(1, n) if self.items[i][2][k]]
+                    if stops[lo] and stops[lo + n] or inside and all(stops[lo + k] for k in inside):
+                        found.add(i)
+        return sorted(found)
+
+
+_PARTS = T.StructType([T.StructField("_q", T.ArrayType(T.StringType())), T.StructField("_a", T.ArrayType(T.StringType())),
+                       T.StructField("_stops", T.ArrayType(T.BooleanType()))])
 
 
 def _split_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     strings = pa.list_(pa.string())
     for b in batches:
-        parts = [question_and_answer(t) for t in b.column("_text").to_pylist()]
+        texts = b.column("_text").to_pylist()
+        parts = [question_and_answer(t) for t in texts]
+        stops = [stops_of(t) if len(q) + len(a) < LEAST_WORDS else [] for t, (q, a) in zip(texts, parts, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [b.column("_item"), pa.array([q for q, _ in parts], strings), pa.array([a for _, a in parts], strings)],
-            ["_item", "_q", "_a"])
+            [b.column("_item"), pa.array([q for q, _ in parts], strings), pa.array([a for _, a in parts], strings),
+             pa.array(stops, pa.list_(pa.bool_()))], ["_item", *_PARTS.names])
 
 
 def _search_batches(index) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = cloudpickle.loads(index.value)
+        own, whole, id_type = cloudpickle.loads(index.value)
         for b in batches:
             at, texts = 0, b.column("_text").to_pylist()
             while at < len(texts):  # some MB of text at a time
@@ -193,12 +257,16 @@ def _search_batches(index) -> Callable:
                 while to < len(texts) and size < 2 << 20:
                     size += len(texts[to])
                     to += 1
-                hits = list(own.search([words_of(t) for t in texts[at:to]]))
+                words = [words_of(t) for t in texts[at:to]]
+                hits = [(n, own.items[i][0], *rest) for n, i, *rest in own.search(words)]
+                if whole.items:
+                    hits += [(n, whole.items[i][0], 1.0, 1.0, 1.0) for n, (t, w) in enumerate(zip(texts[at:to], words, strict=True))
+                             for i in whole.search(t, w)]
                 if hits:
                     n, i, *rest = zip(*hits, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [b.column("_id").take(pa.array([at + x for x in n])),
-                         pa.array([own.items[x][0] for x in i], own.id_type),
+                         pa.array(i, id_type),
                          *(pa.array(c, pa.float64()) for c in rest)],
                         ["_id", "_item", "score", "question_overlap", "answer_overlap"])
                 at = to
@@ -211,38 +279,43 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     """One row per (document, item) whose passage is verified: doc_id, item_id,
     score, question_overlap, answer_overlap. Clean documents have no row.
 
-    Null and empty texts match nothing; items with fewer than ``LEAST_WORDS``
-    words (null ones included) are left out; repeated items and rows match like
-    any other. Empty tables give an empty result; other columns are not read.
+    Null texts, and texts without a word, match nothing. Items with fewer than
+    ``LEAST_WORDS`` words are looked up whole; their scores and overlaps are 1.
+    Repeated items and rows match like any other. Empty tables give an empty
+    result; other columns are not read.
     """
     spark = docs.sparkSession
     t = items.select(F.col(item_col).alias("_item"), text_or_empty(item_text_col).alias("_text"))
     item_field = t.schema["_item"]
     parts = stage(t.mapInArrow(_split_items, T.StructType([item_field, *_PARTS.fields])), "benchmark-items")
     all_words = F.concat("_q", "_a")
-    parts = parts.where(F.size(all_words) >= LEAST_WORDS)
-    total, mean = parts.agg(F.count("*"), F.avg(F.size(all_words))).first()
+    parts = parts.where(F.size(all_words) > 0)
+    scored = F.size(all_words) >= LEAST_WORDS
+    n_items, total, mean = parts.agg(F.count("*"), F.count_if(scored), F.avg(F.when(scored, F.size(all_words)))).first()
     d = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     schema = T.StructType([d.schema["_id"], item_field, *(T.StructField(c, T.DoubleType()) for c in (
         "score", "question_overlap", "answer_overlap"))])
-    df = (parts.select(F.explode(F.array_distinct(all_words)).alias("_term")).groupBy("_term")
+    df = (parts.where(scored).select(F.explode(F.array_distinct(all_words)).alias("_term")).groupBy("_term")
           .agg(F.count("*").alias("_df")))
-    shards = -(-total // shard_items)
+    shards = -(-n_items // shard_items)
     shard = F.pmod(F.xxhash64("_item", "_q", "_a"), F.lit(max(1, shards)))
     out = None
     for s in range(shards):
         mine = parts.where(shard == s)
         rows = mine.collect()  # about ``shard_items`` items
-        terms = mine.select(F.explode(F.array_distinct(all_words)).alias("_term")).distinct()
+        terms = mine.where(scored).select(F.explode(F.array_distinct(all_words)).alias("_term")).distinct()
         counts = {r["_term"]: r["_df"] for r in terms.join(df, "_term").collect()}
         if not rows:
             continue
         rows.sort(key=lambda r: (str(r["_item"]), r["_q"], r["_a"]))
-        index = ItemIndex([(r["_item"], r["_q"], r["_a"]) for r in rows], counts, total, mean, threshold)
-        index.id_type = pa.string() if isinstance(item_field.dataType, T.StringType) else pa.int64()
+        long, short = ([r for r in rows if (len(r["_q"]) + len(r["_a"]) >= LEAST_WORDS) == is_long] for is_long in (True, False))
+        index = ItemIndex([(r["_item"], r["_q"], r["_a"]) for r in long], counts, total, mean, threshold)
+        whole = WholeItems([(r["_item"], r["_q"] + r["_a"], r["_stops"]) for r in short])
+        id_type = pa.string() if isinstance(item_field.dataType, T.StringType) else pa.int64()
         if isinstance(item_field.dataType, T.IntegerType):
-            index.id_type = pa.int32()
-        got = d.mapInArrow(_search_batches(spark.sparkContext.broadcast(cloudpickle.dumps(index))), schema)
+            id_type = pa.int32()
+        sent = spark.sparkContext.broadcast(cloudpickle.dumps((index, whole, id_type)))
+        got = d.mapInArrow(_search_batches(sent), schema)
         out = got if out is None else out.unionByName(got)
     if out is None:
         out = spark.createDataFrame([], schema)

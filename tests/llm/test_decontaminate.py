@@ -100,6 +100,45 @@ def test_query_catches_copies_and_leaves_clean_rows(spark, make_docs, write_tabl
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i not in bad)
 
 
+def test_words_of_unspaced_scripts():
+    assert D.words_of("法国的首都是哪里？GPT-4。") == [*"法国的首都是哪里", "gpt", "4"]
+    assert D.words_of("カタカナ ひら 서울 시청 тест") == [*"カタカナひら", "서울", "시청", "тест"]
+    assert D.question_and_answer("法国的首都是哪里？巴黎。") == ([*"法国的首都是哪里"], [*"巴黎"])
+
+
+def test_items_in_unspaced_scripts(spark, make_docs):
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    thai = [chr(c) for c in range(0x0E01, 0x0E2F)]
+    run = lambda script, n: "".join(RNG.choice(script) for _ in range(n))
+    items = [(i, f"{run(han, 14)}？{run(han, 6)}。") for i in range(20)] + [(20 + i, run(thai, 25)) for i in range(5)]
+    items += [(30, "首都？巴黎。")]
+    rows = [(i, f"{run(han, 300)}{t}{run(han, 300)}" if i < 20 else f"{prose(3)} {t} {prose(3)}") for i, t in items]
+    rows += [(100 + i, run(han, 600)) for i in range(20)]
+    rows.append((200, run(han, 50) + items[2][1][:4] + run(han, 50)))  # part of an item is no leak
+    rows.append((201, f"{run(han, 50)}{items[3][1][:6]}的{items[3][1][7:]}{run(han, 50)}"))
+    got = D.find_contamination(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [*((i, i) for i, _ in items), (201, 3)]
+
+
+def test_items_of_few_words(spark, make_docs):
+    items = [(0, "Capital of France? Paris."), (1, "Name the moss"), (2, "Zebra"), (3, "Capital of France? Rome."), (4, "?!"),
+             (5, "Zebra"), (None, "Name the moss")]
+    rows = [(0, f"{prose(9)} capital of\nFRANCE?  Paris! {prose(9)}"), (1, f"term1 term2 Capital of France? Paris term3 {prose(4)}"),
+            (2, f"{prose(3)} Name the moss. {prose(3)}"), (3, f"{prose(3)}\nname THE moss\n{prose(3)}"), (4, "Zebra"),
+            (5, "they name the moss green"), (6, "a zebra runs"), (7, "Capital of France Paris term4"), (8, "zebra.com"),
+            (9, "Capital of France? Parisian"), (10, None), (11, "")]
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(0, 0), (1, 0), (2, 1), (2, None), (3, 1), (3, None), (4, 2), (4, 5)], key=repr)
+    for more in (0, 20):  # alone, and beside items that are scored
+        some = items_df.unionByName(spark.createDataFrame(ITEMS, items_df.schema).where(f"item_id >= 40 and item_id < {40 + more}"))
+        for shard_items in (3, 1000):
+            got = D.find_contamination(make_docs(rows), some, shard_items=shard_items).collect()
+            assert sorted(((r.doc_id, r.item_id) for r in got), key=repr) == want
+            assert {(r.score, r.question_overlap, r.answer_overlap) for r in got} == {(1.0, 1.0, 1.0)}
+    kept = D.drop_contaminated(make_docs(rows), items_df)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(5, 12))
+
+
 def test_empty_tables(spark, make_docs):
     items = spark.createDataFrame(ITEMS[:2], "item_id long, text string")
     assert D.find_contamination(make_docs([]), items).collect() == []
