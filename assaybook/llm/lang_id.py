@@ -11,8 +11,11 @@ abreast, so time and memory per task do not depend on a text's length and a
 prediction does not depend on the texts beside it.
 
 The network is fitted on the driver from a documented bounded sample: one
-window of ``SAMPLE_CHARS`` characters from each of the ``SAMPLE_ROWS`` labelled
-rows that come first in hash order.
+window of ``SAMPLE_CHARS`` characters from each of ``SAMPLE_ROWS`` labelled rows,
+dealt evenly to the languages (what a rare one does not fill goes to the others),
+of each language those that come first in hash order. So every language of the
+labelled rows is learned, up to the ``MAX_LANGUAGES`` with the most rows; texts
+in any other get one of these.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaybook.llm.common import crc_bucket, first_by_hash, table, text_or_empty
+from assaybook.llm.common import crc_bucket, table, text_or_empty
 
 SAMPLE_ROWS = 6000
+MAX_LANGUAGES = 300
 SAMPLE_CHARS = 400
 HIDDEN = 8
 STEPS = 500
@@ -190,6 +194,37 @@ class BiGated:
         return total / sizes[:, None]
 
 
+def quotas(counts: dict[str, int], n: int) -> dict[str, int]:
+    """Rows of each language in a sample of ``n``, as even as ``counts`` lets them be."""
+    out, left = {}, n
+    small_first = sorted(counts, key=lambda lang: (counts[lang], lang))
+    for i, lang in enumerate(small_first):
+        out[lang] = min(counts[lang], left // (len(small_first) - i))
+        left -= out[lang]
+    return out
+
+
+def _sample(known: DataFrame, n: int) -> DataFrame:
+    """The rows of ``known`` (_lang, _h, _text) to learn from, in hash order. Only
+    the share of each language that is expected to hold twice its quota is sorted,
+    so no task gets the rows of a whole language."""
+    most = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()
+    counts = {r["_lang"]: r["count"] for r in most}
+    if not counts:
+        return known.limit(0)
+    take = quotas(counts, n)
+    limits = {lang: min((1 << 63) - 1, int((2 * q + 50) / counts[lang] * (1 << 64)) - (1 << 63)) for lang, q in take.items()}
+
+    def of_language(values: dict[str, int]) -> Column:
+        pairs = [x for lang, v in values.items() for x in (F.lit(lang), F.lit(v).cast("long"))]
+        return F.element_at(F.create_map(*pairs), F.col("_lang"))
+
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))
+    return (known.where(F.col("_h") <= of_language(limits))
+            .withColumn("_place", place).where(F.col("_place") <= of_language(take)).select(*known.columns)
+            .orderBy("_h", *known.columns))
+
+
 def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   sample_rows: int = SAMPLE_ROWS) -> BiGated | None:
     """Train on the labelled rows of ``docs`` (see the module's note on the
@@ -199,7 +234,7 @@ def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("_lang"), h.alias("_h"),
         F.substring(F.col(text_col), at, F.lit(SAMPLE_CHARS)).alias("_text"))
-    rows = first_by_hash(known, F.col("_h"), sample_rows).collect()
+    rows = _sample(known, sample_rows).collect()
     rows = [(r["_lang"], r["_text"].encode()) for r in rows if any(map(str.isalpha, r["_text"]))]
     if not rows:
         return None

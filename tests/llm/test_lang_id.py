@@ -68,6 +68,23 @@ def test_query_held_out_accuracy_and_edge_cases(spark, make_docs, write_tables):
     assert len(out) > 50 and np.mean([r.lang_pred == truth[r.doc_id] for r in out]) > 0.97
 
 
+def test_rare_languages_are_learned(spark, make_docs, monkeypatch):
+    assert L.quotas({"a": 5, "b": 1000, "c": 40}, 100) == {"a": 5, "c": 40, "b": 55}
+    assert L.quotas({"a": 5, "b": 6}, 100) == {"a": 5, "b": 6} and L.quotas({}, 9) == {}
+    rng = random.Random(7)
+    rows = [(i, text(rng, "aa" if i % 2 else "bb", 20), "aa" if i % 2 else "bb") for i in range(3000)]
+    rows += [(5000 + i, text(rng, "cc", 20), "cc") for i in range(3)]
+    model = L.fit_languages(make_docs(rows), sample_rows=300)
+    assert model.labels == ["aa", "bb", "cc"]
+    known = make_docs(rows).selectExpr("lang _lang", "xxhash64(doc_id) _h", "text _text")
+    got = [(r["_lang"], r["_h"]) for r in L._sample(known, 300).collect()]
+    by_hash = sorted((r["_h"], r["_lang"]) for r in known.collect())
+    firsts = {n: [x for x in by_hash if x[1] == n][:q] for n, q in (("aa", 148), ("bb", 149), ("cc", 3))}
+    assert got == [(n, h) for h, n in sorted(x for part in firsts.values() for x in part)]
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    assert L.fit_languages(make_docs(rows), sample_rows=300).labels == ["aa", "bb"]
+
+
 def test_labels_are_never_inputs(spark, make_docs):
     rng = random.Random(6)
     rows = [(i, text(rng, lang, 20), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
