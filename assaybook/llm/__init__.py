@@ -18,7 +18,8 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = ("lang_id", "html_wrapper", "license_scan", "bin_packing", "exact_dedup", "simhash_dedup",
-           "decontaminate", "quality_rank", "warc_zip", "substring_dedup", "periodic_runs")
+           "decontaminate", "quality_rank", "warc_zip", "substring_dedup", "periodic_runs",
+           "importance_resample")
 
 
 def queries() -> dict:
