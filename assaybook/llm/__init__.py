@@ -1,6 +1,6 @@
 """Training-data operators on Spark.
 
-Ten operators over the tables ``documents``, ``pages``, ``labels`` and
+Thirteen operators over the tables ``documents``, ``pages``, ``labels`` and
 ``benchmark``; each module holds one operator with its own general interface,
 the query that applies it to its whole table, and the oracle SQL where SQL can
 express the result. Nothing outside this package imports it except the guard
@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = ("lang_id", "html_wrapper", "license_scan", "bin_packing", "exact_dedup", "simhash_dedup",
            "decontaminate", "quality_rank", "warc_zip", "substring_dedup", "periodic_runs",
-           "importance_resample")
+           "importance_resample", "pii_bootstrap")
 
 
 def queries() -> dict:
