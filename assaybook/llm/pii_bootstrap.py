@@ -134,18 +134,21 @@ def _patterns(before: Column, after: Column) -> Column:
 
 def _places(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pattern, places) in all texts, of the wanted patterns."""
-    last = F.element_at(F.split("pattern", " "), -1)
-    words = wanted.select(last.alias("_w")).distinct()
+    part = F.split("pattern", " ")
+    asked = wanted.select("pattern", F.element_at(part, -1).alias("_w"),
+                          F.when(F.size(part) == 3, part[1]).alias("_v")).distinct()
+    pairs = asked.where("_v is not null").select("_v", "_w").distinct().withColumn("_pair", F.lit(True))
     stream = texts.select(_words(F.col("_text")).alias("_all")).where(F.size("_all") > 0)
     stream = stream.select(F.arrays_zip(F.array_prepend(F.slice("_all", 1, F.size("_all") - 1), F.lit(None)).alias("_v"),
                                         F.col("_all").alias("_w")).alias("_z"))
-    pairs = (stream.select(F.inline("_z")).join(words, "_w", "left_semi")
-             .groupBy("_v", "_w").agg(F.count("*").alias("_n")))
-    found = pairs.select("_n", F.explode(F.array_compact(F.array(
-        F.concat(F.lit("l "), "_w"), F.concat(F.lit("r "), "_w"),
-        F.concat(F.lit("ll "), "_v", F.lit(" "), "_w")))).alias("pattern"))
-    return (found.groupBy("pattern").agg(F.sum("_n").alias("places"))
-            .join(wanted.select("pattern").distinct(), "pattern", "left_semi"))
+    # a word before is kept only where the two are asked for: as many groups as patterns
+    counts = stage(stream.select(F.inline("_z")).join(asked.select("_w").distinct(), "_w", "left_semi")
+                   .join(pairs, ["_v", "_w"], "left")
+                   .groupBy(F.when(F.col("_pair"), F.col("_v")).alias("_v"), "_w").agg(F.count("*").alias("_n")),
+                   "pii-places")
+    single = asked.where("_v is null").join(counts.groupBy("_w").agg(F.sum("_n").alias("places")), "_w")
+    double = asked.where("_v is not null").join(counts.withColumnRenamed("_n", "places"), ["_v", "_w"])
+    return single.select("pattern", "places").unionByName(double.select("pattern", "places"))
 
 
 def _confidence(trusted: Column, n: Column) -> Column:
