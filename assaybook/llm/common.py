@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaybook.session import work_dir
-from assaybook.sources.store import remove_folder
+from assaybook.sources import files
 
 #: Fixed value of the contracts: a word is a run of other characters than these.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -30,7 +30,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 def remove_staged(spark: SparkSession) -> bool:
     """Remove what the operators wrote on the way (and WARC packages written by
     the query), once none of their results is read any more."""
-    return remove_folder(spark, f"{work_dir(spark)}/llm")
+    return files.remove(spark, f"{work_dir(spark)}/llm")
 
 
 def text_or_empty(col: str = "text") -> Column:
