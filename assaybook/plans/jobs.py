@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from assaybook.plans import report as report_plan
 from assaybook.plans import views
 from assaybook.sources import audit, extract, sinks, store
-from assaybook.sources.tables import read_staged
+from assaybook.sources.tables import read_staged, read_table
 
 log = logging.getLogger("assaybook.jobs")
 
@@ -25,20 +25,20 @@ def nightly_build(spark: SparkSession, read: extract.Reader, staging_dir: str, f
     and current year of the fact. Latest-result needs no older rows: an
     order's later results are always inside the window."""
     now = now or dt.datetime.now(dt.timezone.utc).date()
-    pending = _stage_with_pending(spark, read, staging_dir, store.rolling_start(now))
-    return store.reload_window(spark, read_staged(spark, staging_dir), fact_dir, now,
-                               pending_results=pending, **fact_opts)
+    src, pending = _stage_with_pending(spark, read, staging_dir, store.rolling_start(now))
+    return store.reload_window(spark, src, fact_dir, now, pending_results=pending, **fact_opts)
 
 
 def _stage_with_pending(spark: SparkSession, read: extract.Reader, staging_dir: str,
                         start: dt.date):
     """Stage the tables (RESULTS from ``start``) plus the pending-status rows
-    of all history; returns the staged pending rows."""
+    of all history as one snapshot; returns that snapshot's tables and pending
+    rows, whatever another run publishes meanwhile."""
     tables = extract.extract_all(read, start)
     tables[extract.PENDING_TABLE] = extract.extract_pending(read)
-    extract.stage_all(tables, staging_dir)
-    return spark.read.schema(extract.PENDING_SCHEMA).parquet(
-        f"{staging_dir}/{extract.PENDING_TABLE}")
+    snapshot = extract.stage_snapshot(tables, staging_dir)
+    return (read_staged(spark, staging_dir, snapshot),
+            read_table(spark, staging_dir, extract.PENDING_TABLE, extract.PENDING_SCHEMA, snapshot))
 
 
 def backfill_years(spark: SparkSession, read: extract.Reader, staging_dir: str, fact_dir: str,
@@ -47,9 +47,8 @@ def backfill_years(spark: SparkSession, read: extract.Reader, staging_dir: str,
     rows), then rebuild those years (each replaced whole, half-open
     [Y-01-01, Y+1-01-01))."""
     years = sorted(set(int(y) for y in years))
-    pending = _stage_with_pending(spark, read, staging_dir, dt.date(years[0], 1, 1))
-    return store.backfill(spark, read_staged(spark, staging_dir), fact_dir, years,
-                          pending_results=pending, **fact_opts)
+    src, pending = _stage_with_pending(spark, read, staging_dir, dt.date(years[0], 1, 1))
+    return store.backfill(spark, src, fact_dir, years, pending_results=pending, **fact_opts)
 
 
 def report_request(spark: SparkSession, fact_dir: str, staging_dir: str, cal_date, cal_end,
@@ -60,9 +59,9 @@ def report_request(spark: SparkSession, fact_dir: str, staging_dir: str, cal_dat
     (the styled workbook itself is not built). Returns the row count."""
     cal_date, cal_end, report_type, fmt = report_plan.validate_request(
         cal_date, cal_end, report_type, fmt)
-    staged = read_staged(spark, staging_dir)
+    lookup = read_table(spark, staging_dir, "METADATA_LOOKUP_VALUES")
     fact = store.read_fact(spark, fact_dir, cal_date, cal_end)  # lists the window's years only
-    view = views.priced_view(fact, staged.lookup, pii=report_type == "RWP")
+    view = views.priced_view(fact, lookup, pii=report_type == "RWP")
     rep = report_plan.report(view, cal_date, cal_end, report_type)
     if report_type == "RWP":
         rep = report_plan.display(rep)

@@ -38,5 +38,6 @@ def materialized_fact(spark: SparkSession, src: Sources, **fact_opts) -> DataFra
     """Read the stored fact for ``src``, building it first if absent."""
     path = fact_location(spark, src, **fact_opts)
     if store.current_years(spark, path) is None:
-        store.publish(spark, build_fact(src, keep_folder=True, **fact_opts), path, replace=False)
+        store.publish(spark, build_fact(src, keep_folder=True, **fact_opts), path, replace=False,
+                      index=False)
     return store.read_fact(spark, path)

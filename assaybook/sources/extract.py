@@ -1,6 +1,6 @@
 """Source extract (S1-S4): column-pruned reads of the nine source tables
 over JDBC, RESULTS split by ORIGREC range and limited to the rolling window,
-and the staging write (one snappy Parquet folder per table).
+and the staging write (one snapshot of snappy Parquet folders, one per table).
 
 The reader is injected: production passes ``jdbc_reader``; tests pass the
 fixture tables, which expose the same projection."""
@@ -8,18 +8,23 @@ fixture tables, which expose the same projection."""
 from __future__ import annotations
 
 import datetime as dt
-import uuid
+import logging
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaybook import schemas
-from assaybook.sources import store
+from assaybook.sources import files, snapshots
+from assaybook.sources.manifest import GRACE_S
 from assaybook.sources.tables import Sources, as_dict
 
+log = logging.getLogger("assaybook.extract")
+
 Reader = Callable[[str, "str | None"], DataFrame]
 
 # The extracted column list of each source table.
@@ -134,26 +139,58 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*map(typed, schema.fields))
 
 
-def stage(df: DataFrame, path: str, schema: T.StructType | None = None) -> int:
+#: Fixed values of the copies: attempts after the first, and seconds between them.
+COPY_RETRIES, RETRY_WAIT_S = 2, 30
+
+
+def stage(df: DataFrame, path: str, schema: T.StructType | None = None, *, retries: int = COPY_RETRIES,
+          wait_s: float = RETRY_WAIT_S) -> int:
     """Write one staged table under its declared types; returns its row count,
-    observed by the write."""
-    obs = Observation(f"stage:{path}")
+    observed by the write. A copy that fails is tried again as a whole, as the
+    source's state may have changed in between; a table that does not have the
+    declared columns or types fails at once."""
     out = df if schema is None else conform(df, schema)
-    (out.observe(obs, F.count(F.lit(1)).alias("rows"))
-        .write.mode("overwrite").option("compression", "snappy").parquet(path))
-    return int(obs.get["rows"])
+    for attempt in range(retries + 1):
+        obs = Observation(f"stage:{path}:{attempt}")
+        try:
+            (out.observe(obs, F.count(F.lit(1)).alias("rows"))
+                .write.mode("overwrite").option("compression", "snappy").parquet(path))
+            return int(obs.get["rows"])
+        except AnalysisException:
+            raise
+        except Exception:
+            if attempt == retries:
+                raise
+            log.warning("copy to %s failed, attempt %d of %d follows", path, attempt + 2, retries + 1, exc_info=True)
+            time.sleep(wait_s)
+    raise AssertionError("unreachable")
+
+
+def stage_snapshot(tables: dict[str, DataFrame], staging_dir: str, parallel: int = 9, *,
+                   grace_s: float = GRACE_S, wait_s: float = RETRY_WAIT_S) -> snapshots.Snapshot:
+    """Stage every table as one new snapshot. The copies are independent, so
+    their jobs are submitted concurrently and Spark interleaves their tasks; only
+    when all are written does the set go live. A failure leaves the set before it."""
+    if not tables:
+        raise ValueError("no table to stage")
+    spark = next(iter(tables.values())).sparkSession
+    staging_dir = staging_dir.rstrip("/")
+    kinds = schemas.SOURCES | {PENDING_TABLE: PENDING_SCHEMA}
+    seen, version = snapshots.last_number(spark, staging_dir), snapshots.new_snapshot(staging_dir)
+    folder = f"{staging_dir}/{version}"
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            futures = {name: pool.submit(stage, df, f"{folder}/{name}", kinds.get(name), wait_s=wait_s)
+                       for name, df in tables.items()}
+            counts = {name: f.result() for name, f in futures.items()}
+        # what is derived from the staged tables is kept by this marker
+        files.write_text(spark, f"{folder}/_VERSION", version)
+        return snapshots.publish_snapshot(spark, staging_dir, version, counts, seen, grace_s=grace_s)
+    except Exception:
+        files.remove(spark, folder)
+        raise
 
 
 def stage_all(tables: dict[str, DataFrame], staging_dir: str, parallel: int = 9) -> dict[str, int]:
-    """Stage every table; the copies are independent, so their jobs are
-    submitted concurrently and Spark interleaves their tasks. A version marker
-    is written last: what is derived from the staged tables is kept by it."""
-    kinds = schemas.SOURCES | {PENDING_TABLE: PENDING_SCHEMA}
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        futures = {name: pool.submit(stage, df, f"{staging_dir}/{name}", kinds.get(name))
-                   for name, df in tables.items()}
-        counts = {name: f.result() for name, f in futures.items()}
-    for df in tables.values():
-        store.write_text(df.sparkSession, f"{staging_dir}/_VERSION", uuid.uuid4().hex, replace=True)
-        break
-    return counts
+    """``stage_snapshot``; returns the rows of each table."""
+    return stage_snapshot(tables, staging_dir, parallel).rows

@@ -5,35 +5,28 @@ year to the run holding it. Publishing is one small file: the next numbered
 pointer, created only if that number is free. Live data is never moved or
 deleted before the switch, so a run that fails at any step leaves the old fact
 whole, and a pointer that was cut short is passed over for the one before it.
-Runs that the last pointers no longer name are removed afterwards.
+Runs that the last pointers no longer name are removed afterwards, and so are
+older pointers (see ``manifest``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaybook import schemas
 from assaybook.operators import flags
 from assaybook.operators.filters import ts
+from assaybook.sources import fact_index, files
+from assaybook.sources.gate import Gate, Metrics, Watch
+from assaybook.sources.manifest import GRACE_S, KEEP, Manifest
 
 POINTERS = "_pointers"
-#: Pointers whose runs are kept, and the age from which an unnamed run is removed.
-KEEP_POINTERS, GRACE_S = 2, 86_400
-
-
-class EmptyOutputError(RuntimeError):
-    """The transform produced no rows; nothing was published."""
-
-
-class ConcurrentPublishError(RuntimeError):
-    """Another run published meanwhile; this one was discarded."""
 
 
 def with_partitions(df: DataFrame, col: str = "DateEnter") -> DataFrame:
@@ -41,109 +34,45 @@ def with_partitions(df: DataFrame, col: str = "DateEnter") -> DataFrame:
               .withColumn("month", F.month(col).cast("int")))
 
 
-# ---------------------------------------------------------------- small files
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _names(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(name, length, modification time) of a folder's own entries."""
-    fs, p, _ = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
-
-
-def read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p, jvm = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def write_text(spark: SparkSession, path: str, text: str, *, replace: bool = False) -> None:
-    """Write a small file; without ``replace`` an existing one raises."""
-    fs, p, _ = _fs(spark, path)
-    stream = fs.create(p, replace)
-    try:
-        stream.write(bytearray(text.encode()))
-    finally:
-        stream.close()
-
-
-def remove_folder(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
-    return fs.delete(p, True)
-
-
 def source_version(spark: SparkSession, path: str) -> str:
     """Version of a source folder: the marker that staging writes last, or, for
     a folder without one, its own entries (one listing, not recursive)."""
-    marker = read_text(spark, f"{path}/_VERSION")
-    return marker if marker is not None else json.dumps(_names(spark, path))
+    marker = files.read_text(spark, f"{path}/_VERSION")
+    return marker if marker is not None else json.dumps(files.entries(spark, path))
 
 
 # ---------------------------------------------------------------- pointer
-def _pointers(spark: SparkSession, fact_dir: str) -> list[tuple[int, dict[int, str]]]:
-    """Readable pointers (number, year -> run), newest first."""
-    out = []
-    for name, _, _ in reversed(_names(spark, f"{fact_dir}/{POINTERS}")):
-        try:
-            years = json.loads(read_text(spark, f"{fact_dir}/{POINTERS}/{name}"))["years"]
-            out.append((int(name.split(".")[0]), {int(y): run for y, run in years.items()}))
-        except (ValueError, KeyError, TypeError):
-            continue  # cut short: the pointer before it still holds
-    return out
+def _log(spark: SparkSession, fact_dir: str) -> Manifest:
+    """Pointers: year -> run of every live year."""
+    return Manifest(spark, f"{fact_dir.rstrip('/')}/{POINTERS}",
+                    lambda e: {int(y): run for y, run in e["years"].items()})
 
 
 def current_years(spark: SparkSession, fact_dir: str) -> dict[int, str] | None:
     """Year -> run of the live fact; None if nothing is published."""
-    found = _pointers(spark, fact_dir.rstrip("/"))
-    return found[0][1] if found else None
+    found = _log(spark, fact_dir).newest()
+    return found[1] if found else None
 
 
 def _switch(spark: SparkSession, fact_dir: str, years: dict[int, str], seen: int) -> None:
     """Publish ``years`` as the pointer after number ``seen``."""
-    path = f"{fact_dir}/{POINTERS}/{seen + 1:012d}.json"
-    body = json.dumps({"years": {str(y): r for y, r in sorted(years.items())}})
-    try:
-        write_text(spark, path, body)
-    except Exception as e:
-        if "already exists" in str(e).lower():
-            raise ConcurrentPublishError(path) from e
-        raise
-
-
-def _last_number(spark: SparkSession, fact_dir: str) -> int:
-    return max([0, *(int(n.split(".")[0]) for n, _, _ in _names(spark, f"{fact_dir}/{POINTERS}")
-                     if n.split(".")[0].isdigit())])
+    _log(spark, fact_dir).append({"years": {str(y): r for y, r in sorted(years.items())}}, seen)
 
 
-def remove_old_runs(spark: SparkSession, fact_dir: str, *, keep: int = KEEP_POINTERS,
+def remove_old_runs(spark: SparkSession, fact_dir: str, *, keep: int = KEEP,
                     grace_s: float = GRACE_S) -> list[str]:
     """Remove run folders that the last ``keep`` pointers do not name and that
-    are older than ``grace_s`` (a run still being written is younger)."""
+    are older than ``grace_s``, and the pointers before those."""
     fact_dir = fact_dir.rstrip("/")
-    named = {run for _, years in _pointers(spark, fact_dir)[:keep] for run in years.values()}
-    gone = []
-    for name, _, changed in _names(spark, fact_dir):
-        if name.startswith("run-") and name not in named and time.time() - changed / 1000 >= grace_s:
-            fs, p, _ = _fs(spark, f"{fact_dir}/{name}")
-            if fs.delete(p, True):
-                gone.append(name)
-    return gone
+    kept, _ = _log(spark, fact_dir).trim(keep=keep, grace_s=grace_s)
+    return files.remove_unnamed(spark, fact_dir, "run-", {run for years in kept for run in years.values()}, grace_s)
 
 
 # ---------------------------------------------------------------- write
-def _write_partitioned(df: DataFrame, path: str, max_records_per_file: int) -> int:
-    obs = Observation("fact_write")
-    out = with_partitions(df).observe(obs, F.count(F.lit(1)).alias("rows"))
+def _write_partitioned(df: DataFrame, path: str, max_records_per_file: int,
+                       lookup: DataFrame | None = None) -> Metrics:
+    watch = Watch(lookup)
+    out = watch.observe(with_partitions(df))
     # REBALANCE lets AQE split a hot month over several tasks/files and
     # coalesce small ones, instead of one task per month. Sorting each task's
     # rows by (year, month, DateEnter) is the order the partitioned writer
@@ -156,32 +85,40 @@ def _write_partitioned(df: DataFrame, path: str, max_records_per_file: int) -> i
         .option("compression", "snappy")
         .partitionBy("year", "month")
         .parquet(path))
-    return int(obs.get["rows"])
+    return watch.metrics()
+
+
+def _read_run(spark: SparkSession, fact_dir: str, run: str, years) -> DataFrame:
+    return (spark.read.schema(schemas.FACT_STORED).option("basePath", f"{fact_dir}/{run}")
+            .parquet(*[f"{fact_dir}/{run}/year={y}" for y in sorted(years)]))
 
 
 def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
-            allow_empty: bool = False, max_records_per_file: int = 5_000_000,
-            replace: bool = True, grace_s: float = GRACE_S) -> int:
+            gate: Gate | None = None, lookup: DataFrame | None = None, index: bool = True,
+            max_records_per_file: int = 5_000_000, replace: bool = True, grace_s: float = GRACE_S) -> int:
     """Write ``df`` as a new run and switch ``fact_dir`` to it.
 
     ``years=None`` replaces the whole table; otherwise exactly those years (a
     year without rows is cleared). ``replace=False`` (whole table only) keeps a
-    table that another run published meanwhile and discards this copy. Returns
-    the rows written."""
+    table that another run published meanwhile and discards this copy. The run
+    must pass ``gate`` first; with ``lookup`` the gate knows the rows that the
+    priced view will have. ``index`` stores the flags' key-to-year index that a
+    reload probes (fact rows with FolderNo only). Returns the rows written."""
     fact_dir = fact_dir.rstrip("/")
-    seen = _last_number(spark, fact_dir)
+    seen = _log(spark, fact_dir).last_number()
     run = f"run-{uuid.uuid4().hex[:12]}"
-    fs, path, _ = _fs(spark, f"{fact_dir}/{run}")
+    path = f"{fact_dir}/{run}"
     try:
-        n = _write_partitioned(df, f"{fact_dir}/{run}", max_records_per_file)
-        if n == 0 and not allow_empty:
-            raise EmptyOutputError(f"transform produced 0 rows; {fact_dir} left unchanged")
+        m = _write_partitioned(df, path, max_records_per_file, lookup)
+        (gate or Gate()).check(m)
         live = current_years(spark, fact_dir)
         if years is None and not replace and live is not None:
-            fs.delete(path, True)
-            return n
-        wrote = {int(name[5:]): run for name, _, _ in _names(spark, f"{fact_dir}/{run}")
+            files.remove(spark, path)
+            return m.rows
+        wrote = {int(name[5:]): run for name, _, _ in files.entries(spark, path)
                  if name.startswith("year=") and name[5:].isdigit()}
+        if index and wrote and "FolderNo" in df.columns:
+            fact_index.write_index(_read_run(spark, fact_dir, run, wrote), path)
         if years is None:
             now = wrote
         else:
@@ -190,10 +127,10 @@ def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
             now |= {y: r for y, r in wrote.items() if y in chosen}
         _switch(spark, fact_dir, now, seen)
     except Exception:
-        fs.delete(path, True)
+        files.remove(spark, path)
         raise
     remove_old_runs(spark, fact_dir, grace_s=grace_s)
-    return n
+    return m.rows
 
 
 # ---------------------------------------------------------------- read
@@ -208,12 +145,11 @@ def read_fact(spark: SparkSession, fact_dir: str, start=None, end=None, *, years
     if live is None:
         raise FileNotFoundError(f"no fact is published in {fact_dir}")
     lo, hi = getattr(start, "year", None), getattr(end, "year", None)
-    by_run: dict[str, list[str]] = {}
+    by_run: dict[str, list[int]] = {}
     for y, run in sorted(live.items()):
         if (lo is None or y >= lo) and (hi is None or y <= hi) and (years is None or y in years):
-            by_run.setdefault(run, []).append(f"{fact_dir}/{run}/year={y}")
-    parts = [spark.read.schema(schemas.FACT_STORED).option("basePath", f"{fact_dir}/{run}").parquet(*paths)
-             for run, paths in by_run.items()]
+            by_run.setdefault(run, []).append(y)
+    parts = [_read_run(spark, fact_dir, run, ys) for run, ys in by_run.items()]
     out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.FACT_STORED)
     return out if internal else out.drop("FolderNo")
 
@@ -228,49 +164,60 @@ def rolling_start(now: dt.date) -> dt.date:
     return dt.date(now.year - 1, 1, 1)
 
 
-def refreshed_flags(old: DataFrame, latest: DataFrame, pending: DataFrame) -> DataFrame:
-    """Stored rows with both flags brought up to date, and ``_changed``.
-    ``latest`` (ORDNO, LatestResultDate) and ``pending`` (FOLDERNO) come from
-    the newly extracted results."""
-    p = pending.select(F.col("FOLDERNO").alias("FolderNo"), F.lit(True).alias("_p"))
-    recent = latest.select("ORDNO", F.col("LatestResultDate").alias("_l"))
-    x = (old.join(p, "FolderNo", "left").join(recent, "ORDNO", "left")
-         .withColumns({"_p": F.coalesce("_p", F.lit(False)),
-                       "_l": F.greatest("LatestResultDate", "_l")}))
-    changed = ~(F.col("_p").eqNullSafe(F.col("HasPendingResults"))
-                & F.col("_l").eqNullSafe(F.col("LatestResultDate")))
-    return (x.withColumn("_changed", changed)
-            .withColumns({"HasPendingResults": F.col("_p"), "LatestResultDate": F.col("_l")})
-            .select(*old.columns, "_changed"))
+def _stale_rows(spark: SparkSession, fact_dir: str, older: dict[int, str], latest: DataFrame,
+                pending: DataFrame, work: str) -> tuple[DataFrame | None, list[int]]:
+    """Rows of the older years whose stored flags are stale, brought up to date,
+    and those years. The stale keys are written to ``work``: they are read to
+    find the years and again to refresh them."""
+    def derived(years):
+        return read_fact(spark, fact_dir, years=years, internal=True)
+
+    found = {
+        "orders": fact_index.stale_orders(fact_index.read_index(spark, fact_dir, "orders", older, derived), latest),
+        "folders": fact_index.stale_folders(fact_index.read_index(spark, fact_dir, "folders", older, derived), pending)}
+    for kind, df in found.items():
+        df.write.parquet(f"{work}/{kind}")
+        found[kind] = spark.read.schema(df.schema).parquet(f"{work}/{kind}")
+    years = sorted({r["year"] for df in found.values() for r in df.select("year").distinct().collect()})
+    if not years:
+        return None, []
+    rows = fact_index.refreshed(read_fact(spark, fact_dir, years=years, internal=True),
+                                found["orders"], found["folders"])
+    return rows.drop("year", "month"), years
 
 
 def reload_window(spark: SparkSession, src, fact_dir: str, now: dt.date, *,
-                  grace_s: float = GRACE_S, **fact_opts) -> int:
+                  grace_s: float = GRACE_S, gate: Gate | None = None, **fact_opts) -> int:
     """Nightly reload: rebuild prior + current year, and refresh the flags of
     the older years. Those years' results do not change, but a new result can
-    be an old order's latest, and a folder can become pending or final; the
-    years that own such a row are rewritten with the same switch."""
+    be an old order's latest, and a folder can become pending or final. The
+    index of the older years tells which ones own such a row; only those are
+    read, and rewritten with the same switch."""
     from assaybook.plans.fact import build_fact
     start = rolling_start(now)
     end = dt.date(now.year + 1, 1, 1)
+    fact_dir = fact_dir.rstrip("/")
     df = build_fact(src, start=start, end=end, keep_folder=True, **fact_opts)
     years = rolling_years(now)
-    older = sorted(set(current_years(spark, fact_dir) or ()) - set(years))
-    if older:
-        raw = fact_opts.get("pending_results")
-        fresh = refreshed_flags(
-            read_fact(spark, fact_dir, years=older, internal=True),
-            flags.latest_result(src.results.where(F.col("DATEENTER") >= ts(start)), src.folders),
-            flags.pending_folders(src.results if raw is None else raw))
-        stale = [r["year"] for r in fresh.where("_changed").select("year").distinct().collect()]
-        if stale:
-            redo = fresh.where(F.col("year").isin(stale)).drop("year", "month", "_changed")
-            df = df.unionByName(redo)
-            years = sorted({*years, *stale})
-    return publish(spark, df, fact_dir, years=years, grace_s=grace_s)
-
-
-def backfill(spark: SparkSession, src, fact_dir: str, years, *, grace_s: float = GRACE_S, **fact_opts) -> int:
+    older = {y: run for y, run in (current_years(spark, fact_dir) or {}).items() if y not in years}
+    work = f"{fact_dir}/run-keys-{uuid.uuid4().hex[:12]}"
+    try:
+        if older:
+            raw = fact_opts.get("pending_results")
+            redo, stale = _stale_rows(
+                spark, fact_dir, older,
+                flags.latest_result(src.results.where(F.col("DATEENTER") >= ts(start)), src.folders),
+                flags.pending_folders(src.results if raw is None else raw), work)
+            if redo is not None:
+                df = df.unionByName(redo)
+                years = sorted({*years, *stale})
+        return publish(spark, df, fact_dir, years=years, grace_s=grace_s, gate=gate, lookup=src.lookup)
+    finally:
+        files.remove(spark, work)
+
+
+def backfill(spark: SparkSession, src, fact_dir: str, years, *, grace_s: float = GRACE_S,
+             gate: Gate | None = None, **fact_opts) -> int:
     """Rebuild the given years in one job (each year half-open [Y, Y+1))."""
     from assaybook.plans.fact import build_fact
     years = sorted(set(int(y) for y in years))
@@ -278,4 +225,4 @@ def backfill(spark: SparkSession, src, fact_dir: str, years, *, grace_s: float =
                     end=dt.date(years[-1] + 1, 1, 1), keep_folder=True, **fact_opts)
     if years != list(range(years[0], years[-1] + 1)):
         df = df.where(F.year("DateEnter").isin(years))
-    return publish(spark, df, fact_dir, years=years, grace_s=grace_s)
+    return publish(spark, df, fact_dir, years=years, grace_s=grace_s, gate=gate, lookup=src.lookup)

@@ -10,6 +10,7 @@ from assaybook.plans import fact as fact_plan
 from assaybook.plans import legacy, quality, views
 from assaybook.plans import report as report_plan
 from assaybook.sources import store
+from assaybook.sources.gate import EmptyOutputError
 from conftest import T, make_sources
 
 A, B = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
@@ -140,7 +141,7 @@ def test_empty_output_leaves_table(spark, src, tmp_path):
     d = str(tmp_path / "fact")
     store.publish(spark, fact_plan.build_fact(src), d)
     n = store.read_fact(spark, d).count()
-    with pytest.raises(store.EmptyOutputError):
+    with pytest.raises(EmptyOutputError):
         store.publish(spark, fact_plan.build_fact(src).where(F.lit(False)), d)
     assert store.read_fact(spark, d).count() == n
 

@@ -10,7 +10,9 @@ from assaybook.plans import fact as fact_plan
 from assaybook.plans import legacy, views
 from assaybook.plans import report as report_plan
 from assaybook.plans.warehouse import fact_location, materialized_fact
-from assaybook.sources import store
+from assaybook.sources import files, store
+from assaybook.sources.gate import EmptyOutputError, Gate, GateError
+from assaybook.sources.manifest import KEEP, ConcurrentPublishError
 from conftest import T, make_sources
 from test_semantics import CLIENTS, FOLDERS, GROUPS, LISTS, LOOKUP, PRICES, RESULTS, SAMPLES, TESTS
 
@@ -28,19 +30,20 @@ def _build(src):
     return fact_plan.build_fact(src, keep_folder=True, load_ts="2000-01-01")
 
 
-@pytest.mark.parametrize("step", ["_write_partitioned", "current_years", "_switch", "write_text", "cut pointer"])
+@pytest.mark.parametrize("step", ["_write_partitioned", "current_years", "_switch", "write_text", "write_index", "cut pointer"])
 def test_a_failure_at_any_step_leaves_the_old_fact(spark, tmp_path, monkeypatch, step):
     d = str(tmp_path / "fact")
     store.publish(spark, _build(_src(spark)), d)
     before = _rows(spark, d)
     src = _src(spark, RESULTS[:2])
     if step == "cut pointer":  # the writer died in the middle of the small file
-        store.write_text(spark, f"{d}/{store.POINTERS}/{2:012d}.json", '{"years": {"1998"')
+        files.write_text(spark, f"{d}/{store.POINTERS}/{2:012d}.json", '{"years": {"1998"')
     else:
         def broken(*a, **k):
             raise OSError("lost")
         with monkeypatch.context() as m:
-            m.setattr(store, step, broken)
+            owner = {"write_text": files, "write_index": store.fact_index}.get(step, store)
+            m.setattr(owner, step, broken)
             with pytest.raises(OSError):
                 store.publish(spark, _build(src), d, grace_s=0)
     assert _rows(spark, d) == before
@@ -55,11 +58,11 @@ def test_two_publishers_do_not_mix(spark, tmp_path, monkeypatch):
     real = store._switch
 
     def late(spark_, fact_dir, years, seen):  # another run took the number
-        store.write_text(spark_, f"{fact_dir}/{store.POINTERS}/{seen + 1:012d}.json",
-                         store.read_text(spark_, f"{fact_dir}/{store.POINTERS}/{seen:012d}.json"))
+        files.write_text(spark_, f"{fact_dir}/{store.POINTERS}/{seen + 1:012d}.json",
+                         files.read_text(spark_, f"{fact_dir}/{store.POINTERS}/{seen:012d}.json"))
         return real(spark_, fact_dir, years, seen)
     monkeypatch.setattr(store, "_switch", late)
-    with pytest.raises(store.ConcurrentPublishError):
+    with pytest.raises(ConcurrentPublishError):
         store.publish(spark, _build(_src(spark, RESULTS[:2])), d)
     assert _rows(spark, d) == before
 
@@ -68,11 +71,11 @@ def test_old_runs_go_and_window_reads_list_their_years(spark, tmp_path):
     d = str(tmp_path / "fact")
     for _ in range(4):
         store.publish(spark, _build(_src(spark)), d, grace_s=0)
-    assert len(list((tmp_path / "fact").glob("run-*"))) == store.KEEP_POINTERS
+    assert len(list((tmp_path / "fact").glob("run-*"))) == KEEP
     files = store.read_fact(spark, d, dt.date(1998, 1, 1), dt.date(1998, 12, 31)).inputFiles()
     assert files and all("/year=1998/" in f for f in files)
     assert store.read_fact(spark, d, dt.date(1901, 1, 1), dt.date(1901, 2, 1)).count() == 0
-    with pytest.raises(store.EmptyOutputError):
+    with pytest.raises(EmptyOutputError):
         store.publish(spark, _build(_src(spark, [])), d, years=[1998])
     with pytest.raises(FileNotFoundError):
         store.read_fact(spark, str(tmp_path / "nothing"))
@@ -109,11 +112,11 @@ def test_fact_cache_key(spark, tmp_path):
     spark.range(4).write.parquet(f"{d}/b")
     second = fact_location(spark, src)
     assert second != first
-    store.write_text(spark, f"{d}/_VERSION", "v1")
+    files.write_text(spark, f"{d}/_VERSION", "v1")
     third = fact_location(spark, src)
     spark.range(4).write.parquet(f"{d}/c")  # the marker alone counts once it is there
     assert fact_location(spark, src) == third != second
-    store.write_text(spark, f"{d}/_VERSION", "v2", replace=True)
+    files.write_text(spark, f"{d}/_VERSION", "v2", replace=True)
     assert fact_location(spark, src) != third
     with pytest.raises(ValueError):
         materialized_fact(spark, dataclasses.replace(src, origin=""))
