@@ -4,8 +4,9 @@ snapshots of a table in one full outer join on the key.
 
 * Delete — key only in the old snapshot, old row image;
 * Create — key only in the new snapshot, new row image;
-* Edit   — key in both (text keys compare as the source does) and any column changed (NULL-safe, like EXCEPT),
-           new row image.
+* Edit   — key in both and any column changed (NULL-safe, like EXCEPT), new row image.
+           Text keys and cells compare as the source does: a change of case or of trailing
+           blanks alone is no Edit.
 """
 
 from __future__ import annotations
@@ -47,6 +48,13 @@ def row_xml(cols, prefix: str, time_cols=(), utc_offset_hours: int = 0) -> Colum
     return F.concat(*parts)
 
 
+def row_cells(df: DataFrame, cols, prefix: str) -> Column:
+    """A row as EXCEPT compares it: text cells under the source's collation (case
+    and trailing blanks do not count), all others as they are; null equals null."""
+    text = {f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "varchar", "char")}
+    return F.struct(*[(ci(f"{prefix}{c}") if c in text else F.col(f"{prefix}{c}")).alias(c) for c in cols])
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, keys, table: str, cols=None, *,
                   utc_offset_hours: int = 0, audit: dict | None = None) -> DataFrame:
     """(keys…, TABLENAME, EVENT_TYPE, EVENTCODE, ROW_DATA) per changed key.
@@ -66,8 +74,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys, table: str, cols=None, *
         e = ci(a) == ci(b) if new.schema[k].dataType.typeName() == "string" else a == b
         cond = e if cond is None else cond & e
     j = o.join(n, cond, "full_outer")
-    same = F.struct(*[F.col(f"_o_{c}") for c in cols]).eqNullSafe(
-        F.struct(*[F.col(f"_n_{c}") for c in cols]))
+    same = row_cells(new, cols, "_o_").eqNullSafe(row_cells(new, cols, "_n_"))
     event = (F.when(F.col("_in_new").isNull(), F.lit("Delete"))
              .when(F.col("_in_old").isNull(), F.lit("Create"))
              .when(~same, F.lit("Edit")))

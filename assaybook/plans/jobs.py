@@ -19,14 +19,21 @@ log = logging.getLogger("assaybook.jobs")
 
 
 def nightly_build(spark: SparkSession, read: extract.Reader, staging_dir: str, fact_dir: str,
-                  now: dt.date | None = None, **fact_opts) -> int:
+                  now: dt.date | None = None, audit_dir: str | None = None, **fact_opts) -> int:
     """Extract (RESULTS from Jan 1 of the prior year, other tables whole, plus
     the pending-status rows of all history), stage, then rebuild the prior
     and current year of the fact. Latest-result needs no older rows: an
-    order's later results are always inside the window."""
+    order's later results are always inside the window. The audit table's
+    single files are folded afterwards, which never fails the build."""
     now = now or dt.datetime.now(dt.timezone.utc).date()
     src, pending = _stage_with_pending(spark, read, staging_dir, store.rolling_start(now))
-    return store.reload_window(spark, src, fact_dir, now, pending_results=pending, **fact_opts)
+    rows = store.reload_window(spark, src, fact_dir, now, pending_results=pending, **fact_opts)
+    if audit_dir:
+        try:
+            audit.audit_compact_all(spark, audit_dir)
+        except Exception:
+            log.exception("audit table was not compacted")
+    return rows
 
 
 def _stage_with_pending(spark: SparkSession, read: extract.Reader, staging_dir: str,
@@ -69,16 +76,14 @@ def report_request(spark: SparkSession, fact_dir: str, staging_dir: str, cal_dat
     status, rows = "success", 0
     obs = Observation("report_rows")
     try:
-        # observe above the sort: the sort's sampling pass must not count rows
-        counted = sinks.sort_report(rep).observe(obs, F.count(F.lit(1)).alias("rows"))
-        if fmt == "csv":
-            sinks.write_csv(counted, out_path, sort=False)
-        elif fmt == "xlsx":
-            sinks.write_tabs(report_plan.tabs(counted, cal_date, report_type), out_path,
-                             report_plan.sheet_names(cal_date, report_type))
+        if fmt == "xlsx":
+            names = report_plan.sheet_names(cal_date, report_type)
+            rows = sinks.write_tabs(report_plan.tabs(rep, cal_date, report_type), out_path, names)[names[0]]
         else:
-            sinks.write_json(counted, out_path, sort=False)
-        rows = int(obs.get["rows"])
+            # observe above the sort: the sort's sampling pass must not count rows
+            counted = sinks.sort_report(rep).observe(obs, F.count(F.lit(1)).alias("rows"))
+            (sinks.write_csv if fmt == "csv" else sinks.write_json)(counted, out_path, sort=False)
+            rows = int(obs.get["rows"])
     except Exception:
         status = "error"
         log.exception("report failed")

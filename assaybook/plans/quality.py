@@ -148,6 +148,12 @@ def version_changes(price_lists: DataFrame, start, end) -> DataFrame:
             .select("PRICELISTID", "PRICELISTVERSION", "STARTDDATE", "STATUS"))
 
 
+def versions_in_order(versions: DataFrame) -> DataFrame:
+    """O5: the price-version listing by list, then version. Lists are one under the
+    collation; spellings of one list and version keep a fixed order."""
+    return versions.orderBy(ci("PRICELISTID"), "PRICELISTVERSION", "PRICELISTID")
+
+
 def price_drift(fact_with_code: DataFrame, src, cal_date, cal_end) -> DataFrame:
     """Per result in the window: point-in-time price vs the legacy released
     price of the same code (D-f); rows where they differ."""

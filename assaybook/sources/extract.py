@@ -32,17 +32,37 @@ EXTRACT_COLUMNS = {name: [f.name for f in st.fields] for name, st in schemas.SOU
 LOOKUP_FILTER = "LOOKUP_NAME = 'PanelPricing'"
 
 
-# Large and medium tables are read as parallel range scans on an integer key.
+# Large and medium tables are read in parallel, cut on an integer key.
 SPLIT_COLUMNS = {"RESULTS": "ORIGREC", "FOLDERS": "FOLDERNO", "CENTRALRECEIVING": "ORIGREC"}
 
 
+def boundary_query(table: str, key: str, where: str | None, rows_per_task: int) -> str:
+    """Every ``rows_per_task``-th key in key order, as the source counts them:
+    one short row per task, however uneven the keys are."""
+    cond = f" WHERE {where}" if where else ""
+    return (f"SELECT k FROM (SELECT {key} AS k, ROW_NUMBER() OVER (ORDER BY {key}) AS r FROM {table}{cond}) q "
+            f"WHERE r % {rows_per_task} = {1 % rows_per_task}")
+
+
+def split_predicates(key: str, boundaries) -> list[str]:
+    """Ranges of ``key`` that begin at the boundaries. Together they cover every
+    key once, also keys that appear below, above or between them later, and null."""
+    cuts = sorted({b for b in boundaries if b is not None})[1:]
+    if not cuts:
+        return ["1 = 1"]
+    middle = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{key} < {cuts[0]} OR {key} IS NULL", *middle, f"{key} >= {cuts[-1]}"]
+
+
 def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *,
                 rows_per_task: int = 1_000_000, fetchsize: int = 10_000,
                 query_timeout_s: int = 3600) -> Reader:
     """Reader over a SQL Server style JDBC source, read-uncommitted, each
     statement limited to ``query_timeout_s`` (task retries cover transient
-    failures). Split tables are read by as many tasks as their row count
-    needs. Date-times come without a zone, as the source stores them."""
+    failures, ``stage`` those of a whole copy). Split tables are read by as many
+    tasks as their row count needs, cut where the source counts ``rows_per_task``
+    keys, so gaps in the keys leave no task empty and none full. Date-times
+    come without a zone, as the source stores them."""
     props = dict(properties or {})
 
     def base():
@@ -58,16 +78,10 @@ def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None, *
         cols = ", ".join(EXTRACT_COLUMNS[table])
         split = SPLIT_COLUMNS.get(table)
         if split:
-            # parallel range reads on the split key; bounds and count from one small query
+            found = base().option("query", boundary_query(table, split, where, rows_per_task)).load().collect()
             cond = f" WHERE {where}" if where else ""
-            b = (base().option("query", f"SELECT MIN({split}) AS lo, MAX({split}) AS hi, COUNT_BIG(*) AS n "
-                                        f"FROM {table}{cond}").load().first())
-            lo, hi = (b["lo"] or 0), (b["hi"] or 0)
-            n = max(1, -(-(b["n"] or 0) // rows_per_task))
-            return (base().option("dbtable", f"(SELECT {cols} FROM {table}{cond}) t")
-                    .option("partitionColumn", split).option("lowerBound", lo)
-                    .option("upperBound", hi + 1)
-                    .option("numPartitions", n).load())
+            return base().jdbc(url, f"(SELECT {cols} FROM {table}{cond}) t",
+                               predicates=split_predicates(split, [r[0] for r in found]))
         q = f"SELECT {cols} FROM {table}" + (f" WHERE {where}" if where else "")
         return base().option("query", q).load()
 

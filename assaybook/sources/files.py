@@ -42,6 +42,15 @@ def write_text(spark: SparkSession, path: str, text: str, *, replace: bool = Fal
         stream.close()
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a file into a folder that may not exist yet; raises if it cannot be."""
+    fs, source, _ = _fs(spark, path)
+    _, target, _ = _fs(spark, to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Remove a file or a folder with all it holds; False if there is none."""
     fs, p, _ = _fs(spark, path)

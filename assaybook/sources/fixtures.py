@@ -237,14 +237,17 @@ def load_cached(spark: SparkSession, sf_dir: str) -> Sources:
 
 def client_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two client snapshots for change capture: old lacks ids % 17 = 0 and has
-    ZIP altered where id % 13 = 0; new lacks ids % 19 = 0 and has a trailing blank
-    in the ids % 23 = 0 (the same key, another row image)."""
+    ZIP altered where id % 13 = 0; new lacks ids % 19 = 0, has a trailing blank in
+    the ids % 23 = 0, the company in upper case where id % 5 = 0 and two blanks after
+    the city where id % 7 = 0 (each of these alone is no change)."""
     key = F.col("RASCLIENTID").cast("long")
     c = client_rows(spark, sf_dir).select(key.alias("ORIGREC"), "*")
     old = (c.where(key % 17 != 0)
             .withColumn("ZIP", F.when(key % 13 == 0, F.concat(F.lit("X"), F.col("ZIP")))
                         .otherwise(F.col("ZIP"))))
     new = (c.where(key % 19 != 0)
-            .withColumn("RASCLIENTID", F.when(key % 23 == 0, F.concat(F.col("RASCLIENTID"), F.lit(" ")))
-                        .otherwise(F.col("RASCLIENTID"))))
+            .withColumns({"RASCLIENTID": F.when(key % 23 == 0, F.concat(F.col("RASCLIENTID"), F.lit(" ")))
+                          .otherwise(F.col("RASCLIENTID")),
+                          "COMPNAME": F.when(key % 5 == 0, F.upper("COMPNAME")).otherwise(F.col("COMPNAME")),
+                          "CITY": F.when(key % 7 == 0, F.concat("CITY", F.lit("  "))).otherwise(F.col("CITY"))}))
     return old, new

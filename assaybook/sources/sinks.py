@@ -6,7 +6,7 @@ write; the final ORDER BY happens only here (O1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,9 +59,12 @@ def json_records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def _order(df: DataFrame) -> list[str]:
+    return ["Facility" if "Facility" in df.columns else "COMPNAME", "ORDNO"]
+
+
 def sort_report(df: DataFrame) -> DataFrame:
-    name = "Facility" if "Facility" in df.columns else "COMPNAME"
-    return df.orderBy(F.col(name), F.col("ORDNO"))
+    return df.orderBy(*_order(df))
 
 
 def write_csv(df: DataFrame, path: str, sort: bool = True) -> None:
@@ -77,11 +80,26 @@ def write_json(df: DataFrame, path: str, sort: bool = True) -> None:
     (sort_report(df) if sort else df).transform(json_records).write.mode("overwrite").text(path)
 
 
-def write_tabs(tabbed: DataFrame, path: str, names: list[str]) -> None:
-    """One folder per tab (the spreadsheet's sheets), one scan; each is CSV text
-    as ``write_csv`` writes it, empty tabs included."""
+def write_tabs(tabbed: DataFrame, path: str, names: list[str]) -> dict[str, int]:
+    """One folder per tab (the spreadsheet's sheets), each CSV text as
+    ``write_csv`` writes it, empty tabs included; returns the rows of each.
+
+    The order is asked for at the write itself: rows are range-partitioned and
+    sorted on (tab, header first, Facility, ORDNO). That begins with the folder's
+    column, which is the order a partitioned write needs, so it adds no sort of
+    its own that could undo ours; the files of a tab in name order are sorted
+    however many tasks write them."""
     body = tabbed.drop("tab")
-    lines = tabbed.select("tab", F.concat_ws(",", *[csv_field(body, c) for c in body.columns]).alias("line"))
-    headers = (tabbed.sparkSession.range(1)
-               .select(F.explode(F.array(*map(F.lit, names))).alias("tab"), F.lit(csv_header(body)).alias("line")))
-    headers.coalesce(1).union(lines).write.mode("overwrite").partitionBy("tab").text(path)
+    keys = _order(body)
+    lines = tabbed.select("tab", F.lit(1).alias("_part"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                          F.concat_ws(",", *[csv_field(body, c) for c in body.columns]).alias("line"))
+    nothing = [F.lit(None).cast(body.schema[k].dataType).alias(f"_k{i}") for i, k in enumerate(keys)]
+    headers = (tabbed.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("tab"),
+                                                   F.lit(0).alias("_part"), *nothing,
+                                                   F.lit(csv_header(body)).alias("line")))
+    obs = Observation("tab_rows")
+    ordered = (headers.union(lines).orderBy("tab", "_part", *[f"_k{i}" for i in range(len(keys))])
+               .observe(obs, *[F.count_if((F.col("tab") == n) & (F.col("_part") == 1)).alias(f"n{i}")
+                               for i, n in enumerate(names)]))
+    ordered.select("tab", "line").write.mode("overwrite").partitionBy("tab").text(path)
+    return {n: int(obs.get[f"n{i}"]) for i, n in enumerate(names)}
