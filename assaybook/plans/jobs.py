@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assaybook.plans import report as report_plan
 from assaybook.plans import views
-from assaybook.sources import audit, extract, sinks, store
+from assaybook.sources import audit, extract, partials, sinks, store
 from assaybook.sources.tables import read_staged, read_table
 
 log = logging.getLogger("assaybook.jobs")
@@ -27,7 +27,7 @@ def nightly_build(spark: SparkSession, read: extract.Reader, staging_dir: str, f
     single files are folded afterwards, which never fails the build."""
     now = now or dt.datetime.now(dt.timezone.utc).date()
     src, pending = _stage_with_pending(spark, read, staging_dir, store.rolling_start(now))
-    rows = store.reload_window(spark, src, fact_dir, now, pending_results=pending, **fact_opts)
+    rows = store.reload_window(spark, src, fact_dir, now, pending_results=pending, partials=True, **fact_opts)
     if audit_dir:
         try:
             audit.audit_compact_all(spark, audit_dir)
@@ -55,7 +55,7 @@ def backfill_years(spark: SparkSession, read: extract.Reader, staging_dir: str,
     [Y-01-01, Y+1-01-01))."""
     years = sorted(set(int(y) for y in years))
     src, pending = _stage_with_pending(spark, read, staging_dir, dt.date(years[0], 1, 1))
-    return store.backfill(spark, src, fact_dir, years, pending_results=pending, **fact_opts)
+    return store.backfill(spark, src, fact_dir, years, pending_results=pending, partials=True, **fact_opts)
 
 
 def report_request(spark: SparkSession, fact_dir: str, staging_dir: str, cal_date, cal_end,
@@ -67,7 +67,7 @@ def report_request(spark: SparkSession, fact_dir: str, staging_dir: str, cal_dat
     cal_date, cal_end, report_type, fmt = report_plan.validate_request(
         cal_date, cal_end, report_type, fmt)
     lookup = read_table(spark, staging_dir, "METADATA_LOOKUP_VALUES")
-    fact = store.read_fact(spark, fact_dir, cal_date, cal_end)  # lists the window's years only
+    fact = partials.window_fact(spark, fact_dir, cal_date, cal_end)  # lists the window's years only
     view = views.priced_view(fact, lookup, pii=report_type == "RWP")
     rep = report_plan.report(view, cal_date, cal_end, report_type)
     if report_type == "RWP":

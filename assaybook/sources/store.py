@@ -88,14 +88,15 @@ def _write_partitioned(df: DataFrame, path: str, max_records_per_file: int,
     return watch.metrics()
 
 
-def _read_run(spark: SparkSession, fact_dir: str, run: str, years) -> DataFrame:
+def read_run(spark: SparkSession, fact_dir: str, run: str, years) -> DataFrame:
+    """Stored rows of some years of one run."""
     return (spark.read.schema(schemas.FACT_STORED).option("basePath", f"{fact_dir}/{run}")
             .parquet(*[f"{fact_dir}/{run}/year={y}" for y in sorted(years)]))
 
 
 def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
             gate: Gate | None = None, lookup: DataFrame | None = None, index: bool = True,
-            max_records_per_file: int = 5_000_000, replace: bool = True, grace_s: float = GRACE_S) -> int:
+            partials: bool = False, max_records_per_file: int = 5_000_000, replace: bool = True, grace_s: float = GRACE_S) -> int:
     """Write ``df`` as a new run and switch ``fact_dir`` to it.
 
     ``years=None`` replaces the whole table; otherwise exactly those years (a
@@ -103,7 +104,9 @@ def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
     table that another run published meanwhile and discards this copy. The run
     must pass ``gate`` first; with ``lookup`` the gate knows the rows that the
     priced view will have. ``index`` stores the flags' key-to-year index that a
-    reload probes (fact rows with FolderNo only). Returns the rows written."""
+    reload probes (fact rows with FolderNo only), ``partials`` the report's monthly
+    partials. Returns the rows written."""
+    from assaybook.sources.partials import write_partials
     fact_dir = fact_dir.rstrip("/")
     seen = _log(spark, fact_dir).last_number()
     run = f"run-{uuid.uuid4().hex[:12]}"
@@ -118,7 +121,9 @@ def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
         wrote = {int(name[5:]): run for name, _, _ in files.entries(spark, path)
                  if name.startswith("year=") and name[5:].isdigit()}
         if index and wrote and "FolderNo" in df.columns:
-            fact_index.write_index(_read_run(spark, fact_dir, run, wrote), path)
+            fact_index.write_index(read_run(spark, fact_dir, run, wrote), path)
+        if partials and wrote:
+            write_partials(read_run(spark, fact_dir, run, wrote), path)
         if years is None:
             now = wrote
         else:
@@ -149,7 +154,7 @@ def read_fact(spark: SparkSession, fact_dir: str, start=None, end=None, *, years
     for y, run in sorted(live.items()):
         if (lo is None or y >= lo) and (hi is None or y <= hi) and (years is None or y in years):
             by_run.setdefault(run, []).append(y)
-    parts = [_read_run(spark, fact_dir, run, ys) for run, ys in by_run.items()]
+    parts = [read_run(spark, fact_dir, run, ys) for run, ys in by_run.items()]
     out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.FACT_STORED)
     return out if internal else out.drop("FolderNo")
 
@@ -187,7 +192,8 @@ def _stale_rows(spark: SparkSession, fact_dir: str, older: dict[int, str], lates
 
 
 def reload_window(spark: SparkSession, src, fact_dir: str, now: dt.date, *,
-                  grace_s: float = GRACE_S, gate: Gate | None = None, **fact_opts) -> int:
+                  grace_s: float = GRACE_S, gate: Gate | None = None, partials: bool = False,
+                  **fact_opts) -> int:
     """Nightly reload: rebuild prior + current year, and refresh the flags of
     the older years. Those years' results do not change, but a new result can
     be an old order's latest, and a folder can become pending or final. The
@@ -211,13 +217,14 @@ def reload_window(spark: SparkSession, src, fact_dir: str, now: dt.date, *,
             if redo is not None:
                 df = df.unionByName(redo)
                 years = sorted({*years, *stale})
-        return publish(spark, df, fact_dir, years=years, grace_s=grace_s, gate=gate, lookup=src.lookup)
+        return publish(spark, df, fact_dir, years=years, grace_s=grace_s, gate=gate, lookup=src.lookup,
+                       partials=partials)
     finally:
         files.remove(spark, work)
 
 
 def backfill(spark: SparkSession, src, fact_dir: str, years, *, grace_s: float = GRACE_S,
-             gate: Gate | None = None, **fact_opts) -> int:
+             gate: Gate | None = None, partials: bool = False, **fact_opts) -> int:
     """Rebuild the given years in one job (each year half-open [Y, Y+1))."""
     from assaybook.plans.fact import build_fact
     years = sorted(set(int(y) for y in years))
@@ -225,4 +232,5 @@ def backfill(spark: SparkSession, src, fact_dir: str, years, *, grace_s: float =
                     end=dt.date(years[-1] + 1, 1, 1), keep_folder=True, **fact_opts)
     if years != list(range(years[0], years[-1] + 1)):
         df = df.where(F.year("DateEnter").isin(years))
-    return publish(spark, df, fact_dir, years=years, grace_s=grace_s, gate=gate, lookup=src.lookup)
+    return publish(spark, df, fact_dir, years=years, grace_s=grace_s, gate=gate, lookup=src.lookup,
+                       partials=partials)
