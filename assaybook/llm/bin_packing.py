@@ -1,10 +1,13 @@
 """Variable-capacity best-fit packing of token sequences.
 
 Permitted capacities are optimised jointly: a piece goes to the open bin, of
-whatever capacity, that it leaves with the least room; where none has room, the
-bin whose cost per token is least among the capacities that hold the piece is
-opened. Pieces come longest first. At the end every bin shrinks to the smallest
-permitted capacity that holds its contents.
+whatever capacity, that it leaves with the least room; where none has room, a bin
+of the least-cost capacity is opened. What a capacity would cost is tried out: the
+bin is filled, longest first, with pieces still to come that no bin before it counts
+on, and its cost after downsizing is taken per token held. So a capacity that the
+remaining lengths cannot fill is not opened, and three pieces of 600 share a bin of
+2048 rather than take three of 1024. Pieces come longest first. At the end every
+bin shrinks to the smallest permitted capacity that holds its contents.
 
 A bin of capacity c costs ``OVERHEAD + c + c * c / QUADRATIC``: what a sequence
 costs whatever its length, its tokens, and attention's growth with the square.
@@ -35,29 +38,93 @@ def bin_cost(capacity: int) -> float:
     return OVERHEAD + capacity + capacity * capacity / QUADRATIC
 
 
+class _Ahead:
+    """Lengths still to come that no open bin counts on: how many of each, and the
+    next shorter one there is."""
+
+    def __init__(self, lengths: list[int]):
+        self.count = [0] * (max(lengths, default=0) + 1)
+        self.spoken_for = [0] * len(self.count)
+        for n in lengths:
+            self.count[n] += 1
+        self._down = list(range(len(self.count)))
+
+    def arrives(self, n: int) -> None:
+        """A piece of ``n`` is placed now."""
+        left = self.spoken_for if self.spoken_for[n] else self.count
+        left[n] -= 1
+
+    def longest(self, most: int) -> int:
+        """The longest free length from 1 to ``most``, or 0. Lengths only run
+        out, so those passed over are skipped for good."""
+        n = min(most, len(self.count) - 1)
+        path = []
+        while n > 0 and not self.count[n]:
+            path.append(n)
+            n = self._down[n] if self._down[n] < n else n - 1
+        for p in path:
+            self._down[p] = n
+        return max(n, 0)
+
+    def fill(self, room: int) -> list[tuple[int, int]]:
+        """(length, how many) that fit into ``room``, taken longest first."""
+        out, n = [], room
+        while room and (n := self.longest(min(n, room))):
+            k = min(self.count[n], room // n)
+            out.append((n, k))
+            room, n = room - k * n, n - 1
+        return out
+
+    def speak_for(self, taken: list[tuple[int, int]]) -> None:
+        for n, k in taken:
+            self.count[n] -= k
+            self.spoken_for[n] += k
+
+
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[tuple[int, int]], list[int]]:
     """(bin, offset) of every piece, and the capacities of the bins; pieces are
-    taken longest first, ties in the given order, and none may exceed the
-    largest capacity."""
-    sizes = sorted(capacities)
-    # for each piece: the permitted capacity with the least cost per token that holds it
-    opens = [min(sizes[i:], key=lambda c: (bin_cost(c) / c, c)) for i in range(len(sizes))]
+    taken longest first, ties in the given order, and none may exceed the largest
+    capacity. Looking ahead is greedy, so the packing that opens the smallest size
+    that holds a piece is made too, and the cheaper of the two is taken."""
+    tried = [_pack(lengths, sorted(capacities), look_ahead) for look_ahead in (True, False)]
+    return min(tried, key=lambda packed: sum(map(bin_cost, packed[1])))
+
+
+def _pack(lengths: list[int], sizes: list[int], look_ahead: bool) -> tuple[list[tuple[int, int]], list[int]]:
+    holds = lambda n: sizes[bisect_left(sizes, n)]
+    ahead = _Ahead(lengths)
+
+    def least_cost(n: int) -> int:
+        """Capacity for a new bin that begins with a piece of ``n``; ties: the smallest."""
+        if not look_ahead:
+            return holds(n)
+        best = None
+        for c in sizes[bisect_left(sizes, n):]:
+            taken = ahead.fill(c - n)
+            held = n + sum(m * k for m, k in taken)
+            cost = bin_cost(holds(held)) / max(held, 1)
+            if best is None or cost < best[0]:
+                best = (cost, c, taken)
+        ahead.speak_for(best[2])
+        return best[1]
+
     room: list[tuple[int, int]] = []  # (room left, bin), sorted
     used: list[int] = []
     places = [(0, 0)] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         n = lengths[i]
+        ahead.arrives(n)
         at = bisect_left(room, (n, -1))
         if at < len(room):
             left, b = room.pop(at)
         else:
-            left, b = opens[bisect_left(sizes, n)], len(used)
+            left, b = least_cost(n), len(used)
             used.append(0)
         places[i] = (b, used[b])
         used[b] += n
         if left > n:
             insort(room, (left - n, b))
-    return places, [sizes[bisect_left(sizes, u)] for u in used]
+    return places, [holds(u) for u in used]
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

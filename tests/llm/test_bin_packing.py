@@ -8,16 +8,28 @@ from hypothesis import strategies as st
 from assaybook.llm import bin_packing as P
 
 
-def slow_pack(lengths, capacities):
-    """The same rule by looking at every open bin."""
+def slow_pack(lengths, capacities, opens=None):
+    """The same rule by looking at every open bin and every piece to come."""
     sizes, bins, places = sorted(capacities), [], {}
+    free, spoken = Counter(lengths), Counter()
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         n = lengths[i]
+        (spoken if spoken[n] else free)[n] -= 1
         fits = [(left, b) for b, (left, _) in enumerate(bins) if left >= n and left > 0]
         if fits:
             left, b = min(fits)
         else:
-            left = min((c for c in sizes if c >= n), key=lambda c: (P.bin_cost(c) / c, c))
+            def fill(c, n=n):
+                held, taken = n, []
+                for m in sorted(free.elements(), reverse=True):
+                    if m and held + m <= c:
+                        held += m
+                        taken.append(m)
+                return P.bin_cost(min(s for s in sizes if s >= held)) / max(held, 1), c, taken
+            options = [fill(c) for c in sizes if c >= n]
+            _, left, taken = min(options, key=lambda o: opens(o[1]) if opens else o[:2])
+            spoken.update(taken)
+            free.subtract(taken)
             b = len(bins)
             bins.append((left, 0))
         places[i] = (b, bins[b][1])
@@ -25,10 +37,33 @@ def slow_pack(lengths, capacities):
     return [places[i] for i in range(len(lengths))], [min(c for c in sizes if c >= u) for _, u in bins]
 
 
+def total(packed):
+    return sum(map(P.bin_cost, packed[1]))
+
+
+def test_the_cost_decides_the_size():
+    """Without it (the smallest size that holds the piece) these cost more."""
+    assert P.pack([600] * 3)[1] == [2048]
+    assert slow_pack([600] * 3, P.CAPACITIES, opens=lambda c: c)[1] == [1024] * 3
+    assert P.pack([600, 424] * 3)[1] == [1024] * 3  # a size that can be filled stays small
+    rng = random.Random(4)
+    for few in (0, 1):  # hardly anything to fill the rest of a bin with
+        lengths = [rng.choice([600, 650, 700, 900, 1400]) for _ in range(400)] + [rng.randrange(20, 200)] * 40 * few
+        mine = total(P.pack(lengths))
+        assert mine < 0.95 * total(slow_pack(lengths, P.CAPACITIES, opens=lambda c: c))
+        assert all(mine < total(slow_pack(lengths, (c,))) for c in (2048, 4096))
+    # never dearer than the smallest size that fits, even where looking ahead is
+    lengths = [rng.choice([600, 700, 900, 1400, rng.randrange(20, 200)]) for _ in range(600)]
+    assert total(P.pack(lengths)) <= total(slow_pack(lengths, P.CAPACITIES, opens=lambda c: c))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 64), max_size=60))
 def test_against_the_plain_rule(lengths):
-    assert P.pack(lengths, (8, 16, 64)) == slow_pack(lengths, (8, 16, 64))
+    sizes = (8, 16, 64)
+    want = [slow_pack(lengths, sizes), slow_pack(lengths, sizes, opens=lambda c: c)]
+    assert P._pack(lengths, list(sizes), True) == want[0] and P._pack(lengths, list(sizes), False) == want[1]
+    assert P.pack(lengths, sizes) == min(want, key=total)
 
 
 def test_bins_hold_and_fill():
