@@ -13,14 +13,17 @@ prediction does not depend on the texts beside it.
 The network is fitted on the driver from a documented bounded sample: one
 window of ``SAMPLE_CHARS`` characters from each of ``SAMPLE_ROWS`` labelled rows,
 dealt evenly to the languages (what a rare one does not fill goes to the others),
-of each language those that come first in hash order. So every language of the
-labelled rows is learned, up to the ``MAX_LANGUAGES`` with the most rows; texts
-in any other get one of these.
+of each language those that come first in hash order. Every language of the
+labelled rows is learned: where they are so many that a share would fall under
+``LEAST_PER_LANGUAGE`` rows, the sample is that many rows for each. The lanes that run
+abreast are as many as ``LANE_BYTES`` of probabilities hold, so memory does not
+grow with the number of languages.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from assaybook.llm.common import crc_bucket, table, text_or_empty
 
 SAMPLE_ROWS = 6000
-MAX_LANGUAGES = 300
+LEAST_PER_LANGUAGE = 20
 SAMPLE_CHARS = 400
 HIDDEN = 8
 STEPS = 500
@@ -40,7 +43,12 @@ BATCH = 128
 TRAIN_BYTES = 48
 SEGMENT = 256
 CONTEXT = 16
-LANES = 4096
+#: Segments that run abreast: at most so many, and so many bytes of their probabilities.
+LANES, LANE_BYTES = 4096, 64 << 20
+#: Rows that set the limits of ``keep_known``, the quantile of their scores, and how far
+#: below it a text may lie; the shortest texts of each class, in characters.
+CALIBRATION_ROWS, LIMIT_QUANTILE, LIMIT_SLACK = 20_000, 0.0, 0.9
+LENGTH_CLASSES = (0, 50, 200)
 #: Prediction of a text that is null or has no letter.
 UNKNOWN = "und"
 
@@ -181,8 +189,9 @@ class BiGated:
                 for i, b in enumerate(texts) for a in range(0, len(b), SEGMENT)]
         segs.sort(key=lambda s: s[1] - s[2])  # longest first, stable
         total = np.zeros((len(texts), len(self.labels)))
-        for at in range(0, len(segs), LANES):
-            part = segs[at:at + LANES]
+        lanes = max(16, min(LANES, LANE_BYTES // (4 * (SEGMENT + 2 * CONTEXT) * len(self.labels))))
+        for at in range(0, len(segs), lanes):
+            part = segs[at:at + lanes]
             who, lo, hi, core, end = (np.array(c) for c in zip(*part, strict=True))
             lengths = hi - lo
             x = np.zeros((len(part), lengths[0]), np.uint8)
@@ -208,11 +217,10 @@ def _sample(known: DataFrame, n: int) -> DataFrame:
     """The rows of ``known`` (_lang, _h, _text) to learn from, in hash order. Only
     the share of each language that is expected to hold twice its quota is sorted,
     so no task gets the rows of a whole language."""
-    most = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()
-    counts = {r["_lang"]: r["count"] for r in most}
+    counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}  # a number a language
     if not counts:
         return known.limit(0)
-    take = quotas(counts, n)
+    take = quotas(counts, max(n, LEAST_PER_LANGUAGE * len(counts)))
     limits = {lang: min((1 << 63) - 1, int((2 * q + 50) / counts[lang] * (1 << 64)) - (1 << 63)) for lang, q in take.items()}
 
     def of_language(values: dict[str, int]) -> Column:
@@ -276,13 +284,14 @@ def _predict_batches(model: BiGated | None) -> Callable:
     return run
 
 
-def _keep_batches(model: BiGated, text_col: str, least: float) -> Callable:
+def _keep_batches(model: BiGated, text_col: str, limits: list[float]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             for at, to in _parts(texts):
                 lang, score = _label(model, texts[at:to])
-                keep = [w != UNKNOWN and s >= least for w, s in zip(lang, score, strict=True)]
+                keep = [w != UNKNOWN and s >= limits[bisect_right(LENGTH_CLASSES, len(t)) - 1]
+                        for w, s, t in zip(lang, score, texts[at:to], strict=True)]
                 yield b.slice(at, to - at).filter(pa.array(keep))
     return run
 
@@ -302,10 +311,31 @@ def identify_languages(docs: DataFrame, model: BiGated | None, *, id_col: str =
     return d.mapInArrow(_predict_batches(model), schema).withColumnRenamed("_id", "doc_id")
 
 
-def keep_known(docs: DataFrame, model: BiGated, least: float, *, text_col: str = "text") -> DataFrame:
+def score_limits(docs: DataFrame, model: BiGated, *, id_col: str = "doc_id", text_col: str = "text",
+                 lang_col: str = "lang", rows: int = CALIBRATION_ROWS, quantile: float = LIMIT_QUANTILE,
+                 slack: float = LIMIT_SLACK) -> list[float]:
+    """Least score to keep a text, one for each of ``LENGTH_CLASSES``: ``slack`` times
+    the ``quantile`` of the scores of about ``rows`` labelled rows, which are last
+    in the hash order in which the sample to learn from is first. 0 in a class
+    without labelled rows."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    h = F.xxhash64(F.lit("lang-sample"), F.col(id_col), F.col(text_col))
+    n = known.count()
+    if n > rows:
+        known = known.where(h >= (1 << 63) - int(rows / n * (1 << 64)))
+    place = sum((F.length(text_col) >= c).cast("int") for c in LENGTH_CLASSES[1:])
+    scored = identify_languages(known.select(place.alias("_class"), F.col(text_col).alias("_text")), model,
+                                id_col="_class", text_col="_text")
+    least = {r["_class"]: r["_q"] for r in scored.groupBy(F.col("doc_id").alias("_class")).agg(
+        F.percentile("score", quantile).alias("_q")).collect()}
+    return [slack * least.get(i, 0.0) for i in range(len(LENGTH_CLASSES))]
+
+
+def keep_known(docs: DataFrame, model: BiGated, limits: list[float], *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a pooled
-    probability of at least ``least``."""
-    return docs.mapInArrow(_keep_batches(model, text_col, least), docs.schema)
+    probability of at least the limit of its length (``LENGTH_CLASSES``, in
+    characters)."""
+    return docs.mapInArrow(_keep_batches(model, text_col, limits), docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

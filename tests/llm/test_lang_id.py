@@ -81,8 +81,21 @@ def test_rare_languages_are_learned(spark, make_docs, monkeypatch):
     by_hash = sorted((r["_h"], r["_lang"]) for r in known.collect())
     firsts = {n: [x for x in by_hash if x[1] == n][:q] for n, q in (("aa", 148), ("bb", 149), ("cc", 3))}
     assert got == [(n, h) for h, n in sorted(x for part in firsts.values() for x in part)]
-    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
-    assert L.fit_languages(make_docs(rows), sample_rows=300).labels == ["aa", "bb"]
+    # many languages: each keeps its least share, however small the sample was to be
+    many = L._sample(known, 5).groupBy("_lang").count().collect()
+    assert {r["_lang"]: r["count"] for r in many} == {"aa": 28, "bb": 29, "cc": 3}
+
+
+def test_lanes_follow_the_labels_and_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = L.BiGated([f"l{i}" for i in range(300)])
+    texts = [bytes(rng.integers(97, 123, n).tolist()) for n in (5, 700, 3000, 40, 0, 900)]
+    want = model.predict(texts)
+    seen, real = [], L.BiGated._lanes
+    monkeypatch.setattr(L.BiGated, "_lanes", lambda self, x, *a: seen.append(x.shape[1]) or real(self, x, *a))
+    monkeypatch.setattr(L, "LANE_BYTES", 5 * 4 * (L.SEGMENT + 2 * L.CONTEXT) * 300)
+    assert np.allclose(model.predict(texts), want) and max(seen) <= 16
+    assert len(L.BiGated(["a"]).predict(texts)) == 6 and max(seen) > 16
 
 
 def test_labels_are_never_inputs(spark, make_docs):
