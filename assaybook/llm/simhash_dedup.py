@@ -251,6 +251,15 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _placed(rows: DataFrame, radius: int) -> DataFrame:
+    """(_fp, _root, _rep) of every distinct fingerprint of ``rows`` (_id, _fp): its
+    component's root and the smallest id that has the fingerprint."""
+    reps = stage(rows.groupBy("_fp").agg(F.min("_id").alias("_rep")), "distinct-fingerprints")
+    roots = components(links(reps.select("_fp"), radius=radius))
+    return (reps.join(roots.withColumnRenamed("_node", "_fp"), "_fp", "left")
+            .select("_fp", F.coalesce("_root", "_fp").alias("_root"), "_rep"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (hex), component_id.
@@ -258,15 +267,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null and empty texts have fingerprint zero and link like any other; a text
     with fewer words than a shingle is one shingle. component_id is the smallest
     doc_id reachable over links of at most ``radius`` differing bits (a null id
-    is never the smallest unless its component has no other). Repeated rows share
-    their fingerprint and component. An empty table gives an empty result; other
-    columns of ``docs`` are not read.
+    is never the smallest unless its component has no other). Rows that share an
+    id are documents of their own: each has the component of its text, so an id may
+    stand in several. Repeated rows share their fingerprint and component. An empty
+    table gives an empty result; other columns of ``docs`` are not read.
     """
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    reps = stage(rows.groupBy("_fp").agg(F.min("_id").alias("_rep")), "distinct-fingerprints")
-    roots = components(links(reps.select("_fp"), radius=radius))
-    placed = (reps.join(roots.withColumnRenamed("_node", "_fp"), "_fp", "left")
-              .withColumn("_root", F.coalesce("_root", "_fp")))
+    placed = _placed(rows, radius)
     least = placed.groupBy("_root").agg(F.min("_rep").alias("component_id"))
     placed = placed.join(least, "_root").select("_fp", "component_id")
     return (rows.join(placed, "_fp")
@@ -274,14 +281,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
+def _with_fingerprint(text_col: str, name: str, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = pa.array((fingerprint(t or "", shingle) for t in b.column(text_col).to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, name])
+    return run
+
+
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                      shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component (the smallest id), all columns."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    key = fresh(docs, "_row_key")
-    keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(id_key(F.col("doc_id")).alias(key)).distinct())
-    return docs.withColumn(key, id_key(F.col(id_col))).join(keep, key, "left_semi").select(*docs.columns)
+    """``docs`` with one document of each component, all columns: the one with the
+    smallest id (a null id comes last); of several with that id the one with the
+    smallest fingerprint; of rows that are equal in both, any one."""
+    rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+    first = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), F.col("_fp").alias("fp"))
+    key, fp = fresh(docs, "_row_key"), fresh(docs, "_row_fp")
+    keep = (rows.join(_placed(rows, radius), "_fp").groupBy("_root").agg(F.min(first).alias("_first"))
+            .select(id_key(F.col("_first.id")).alias(key), F.col("_first.fp").alias(fp)))
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    own = docs.mapInArrow(_with_fingerprint(text_col, fp, shingle), schema).withColumn(key, id_key(F.col(id_col)))
+    # one exchange of the rows serves the join and the duplicates
+    return own.join(keep, [key, fp], "left_semi").dropDuplicates([key, fp]).select(*docs.columns)
 
 
 # ---------------------------------------------------------------- query
