@@ -135,13 +135,16 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 label_col: str = "quality", rows: int = TRAIN_ROWS) -> PairwiseRank | None:
     """Train on the rows of ``docs`` with a label in ``labels`` (rows with a null
-    id or label teach nothing); None unless both labels occur."""
+    id or label teach nothing); None unless both labels occur. Where ids repeat, a
+    label can stand for several rows: at most twice ``rows`` of them are learned, the
+    first in hash order of their features."""
     lab = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
            .select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"),
                    F.xxhash64(F.lit("quality-sample"), F.col(id_col)).alias("_h")))
     lab = first_by_hash(lab, F.col("_h"), rows)  # documented bound: three numbers a row
     d = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    known = (d.join(F.broadcast(lab), "_id")  # at most ``rows`` rows of a few integers.select("_label", "_text")
+    # the labels are at most ``rows`` rows of a few integers
+    known = (d.join(F.broadcast(lab), "_id").select("_label", "_text")
              .mapInArrow(_feature_batches, T.StructType([T.StructField("_label", T.IntegerType()),
                                                          T.StructField("_x", _FEATURE_ARRAY)])))
     got = known.orderBy(F.xxhash64("_x"), "_x", "_label").limit(2 * rows).collect()
