@@ -23,10 +23,39 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     cuts the lineage, survives lost executors, and fixes the values of
     expressions that depend on the physical partition."""
     path = f"{work_dir(df.sparkSession)}/llm/{tag}-{uuid.uuid4().hex[:12]}"
+    for block in _SCRATCH:
+        block.written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Open scratch blocks.
+_SCRATCH: list[Scratch] = []
+
+
+class Scratch:
+    """A block whose intermediate tables go at its end: all that ``stage`` wrote
+    inside but for the table that ``keep`` staged (its folder is ``kept``)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.written, self.kept = spark, [], None
+
+    def __enter__(self) -> Scratch:
+        _SCRATCH.append(self)
+        return self
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        out = stage(df, tag)
+        self.kept = self.written[-1]
+        return out
+
+    def __exit__(self, *exc) -> None:
+        _SCRATCH.remove(self)
+        for path in self.written:
+            if path != self.kept:
+                files.remove(self.spark, path)
+
+
 def remove_staged(spark: SparkSession) -> bool:
     """Remove what the operators wrote on the way (and WARC packages written by
     the query), once none of their results is read any more."""
