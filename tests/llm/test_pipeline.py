@@ -56,6 +56,45 @@ def test_run_against_brute_force(spark, make_docs, write_tables):
     assert not {400 + i for i, _ in ITEMS} & lengths.keys()
 
 
+def test_run_leaves_the_last_stage_only(spark, make_docs, write_tables):
+    from pathlib import Path
+
+    from assaybook.session import work_dir
+    d = write_tables(documents=make_docs(corpus()), benchmark=spark.createDataFrame(ITEMS, "item_id long, text string"))
+    folder = Path(work_dir(spark).removeprefix("file:")) / "llm"
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    C.run(spark, d).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert left == {"pipeline-decontamination", "pieces"}
+
+
+def test_near_stage_with_clashing_and_repeated_ids(spark, make_docs):
+    t, u = prose(EN, 80), prose(DE, 80)
+    rows = [(3, t), (5, t), (5, u), (5, u), (None, u), (7, None), (7, None), (7, prose(EN, 60))]
+    got = C.near_copies(spark, make_docs(rows), "").select("doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(3, t), (5, u), (7, ""), (7, rows[-1][1])])
+
+
+def test_language_stage_goes_by_the_scores_of_labelled_texts(spark, make_docs):
+    """Limits per length; what scores less than every labelled text goes, short clean texts stay."""
+    from assaybook.llm import lang_id
+
+    class Model:  # a text says how likely its language is
+        labels = ["a", "b"]
+
+        def predict(self, texts):
+            import numpy as np
+            return np.array([[float(t.split()[-1]), 0.0] for t in texts])
+    pad = "word " * 60
+    known = [(i, f"{pad}{0.9 + i / 100}", "a") for i in range(5)] + [(10, "w 0.4", "b"), (11, "w 0.6", "a")]
+    docs = make_docs([*known, (20, f"{pad}0.82"), (21, f"{pad}0.80"), (22, "w 0.37"), (23, "w 0.35"), (24, "0.99"),
+                      (25, "word word word word word word word word word word 0.01"), (26, None)])
+    limits = lang_id.score_limits(docs, Model())
+    assert [round(x, 3) for x in limits] == [0.36, 0.0, 0.81]
+    got = {r.doc_id for r in lang_id.keep_known(docs, Model(), limits).collect()}
+    assert got == {*range(5), 10, 11, 20, 22, 25}
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, make_docs, write_tables):
     empty = make_docs([])
     d = write_tables(documents=empty, benchmark=spark.createDataFrame(ITEMS, "item_id long, text string"))
@@ -72,5 +111,5 @@ def test_stages_keep_columns_and_take_empty_tables(spark, make_docs, write_table
 def test_registered_beside_the_other_queries():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q).group() for q in names
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q).group() for q in names
                                                                       if re.match(r"op\d+_", q)}
