@@ -128,5 +128,45 @@ def test_one_deep_page_among_others(spark):
     assert {r.page_id: r.text for r in got} == {i: want for i, (_, want) in enumerate(made)} | {99: "deep text"}
 
 
+def unmarked_page(rng, host, paragraphs):
+    """A page without article, main, telling names or links in its notices: only
+    what is the same on the host's pages tells template from content."""
+    lines = [f"Desk {host} writes daily from the old harbour.", f"Call our office in street {host} before noon.",
+             f"All prices of house {host} hold while stocks last."]
+    body = [" ".join(rng.choice(WORDS[:9]) for _ in range(12)) for _ in range(paragraphs)]
+    src = (f"<html><body><div class=x1><p>{lines[0]}</p></div><div class=x2><div class=x3>"
+           + "".join(f"<p>{b}</p>" for b in body) + f"</div><div class=x4>{lines[1]}</div></div><p>{lines[2]}</p>")
+    return src, "\n".join(body)
+
+
+def f1(got, want):
+    from collections import Counter
+    a, b = Counter(got.split()), Counter(want.split())
+    both = sum((a & b).values())
+    return 2 * both / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_the_wrapper_decides_on_hosts_without_marks(spark, monkeypatch):
+    """Three of ten hosts carry no marks: their notices stay when no wrapper is induced."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    for host in range(10):
+        for k in range(12):
+            i = 100 * host + k
+            n = rng.randrange(2, 6)
+            src, want[i] = unmarked_page(rng, host, n) if host % 3 == 1 else page(rng, n, marked=True)
+            rows.append((i, f"http://h{host}.example/{k}", src))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda: {r.page_id: r.text for r in H.extract_main_text(df).collect()}
+    bare = [i for i in want if i // 100 % 3 == 1]
+    score = lambda got: sum(f1(got[i], want[i]) for i in bare) / len(bare)
+    on = texts()
+    assert on == want and score(on) == 1.0
+    monkeypatch.setattr(H, "MIN_PAGES", 10**9)  # no slot is ever template
+    off = texts()
+    assert all(off[i] != want[i] for i in bare) and score(off) < 0.85
+    assert all(off[i] == want[i] for i in want if i not in bare)
+
+
 def test_empty_table(spark):
     assert H.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
