@@ -256,20 +256,22 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     method = _Method(window, period, tuple(
         max(1, -(-n // HASHES_PER_BUCKET)) for n in (words * len(difference_cover(period)) // period, words)))
 
-    gid = F.pmod(F.xxhash64("_id"), F.lit(groups)).alias("_gid")
+    # groups are partitions by their own number: hashing it again would put several in one task
+    gid = F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int").alias("_gid")
     long = (rows.where(F.col("_words") >= window).groupBy("_sha")
             .agg(F.min("_id").alias("_id"), F.count("*").alias("_rows"), F.first("_words").alias("_words")))
     long = stage(long, "distinct-texts")
-    dealt = texts.select("_id", "_text", gid).repartition(groups, "_gid")
+    dealt = texts.select("_id", "_text", gid).repartitionById(groups, "_gid")
     none = F.lit(None).cast("binary")
     takes_part = long.select(gid, F.lit(0).alias("_kind"), "_id", "_sha", "_rows", none.alias("_payload"))
 
     def answers(sent: DataFrame, level: int) -> DataFrame:
         got = sent.groupBy("_bucket").applyInArrow(_answer(level + 1), "_gid long, _payload binary")
-        return got.select("_gid", F.lit(level + 1).alias("_kind"), F.lit(None).cast(id_field.dataType).alias("_id"),
+        return got.select(F.col("_gid").cast("int").alias("_gid"), F.lit(level + 1).alias("_kind"), F.lit(None).cast(id_field.dataType).alias("_id"),
                           none.alias("_sha"), F.lit(None).cast("long").alias("_rows"), "_payload")
 
     def each(side: DataFrame, fn, schema: str) -> DataFrame:
+        side = side.repartitionById(groups, "_gid")
         return dealt.groupBy("_gid").cogroup(side.groupBy("_gid")).applyInArrow(
             lambda key, docs, own: fn(key, docs, own), schema)
 
@@ -281,7 +283,6 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     whole = F.col("_rows") > 1
     all_of = F.array(F.struct(F.lit(0).alias("start"), F.col("_words").cast("int").alias("stop")))
-    # staged: the last join then has an exchange on either side, so AQE can split a hot text
     known = (long.join(cut, "_sha", "left")
              .select("_sha", F.when(whole, F.col("_words")).otherwise(F.col("_removed")).alias("_removed"),
                      F.when(whole, all_of).otherwise(F.col("_spans")).alias("_spans"),
