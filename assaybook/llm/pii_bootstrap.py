@@ -43,6 +43,11 @@ LOOSE = {
     "card": r"(?<![A-Za-z0-9])[0-9](?:[\x20.-]?+[0-9]){11,18}+(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+?\(?[0-9](?:[\x20().-]{0,2}+[0-9]){6,14}+(?![A-Za-z0-9])"}
 
+#: What a text must hold for a form to match at all.
+_DIGIT = r"[0-9]"
+NEEDS = {("email", False): "@", ("ip", False): r"[0-9]\.[0-9]", ("card", False): _DIGIT, ("phone", False): r"\+[0-9]",
+         ("email", True): r"@|[\[({]\x20?(?:at|AT)", ("ip", True): "[0-9:]", ("card", True): _DIGIT, ("phone", True): _DIGIT}
+
 #: A pattern needs this many distinct trusted instances, this lower bound of their
 #: share, and this share of its places in all texts that lead to a form of its kind.
 LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_SELECTIVE = 5, 0.5, 0.5
@@ -65,7 +70,8 @@ def _matches(text: Column, kind: int, loose: bool) -> Column:
         F.length(x["gap"]).cast("long").alias("gap"), F.length(x["hit"]).cast("long").alias("len"),
         F.substring(x["gap"], -CONTEXT, CONTEXT).alias("before"), F.substring(x["gap"], 1, CONTEXT).alias("after"),
         x["hit"].alias("hit")))
-    return F.when(F.size(hits) > 0, parts)
+    # most texts hold nothing: one look for a character spares them the form
+    return F.when(text.rlike(NEEDS[KINDS[kind], loose]), F.when(F.size(hits) > 0, parts))
 
 
 def _digits(c: Column) -> Column:
