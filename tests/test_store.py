@@ -120,5 +120,13 @@ def test_fact_cache_key(spark, tmp_path):
     assert fact_location(spark, src) != third
     with pytest.raises(ValueError):
         materialized_fact(spark, dataclasses.replace(src, origin=""))
-    either = materialized_fact(spark, src)
+    from pathlib import Path
+    kept = Path(fact_location(spark, src).removeprefix("file:")).parent
+    materialized_fact(spark, src)
+    files.write_text(spark, f"{d}/_VERSION", "v3", replace=True)
+    materialized_fact(spark, src)
+    assert len(list(kept.glob("v-*"))) == 2  # a reader may still hold the one before
+    files.write_text(spark, f"{d}/_VERSION", "v4", replace=True)
+    either = materialized_fact(spark, src, grace_s=0)
+    assert len(list(kept.glob("v-*"))) == 1
     assert "FolderNo" not in either.columns and either.agg(F.count("*")).first()[0] > 0
