@@ -7,7 +7,10 @@ their own attempt, and the manifest that Spark commits names the ones that
 count, so a lost or repeated task leaves nothing that is read.
 
 The reader fetches byte ranges only: the end of the file, the central
-directory (ZIP64 records included), the index member, then each record.
+directory (ZIP64 records included), the index members, then each record. It takes
+packages of others, too: every ``archive/`` member and ``indexes/`` member is found by
+the directory, index lines are CDXJ (key, time, JSON) or JSON alone, an archive that no
+index names is read record by record, and records of other types are passed over.
 
 Of records with equal payloads (of at least ``min_bytes``) the one with the
 smallest page id is a response; the others are revisits that carry the HTTP
@@ -24,6 +27,7 @@ import json
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +43,10 @@ from assaybook.session import work_dir
 PACKAGE_BYTES = 64 << 20
 
 # Fixed values of the formats
-_DATA, _INDEX, _ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+_ARCHIVE, _INDEXES, _ABOUT = "archive/", "indexes/", "datapackage.json"
+_DATA, _INDEX = "data.warc.gz", "index.cdxj"
+#: Bytes read at once of an archive without an index.
+_CHUNK = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOCD, _EOCD64, _LOCATOR, _CENTRAL, _LOCAL = (b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4")
 _ID = "urn:page:"
@@ -84,10 +91,12 @@ def decode_record(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
-    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     block = rest[:int(fields["content-length"])]
-    if fields["warc-block-digest"] != f"sha1:{payload_digest(block)}":
-        raise ValueError(f"damaged record {fields['warc-record-id']}")
+    given = fields.get("warc-block-digest", "")  # optional, and not always SHA-1
+    if len(block) != int(fields["content-length"]) or (
+            given.startswith("sha1:") and given != f"sha1:{payload_digest(block)}"):
+        raise ValueError(f"damaged record {fields.get('warc-record-id')}")
     http, _, payload = block.partition(b"\r\n\r\n")
     return fields, http, payload
 
@@ -104,18 +113,20 @@ class _Package:
         system, p = open_fs(path)
         self.path, self.raw = path, system.open_output_stream(p)
         self.zip = zipfile.ZipFile(self.raw, "w", zipfile.ZIP_STORED, allowZip64=True)
-        self.data = self.zip.open(_DATA, "w", force_zip64=True)
+        self.data = self.zip.open(_ARCHIVE + _DATA, "w", force_zip64=True)
         self.index, self.at = [], 0
 
-    def add(self, record: bytes, entry: dict) -> None:
+    def add(self, record: bytes, date: str, entry: dict) -> None:
         member = gzip.compress(record, 6, mtime=0)
         self.data.write(member)
-        self.index.append(json.dumps(entry | {"offset": self.at, "length": len(member)}))
+        key, time = "".join((entry["url"] or "-").split()), "".join(c for c in date if c.isdigit())
+        about = entry | {"filename": _DATA, "offset": self.at, "length": len(member)}
+        self.index.append(f"{key} {time} {json.dumps(about)}")
         self.at += len(member)
 
     def close(self) -> tuple[str, int, int]:
         self.data.close()
-        self.zip.writestr(_INDEX, "".join(x + "\n" for x in self.index))
+        self.zip.writestr(_INDEXES + _INDEX, "".join(x + "\n" for x in sorted(self.index)))
         self.zip.writestr(_ABOUT, json.dumps({"profile": "data-package", "records": len(self.index)}))
         self.zip.close()
         self.raw.close()
@@ -134,7 +145,7 @@ def _writer(folder: str, package_bytes: int, date: str):
                 package = package or _Package(f"{folder}/{uuid.uuid4().hex}.wacz")
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 payload = None if html is None else html.encode()
-                package.add(encode_record(i, url, payload, size, digest, refers_to, date),
+                package.add(encode_record(i, url, payload, size, digest, refers_to, date), date,
                             {"id": i, "url": url, "digest": digest})
                 if package.at >= package_bytes:
                     yield done(package)
@@ -232,16 +243,60 @@ class ZipRanges:
         return m["header"] + 30 + n + x
 
 
+def _index_entries(z: ZipRanges, archives: list[str]) -> dict[str, set[tuple[int, int]]]:
+    """(offset, length) of the records that the index members name, by archive. A
+    line without a file name means the only archive."""
+    found: dict[str, set[tuple[int, int]]] = {}
+    for name in z.members:
+        if not name.startswith(_INDEXES) or not name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+            continue
+        raw = z.read(z.start(name), z.members[name]["size"])
+        for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).decode().splitlines():
+            if (at := line.find("{")) < 0:
+                continue  # a header line
+            entry = json.loads(line[at:])
+            archive = _ARCHIVE + entry["filename"] if "filename" in entry else archives[0] if len(archives) == 1 else None
+            if archive not in archives:
+                raise ValueError(f"{name} names no archive of the package: {line[:80]!r}")
+            found.setdefault(archive, set()).add((int(entry["offset"]), int(entry["length"])))
+    return found
+
+
+def _scan(z: ZipRanges, name: str) -> Iterator[bytes]:
+    """The records of an archive without an index: its gzip members in turn."""
+    at, end = z.start(name), z.start(name) + z.members[name]["size"]
+    member, out, rest = zlib.decompressobj(31), [], b""
+    while rest or at < end:
+        if not rest:
+            rest = z.read(at, min(_CHUNK, end - at))
+            at += len(rest)
+        out.append(member.decompress(rest))
+        rest = member.unused_data
+        if member.eof:
+            yield b"".join(out)
+            member, out = zlib.decompressobj(31), []
+    if any(out):
+        raise ValueError(f"{name} ends inside a record")
+
+
 def read_package(path: str) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """(fields, HTTP head, payload) of every record that the package's index names."""
+    """(fields, HTTP head, payload) of every record of the package's archives, those
+    of an archive in the order of their places."""
     system, p = open_fs(path)
     with system.open_input_file(p) as f:
         z = ZipRanges(f, f.size())
-        index = z.read(z.start(_INDEX), z.members[_INDEX]["size"])
-        data = z.start(_DATA)
-        for line in index.decode().splitlines():
-            entry = json.loads(line)
-            yield decode_record(gzip.decompress(z.read(data + entry["offset"], entry["length"])))
+        archives = [m for m in z.members if m.startswith(_ARCHIVE) and m.endswith((".warc.gz", ".warc"))]
+        named = _index_entries(z, archives)
+        for archive in archives:
+            if archive in named:
+                data = z.start(archive)
+                records = (z.read(data + offset, length) for offset, length in sorted(named[archive]))
+                records = (gzip.decompress(r) if r[:2] == b"\x1f\x8b" else r for r in records)
+            elif archive.endswith(".gz"):
+                records = _scan(z, archive)
+            else:
+                raise ValueError(f"{archive} is neither compressed by record nor in an index")
+            yield from map(decode_record, records)
 
 
 _READ = T.StructType([T.StructField(n, t) for n, t in (
@@ -253,12 +308,19 @@ _READ = T.StructType([T.StructField(n, t) for n, t in (
 def _reader(with_payload: bool):
     def rows(path: str):
         for fields, http, payload in read_package(path):
-            kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-            size = int(next(x[16:] for x in http.decode().split("\r\n") if x.startswith("Content-Length: ")))
+            kind = fields["warc-type"]
+            if kind not in ("response", "revisit"):
+                continue  # about the crawl, not about a page
+            given = fields.get("warc-payload-digest", "")
+            digest = given.removeprefix("sha1:") if given.startswith("sha1:") else payload_digest(payload)
+            sizes = [int(v) for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n"))
+                     if k.lower() == "content-length"]
+            size = sizes[0] if sizes else len(payload)
             if kind == "response" and (len(payload), payload_digest(payload)) != (size, digest):
-                raise ValueError(f"damaged payload of {fields['warc-record-id']}")
-            yield (_page(fields["warc-record-id"]), size, digest, kind, _page(fields.get("warc-refers-to")),
-                   fields.get("warc-target-uri"), payload.decode() if with_payload and kind == "response" else None)
+                raise ValueError(f"damaged payload of {fields.get('warc-record-id')}")
+            yield (_page(fields.get("warc-record-id")), size, digest, kind, _page(fields.get("warc-refers-to")),
+                   fields.get("warc-target-uri"),
+                   payload.decode(errors="replace") if with_payload and kind == "response" else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -79,6 +79,45 @@ def test_directories(make):
         assert z.read(z.start(name), z.members[name]["size"]) == want
 
 
+def _record(kind, name, body, **more):
+    """A record as other writers make it: no block digest, few fields."""
+    block = body if kind == "warcinfo" else b"HTTP/1.1 200 OK\r\ncontent-length:%d\r\n\r\n%s" % (len(body), body)
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "Content-Length": str(len(block)), **more}
+    return b"WARC/1.0\r\n" + "".join(f"{k}:{v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    """Two indexed archives, one without an index, a record about the crawl, text
+    offsets, a header line, records without digests."""
+    import gzip
+    import json
+    archives, lines = {}, ["!meta 0 "]
+    for name in ("one.warc.gz", "two.warc.gz", "three.warc.gz"):
+        raw = b""
+        for k, rec in enumerate([_record("warcinfo", f"{name}-i", b"software: x"),
+                                 *[_record("response", f"{name}-{k}", b"body %d " % k * 40_000) for k in range(3)]]):
+            member = gzip.compress(rec)
+            about = {"url": "http://x/", "filename": name, "offset": str(len(raw)), "length": str(len(member))}
+            if name != "three.warc.gz" and k:
+                lines.append(f"com,x)/{k} 20240101000000 {json.dumps(about)}")
+            raw += member
+        archives[name] = raw
+    path = str(tmp_path / "p.wacz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        for name, raw in archives.items():
+            z.writestr(f"archive/{name}", raw)
+        z.writestr("indexes/a.cdxj", "\n".join(lines[:3]) + "\n")
+        z.writestr("indexes/b.cdx.gz", gzip.compress("\n".join(lines[3:]).encode()))
+        z.writestr("pages/pages.jsonl", "{}")
+    got = W.read_packages(spark.createDataFrame([(path,)], "path string"), with_payload=True).collect()
+    assert sorted((r.page_id, r.payload) for r in got) == [
+        (f"urn:uuid:{n}-{k}", f"body {k} " * 40_000) for n in sorted(archives) for k in range(3)]
+    assert {r.payload_digest for r in got} == {W.payload_digest(b"body %d " % k * 40_000) for k in range(3)}
+    kinds = [f["warc-type"] for f, _, _ in W.read_package(path)]
+    assert kinds.count("warcinfo") == 1 and len(kinds) == 10  # of the archive that is read whole
+
+
 def test_damage_is_noticed():
     with pytest.raises(ValueError, match="central directory"):
         W.ZipRanges(io.BytesIO(b"x" * 100), 100)
