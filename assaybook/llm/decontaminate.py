@@ -1,17 +1,23 @@
 """Benchmark decontamination: a BM25 index of the test items, queried by every
-training passage with block-max pruning.
+training passage with block-max WAND.
 
 Impacts are divided by the item's score against itself, so a passage scores 1
 for an item it holds whole and one ``THRESHOLD`` serves all items. Passages
 overlap by half and are twice as long as the longest item, so any item lies
 whole in one of them.
 
-Retrieval keeps every item at or above the threshold. Terms that many items
-share are set aside while what they can add to any item stays within half the
-threshold; the other terms' postings give, per block of items, an upper bound
-(block maxima plus the block's largest share of common terms), and only blocks
-whose bound reaches the threshold are scored in full. Bounds of many passages
-are evaluated at once in numpy.
+Retrieval keeps every item at or above the threshold. Terms that many items share
+are set aside while what they can add to any item stays within half the threshold
+(as in MaxScore; that much counts for every item until its score is summed). Each
+other distinct term of a passage is a cursor on its postings, which are sorted by
+item. Cursors are put in the order of their items; the pivot is the first item
+where the summed bounds of the postings left reach the threshold, so no item before
+it can. If the maxima of
+the blocks that the pivot falls in do not reach it, the cursors skip to the first
+item where a block ends or another cursor stands; otherwise the cursors behind move
+up to the pivot, its score is summed, and the walk goes on after it. The threshold never
+changes, so the walks of many passages are independent: numpy takes one step of
+all of them at a time.
 
 Retrieved pairs are then verified: the words of the question part and of the
 answer part that the passage repeats in runs of three must reach their shares.
@@ -23,9 +29,11 @@ stand between stops (ends of sentences, lines or the text) or where the stops
 inside the item are repeated too. Words of a running sentence that happen to be
 those of such an item are no copy of it.
 
-Items are indexed in shards of about ``SHARD_ITEMS``; a shard's postings are
-what is sent to the executors, so their size is bounded whatever the number of
-items. Document frequencies count all items.
+Items are indexed in shards of about ``SHARD_ITEMS``; ``PASS_SHARDS`` of them go
+to the executors at once and one pass over the documents searches them all, so
+what is sent is bounded whatever the number of items, and what a pass found is
+written before the next one's shards are built. Document frequencies count all
+items.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +49,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assaybook.llm.common import fresh, id_key, stage, table, text_or_empty
 
@@ -50,8 +59,13 @@ RUN = 3
 #: Items with fewer words are not scored but looked up whole.
 LEAST_WORDS = 5
 LEAST_STRIDE = 64
-BLOCK_ITEMS = 8
+#: Postings of a block.
+BLOCK = 8
 SHARD_ITEMS = 20_000
+#: Shards that one pass over the documents searches.
+PASS_SHARDS = 4
+#: Rounding of summed impacts.
+EPS = 1e-9
 K1, B = 1.2, 0.75
 
 # Letters of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Tai, Balinese,
@@ -117,8 +131,9 @@ class ItemIndex:
         """``items``: (id, question words, answer words); ``df``, ``total`` and
         ``mean_words`` describe the items of all shards."""
         self.items, self.threshold = items, threshold
-        self.weights: list[dict[str, float]] = []
-        for _, q, a in items:
+        self.pivots = self.scored = 0  # pivots chosen, and those whose score was summed
+        holders = defaultdict(list)
+        for i, (_, q, a) in enumerate(items):
             words, tf = q + a, defaultdict(int)
             for w in words:
                 tf[w] += 1
@@ -126,14 +141,13 @@ class ItemIndex:
             impact = {w: np.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm)
                       for w, n in tf.items()}
             own = sum(impact.values())
-            self.weights.append({w: v / own for w, v in impact.items()})
+            for w, v in impact.items():
+                holders[w].append((i, v / own))
         self.stride = max([LEAST_STRIDE, *(len(q) + len(a) for _, q, a in items)])
-        holders = defaultdict(list)
-        for i, ws in enumerate(self.weights):
-            for w, v in ws.items():
-                holders[w].append((i, v))
         # common terms, by how many items hold them, while they add at most half the threshold to any item
         common = np.zeros(len(items))
+        #: Per item the impacts of its common terms.
+        self.common: list[dict[str, float]] = [{} for _ in items]
         rest = sorted(holders, key=lambda w: (-len(holders[w]), w))
         while rest:
             more = common.copy()
@@ -141,35 +155,103 @@ class ItemIndex:
                 more[i] += v
             if more.max() > threshold / 2:
                 break
+            for i, v in holders[rest[0]]:
+                self.common[i][rest[0]] = v
             common, rest = more, rest[1:]
+        #: The most that common terms add to an item, and to any.
+        self.share, self.slack = common, max(common, default=0.0)
         self.term = {w: t for t, w in enumerate(rest)}
-        blocks = -(-len(items) // BLOCK_ITEMS)
-        self.slack = np.array([common[b * BLOCK_ITEMS:(b + 1) * BLOCK_ITEMS].max() for b in range(blocks)])
-        # postings of the other terms: per term its blocks and its largest impact in each
-        at, block, most = [0], [], []
-        for w in rest:
-            best: dict[int, float] = {}
-            for i, v in holders[w]:
-                best[i // BLOCK_ITEMS] = max(v, best.get(i // BLOCK_ITEMS, 0))
-            block += best.keys()
-            most += best.values()
-            at.append(len(block))
-        self.at, self.block, self.most = np.array(at), np.array(block, np.int64), np.array(most)
-
-    def candidates(self, ids: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, block) pairs whose bound reaches the threshold, from the
-        occurrences (term id, passage number) of uncommon terms."""
-        if not len(ids):
-            return ids, ids
-        key = np.unique(passage * len(self.term) + ids)  # a term counts once a passage
-        passage, ids = key // len(self.term), key % len(self.term)
-        n = self.at[ids + 1] - self.at[ids]
-        flat = np.repeat(self.at[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        pair = np.repeat(passage, n) * len(self.slack) + self.block[flat]
-        pairs, where = np.unique(pair, return_inverse=True)
-        bound = np.bincount(where, self.most[flat], len(pairs)) + self.slack[pairs % len(self.slack)]
-        pairs = pairs[bound >= self.threshold - 1e-9]
-        return pairs // len(self.slack), pairs % len(self.slack)
+        postings = [holders[w] for w in rest]
+        sizes = np.array([len(p) for p in postings], np.int64)
+        #: First posting of each term and the end of the last; items ascend within a term.
+        self.at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.item = np.array([i for p in postings for i, _ in p], np.int64)
+        self.impact = np.array([v for p in postings for _, v in p])
+        # (term, item) as one ascending number: a cursor moves by one binary search
+        self.key = np.repeat(np.arange(len(sizes)), sizes) * (len(items) + 1) + self.item
+        #: Per posting the largest impact of its term from there on.
+        self.bound = np.array([m for p in postings for m in [*accumulate((v for _, v in reversed(p)), max)][::-1]])
+        # blocks of BLOCK postings, none over two terms
+        blocks = -(-sizes // BLOCK)
+        self.block_at = np.cumsum(blocks) - blocks
+        starts = np.repeat(self.at[:-1], blocks) + BLOCK * (np.arange(blocks.sum()) - np.repeat(self.block_at, blocks))
+        self.block_most = np.maximum.reduceat(self.impact, starts) if len(starts) else self.impact
+        ends = np.minimum(starts + BLOCK, np.repeat(self.at[1:], blocks))
+        self.block_last = self.item[ends - 1] if len(starts) else self.item
+
+    @property
+    def weights(self) -> list[dict[str, float]]:
+        """Per item the impact of each of its words."""
+        out = [dict(c) for c in self.common]
+        for w, t in self.term.items():
+            for x in range(self.at[t], self.at[t + 1]):
+                out[self.item[x]][w] = self.impact[x]
+        return out
+
+    def _seek(self, term: np.ndarray, pos: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The first posting of each term after ``pos`` and at or after an item."""
+        pos, end = pos + 1, self.at[term + 1]
+        far = np.flatnonzero(pos < end)
+        far = far[self.item[pos[far]] < item[far]]
+        pos[far] = np.searchsorted(self.key, term[far] * (len(self.items) + 1) + item[far])
+        return pos
+
+    def retrieve(self, term: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score without common terms) of all that can reach the
+        threshold, from the occurrences (term, passage number). One round is one
+        WAND step of every passage."""
+        if not len(term):
+            return passage, term, np.zeros(0)
+        over, least = len(self.items), self.threshold - self.slack - EPS
+        occ = np.unique(passage * len(self.term) + term)  # a term counts once a passage
+        passage, term = occ // len(self.term), occ % len(self.term)
+        pos, hits = self.at[term], []
+        item = self.item[pos]
+        while len(term):
+            order = np.argsort(passage * (over + 1) + item, kind="stable")
+            passage, term, pos, item = passage[order], term[order], pos[order], item[order]
+            first = np.flatnonzero(np.diff(passage, prepend=-1))
+            walk = np.repeat(np.arange(len(first)), np.diff(first, append=len(term)))
+            # pivot: where the bounds of what is left, summed in the order of the items, reach the threshold
+            bound = self.bound[pos]
+            total = np.cumsum(bound)
+            reach = np.flatnonzero(total >= (total[first] - bound[first] + least)[walk])
+            reach = reach[np.flatnonzero(np.diff(walk[reach], prepend=-1))]
+            pivot = np.full(len(first), -1)
+            pivot[walk[reach]] = item[reach]
+            goal = pivot[walk]
+            near, far = np.flatnonzero(item <= goal), np.flatnonzero((item > goal) & (goal >= 0))  # no pivot: the walk is over
+            t, w, to, goal = term[near], walk[near], pos[near], goal[near]
+            behind = np.flatnonzero(item[near] < goal)
+            to[behind] = self._seek(t[behind], to[behind], goal[behind])
+            held = to < self.at[t + 1]
+            t, w, to, goal, number = t[held], w[held], to[held], goal[held], passage[near][held]
+            # maxima of the blocks that the pivot falls in, and the first end of one or item of another cursor
+            block = self.block_at[t] + (to - self.at[t]) // BLOCK
+            skip = np.bincount(w, self.block_most[block], len(first)) < least
+            stop = np.full(len(first), over)
+            np.minimum.at(stop, w, self.block_last[block] + 1)
+            after = far[np.flatnonzero(np.diff(walk[far], prepend=-1))]
+            stop[walk[after]] = np.minimum(stop[walk[after]], item[after])
+            at = self.item[to] == goal
+            score = np.bincount(w[at], self.impact[to[at]], len(first))
+            self.pivots += len(reach)
+            hit = np.flatnonzero(~skip & (pivot >= 0))
+            self.scored += len(hit)
+            hit = hit[score[hit] + self.share[pivot[hit]] >= self.threshold - EPS]
+            if len(hit):
+                hits.append((passage[first[hit]], pivot[hit], score[hit]))
+            # skip over the blocks, or go on after the pivot
+            target = np.where(skip, stop, pivot + 1)[w]
+            behind = np.flatnonzero(self.item[to] < target)
+            to[behind] = self._seek(t[behind], to[behind], target[behind])
+            held = to < self.at[t + 1]
+            t, to, number = t[held], to[held], number[held]
+            passage, term = np.concatenate([number, passage[far]]), np.concatenate([t, term[far]])
+            pos, item = np.concatenate([to, pos[far]]), np.concatenate([self.item[to], item[far]])
+        if not hits:
+            return passage[:0], term[:0], np.zeros(0)
+        return tuple(np.concatenate(c) for c in zip(*hits, strict=True))
 
     def search(self, texts: list[list[str]]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap) of the verified
@@ -185,18 +267,17 @@ class ItemIndex:
             occ += [row[pos], row[pos[p > 0]]]
             where += [base[n] + p, base[n] + p[p > 0] - 1]
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        pairs = self.candidates(np.concatenate(occ), np.concatenate(where)) if occ else ((), ())
-        for p, b in zip(*pairs, strict=True):
+        for p, i, score in zip(*self.retrieve(np.concatenate(occ), np.concatenate(where)), strict=True) if occ else ():
             n = int(np.searchsorted(base, p, "right")) - 1
             lo = (p - base[n]) * self.stride
             passage = texts[n][lo:lo + 2 * self.stride]
             terms = set(passage)
-            for i in range(b * BLOCK_ITEMS, min(len(self.items), (b + 1) * BLOCK_ITEMS)):
-                score = sum(v for w, v in self.weights[i].items() if w in terms)
-                if score >= self.threshold - 1e-9:
-                    q, a = overlap(self.items[i][1], passage), overlap(self.items[i][2], passage)
-                    if q >= QUESTION_SHARE and a >= ANSWER_SHARE:
-                        found[n, i] = max(found.get((n, i), (0.0, 0.0, 0.0)), (min(1.0, score), q, a))
+            score += sum(v for w, v in self.common[i].items() if w in terms)
+            if score < self.threshold - EPS:
+                continue
+            q, a = overlap(self.items[i][1], passage), overlap(self.items[i][2], passage)
+            if q >= QUESTION_SHARE and a >= ANSWER_SHARE:
+                found[n, int(i)] = max(found.get((n, i), (0.0, 0.0, 0.0)), (min(1.0, float(score)), q, a))
         for (n, i), (score, q, a) in sorted(found.items()):
             yield n, i, score, q, a
 
@@ -247,9 +328,9 @@ def _split_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(stops, pa.list_(pa.bool_()))], ["_item", *_PARTS.names])
 
 
-def _search_batches(index) -> Callable:
+def _search_batches(shards: list, id_type: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, whole, id_type = cloudpickle.loads(index.value)
+        loaded = [cloudpickle.loads(s.value) for s in shards]
         for b in batches:
             at, texts = 0, b.column("_text").to_pylist()
             while at < len(texts):  # some MB of text at a time
@@ -258,10 +339,12 @@ def _search_batches(index) -> Callable:
                     size += len(texts[to])
                     to += 1
                 words = [words_of(t) for t in texts[at:to]]
-                hits = [(n, own.items[i][0], *rest) for n, i, *rest in own.search(words)]
-                if whole.items:
-                    hits += [(n, whole.items[i][0], 1.0, 1.0, 1.0) for n, (t, w) in enumerate(zip(texts[at:to], words, strict=True))
-                             for i in whole.search(t, w)]
+                hits = []
+                for scored, whole in loaded:
+                    hits += [(n, scored.items[i][0], *rest) for n, i, *rest in scored.search(words)]
+                    if whole.items:
+                        hits += [(n, whole.items[i][0], 1.0, 1.0, 1.0)
+                                 for n, (t, w) in enumerate(zip(texts[at:to], words, strict=True)) for i in whole.search(t, w)]
                 if hits:
                     n, i, *rest = zip(*hits, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -281,8 +364,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
 
     Null texts, and texts without a word, match nothing. Items with fewer than
     ``LEAST_WORDS`` words are looked up whole; their scores and overlaps are 1.
-    Repeated items and rows match like any other. Empty tables give an empty
-    result; other columns are not read.
+    Repeated items and rows match like any other. Ids may be of any type that Arrow
+    has. Empty tables give an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     t = items.select(F.col(item_col).alias("_item"), text_or_empty(item_text_col).alias("_text"))
@@ -299,23 +382,23 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
           .agg(F.count("*").alias("_df")))
     shards = -(-n_items // shard_items)
     shard = F.pmod(F.xxhash64("_item", "_q", "_a"), F.lit(max(1, shards)))
+    id_type = to_arrow_type(item_field.dataType)
     out = None
-    for s in range(shards):
-        mine = parts.where(shard == s)
-        rows = mine.collect()  # about ``shard_items`` items
-        terms = mine.where(scored).select(F.explode(F.array_distinct(all_words)).alias("_term")).distinct()
-        counts = {r["_term"]: r["_df"] for r in terms.join(df, "_term").collect()}
-        if not rows:
-            continue
-        rows.sort(key=lambda r: (str(r["_item"]), r["_q"], r["_a"]))
-        long, short = ([r for r in rows if (len(r["_q"]) + len(r["_a"]) >= LEAST_WORDS) == is_long] for is_long in (True, False))
-        index = ItemIndex([(r["_item"], r["_q"], r["_a"]) for r in long], counts, total, mean, threshold)
-        whole = WholeItems([(r["_item"], r["_q"] + r["_a"], r["_stops"]) for r in short])
-        id_type = pa.string() if isinstance(item_field.dataType, T.StringType) else pa.int64()
-        if isinstance(item_field.dataType, T.IntegerType):
-            id_type = pa.int32()
-        sent = spark.sparkContext.broadcast(cloudpickle.dumps((index, whole, id_type)))
-        got = d.mapInArrow(_search_batches(sent), schema)
+    for lo in range(0, shards, PASS_SHARDS):
+        sent = []
+        for s in range(lo, min(shards, lo + PASS_SHARDS)):
+            mine = parts.where(shard == s)
+            rows = mine.collect()  # about ``shard_items`` items
+            terms = mine.where(scored).select(F.explode(F.array_distinct(all_words)).alias("_term")).distinct()
+            counts = {r["_term"]: r["_df"] for r in terms.join(df, "_term").collect()}
+            rows.sort(key=lambda r: (str(r["_item"]), r["_q"], r["_a"]))
+            long, short = ([r for r in rows if (len(r["_q"]) + len(r["_a"]) >= LEAST_WORDS) == is_long] for is_long in (True, False))
+            index = ItemIndex([(r["_item"], r["_q"], r["_a"]) for r in long], counts, total, mean, threshold)
+            whole = WholeItems([(r["_item"], r["_q"] + r["_a"], r["_stops"]) for r in short])
+            sent.append(spark.sparkContext.broadcast(cloudpickle.dumps((index, whole))))
+        got = stage(d.mapInArrow(_search_batches(sent, id_type), schema), "benchmark-hits")
+        for b in sent:
+            b.destroy()
         out = got if out is None else out.unionByName(got)
     if out is None:
         out = spark.createDataFrame([], schema)

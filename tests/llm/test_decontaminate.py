@@ -55,6 +55,35 @@ def test_pruned_search_finds_all_that_a_full_search_finds(monkeypatch):
         assert all(abs(got[k] - min(1.0, want[k])) < 1e-9 for k in got)
 
 
+def test_pivot_and_blocks_spare_items(monkeypatch):
+    monkeypatch.setattr(D, "QUESTION_SHARE", 0.0)
+    monkeypatch.setattr(D, "ANSWER_SHARE", 0.0)
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(30 if i // 100 % 4 else 8)) + f". own{i} w{i % 60} w{i % 7}.")
+             for i in range(1200)]  # many postings a term, short items (of high impacts) side by side
+    texts = [[rng.choice(vocab) for _ in range(rng.randrange(10, 90))] for _ in range(40)]
+    texts += [D.words_of(items[i][1]) + texts[n] for n, i in enumerate((0, 7, 150, 299))]
+    runs = {}
+    for off in ("", "pivot", "blocks"):
+        index = make_index(items, 0.8)
+        assert max(np.diff(index.at)) > 4 * D.BLOCK
+        if off == "pivot":
+            index.bound[:] = 1.0
+        if off == "blocks":
+            index.block_most[:] = 1.0
+        found = [(n, i, round(s, 9)) for n, i, s, _, _ in index.search(texts)]
+        runs[off] = found, index.pivots, index.scored
+    want = brute(texts, make_index(items, 0.8))
+    assert {(n, i) for n, i, _ in runs[""][0]} == want.keys() >= {(40, 0), (41, 7), (42, 150), (43, 299)}
+    assert all(found == runs[""][0] for found, *_ in runs.values())
+    print({k: v[1:] for k, v in runs.items()})
+    assert 2 * runs[""][1] < runs["pivot"][1] and runs[""][2] < 0.8 * runs["blocks"][2]
+    low = make_index(items, 0.8)  # bounds decide: halved, copies are passed over
+    low.bound /= 2
+    assert len(list(low.search(texts))) < len(runs[""][0])
+
+
 def test_overlap():
     assert D.overlap([], ["a"]) == 1.0
     assert D.overlap(["a", "b"], ["x", "a", "b"]) == 1.0
@@ -139,6 +168,25 @@ def test_items_of_few_words(spark, make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(5, 12))
 
 
+def test_item_ids_of_any_type(spark, make_docs):
+    docs = make_docs([(i, f"{prose(4)} {ITEMS[i][1]} {prose(4)}") for i in range(3)])
+    base = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for kind in ("smallint", "decimal(20,2)", "double", "string", "binary"):
+        item = "cast(cast(item_id as string) as binary)" if kind == "binary" else f"cast(item_id as {kind})"
+        got = D.find_contamination(docs, base.selectExpr(f"{item} as item_id", "text"))
+        assert got.schema["item_id"].dataType.simpleString() == kind
+        assert sorted((r.doc_id, int(r.item_id)) for r in got.collect()) == [(0, 0), (1, 1), (2, 2)]
+    got = D.find_contamination(docs, base.selectExpr("date_add(date'2020-01-01', cast(item_id as int)) as item_id", "text"))
+    assert sorted((r.doc_id, r.item_id.day) for r in got.collect()) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_several_passes_over_the_documents(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(D, "PASS_SHARDS", 2)
+    docs = make_docs([(i, f"{prose(4)} {t} {prose(4)}") for i, t in ITEMS])
+    got = D.find_contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), shard_items=13)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i, _ in ITEMS]
+
+
 def test_empty_tables(spark, make_docs):
     items = spark.createDataFrame(ITEMS[:2], "item_id long, text string")
     assert D.find_contamination(make_docs([]), items).collect() == []
