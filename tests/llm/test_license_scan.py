@@ -76,3 +76,63 @@ def test_query_against_plain_search(spark, make_docs, write_tables):
     texts = dict(rows)
     assert all(r.exact and texts[r.doc_id][r.start:r.stop] == L.TEMPLATES[r.license].rstrip(".") for r in got)
     assert L.scan_licenses(make_docs([])).collect() == []
+
+
+def forms(text, rng):
+    """Ways in which files carry a license text."""
+    words = text.split()
+    lines, at = [], 0
+    while at < len(words):
+        n = rng.randrange(7, 14)
+        lines.append(" ".join(words[at:at + n]))
+        at += n
+    yield text
+    yield "\n".join(lines)
+    yield "/*\n" + "\n".join(f" * {line}" for line in lines) + "\n */"
+    yield "\n".join(f"# {line}" if line else "#" for line in lines).upper()
+    cut = sorted(rng.sample(range(1, len(lines)), min(4, len(lines) - 1)))
+    yield "\n\n".join("\n".join(lines[a:b]) for a, b in zip([0, *cut], [*cut, None], strict=True))
+
+
+def test_full_texts_are_named_right_in_every_form():
+    rng = random.Random(8)
+    prose = " ".join(rng.choice("amber bell cedar delta ember field grove harbor".split()) for _ in range(900))
+    for name, full in L.FULL_TEXTS.items():
+        for text in forms(full, rng):
+            for before in ("", prose[:2500] + "\n", "Copyright (c) 2020 Some One\n\n"):
+                got = found(f"{before}{text}\n\n{prose[:700]}")
+                assert [(g[0], g[2], g[3]) for g in got] == [(name, [], [])], (name, text[:200], got)
+
+
+def test_the_ranking_names_the_winner(monkeypatch):
+    """License texts that hold each other's wording: all are confirmed, most bytes saved wins."""
+    pairs = [("MIT-full", "MIT-0-full"), ("BSD-3-Clause-full", "BSD-2-Clause-full"), ("ISC-full", "0BSD-full")]
+
+    def named(pair, order):
+        some = {n: L.FULL_TEXTS[n] for n in (pair if order else pair[::-1])}
+        scanner = L.Scanner(full_texts=some)
+        return [[h["license"] for h in scanner.text(f"Before.\n\n{some[n]}\n\nAfter it.")] for n in pair]
+
+    for pair in pairs:
+        words = [L._words(L.FULL_TEXTS[n])[0] for n in pair]
+        able = {t.name: t for t in L.Scanner().full.templates}
+        assert all(able[n].confirm(w) for n in pair for w in words)  # the wording tells none of them apart
+        assert named(pair, True) == named(pair, False) == [[n] for n in pair]
+    monkeypatch.setattr(L._Family, "rank", lambda self, able, words: [(-100 * i, t) for i, t in enumerate(able)])
+    for pair in pairs:  # without the ranking the first template takes all
+        assert named(pair, True) == [[pair[0]]] * 2 and named(pair, False) == [[pair[1]]] * 2
+
+
+def test_differences_in_full_texts():
+    full = L.FULL_TEXTS["BSD-3-Clause-full"]
+    got = found("1. " + full.replace("Redistributions in", "2. Redistributions in").replace("Neither", "3. Neither")
+                .replace("the copyright holder nor", "Some Company nor"))
+    assert [g[0] for g in got] == ["BSD-3-Clause-full"]
+    assert got[0][2] == ["the", "copyright", "holder"] and got[0][3] == ["2", "3", "some", "company"]
+    assert [g[0] for g in found(L.FULL_TEXTS["GPL-3.0-header"].replace("version 3", "version 7"))] == []
+    half = L.FULL_TEXTS["MIT-full"]
+    assert "MIT-full" not in [g[0] for g in found(half[:len(half) // 2])]
+    several = "\n\n".join([L.FULL_TEXTS[n] for n in ("MIT-full", "LGPL-3.0-header", "ISC-full", "MIT-full")] + [L.TEMPLATES["MIT"]])
+    assert [g[0] for g in found(several)] == ["MIT-full", "LGPL-3.0-header", "ISC-full", "MIT-full", "MIT"]
+    many = "\n\n".join([L.FULL_TEXTS["ISC-full"]] * 60)
+    assert [g[0] for g in found(many)] == ["ISC-full"] * 60
