@@ -45,9 +45,9 @@ SEGMENT = 256
 CONTEXT = 16
 #: Segments that run abreast: at most so many, and so many bytes of their probabilities.
 LANES, LANE_BYTES = 4096, 64 << 20
-#: Rows that set the limits of ``keep_known``, the quantile of their scores, and how far
-#: below it a text may lie; the shortest texts of each class, in characters.
-CALIBRATION_ROWS, LIMIT_QUANTILE, LIMIT_SLACK = 20_000, 0.0, 0.9
+#: How far below the least score of the labelled rows a text may lie (``keep_known``);
+#: the shortest texts of each class, in characters.
+LIMIT_SLACK = 0.9
 LENGTH_CLASSES = (0, 50, 200)
 #: Prediction of a text that is null or has no letter.
 UNKNOWN = "und"
@@ -311,23 +311,17 @@ def identify_languages(docs: DataFrame, model: BiGated | None, *, id_col: str =
     return d.mapInArrow(_predict_batches(model), schema).withColumnRenamed("_id", "doc_id")
 
 
-def score_limits(docs: DataFrame, model: BiGated, *, id_col: str = "doc_id", text_col: str = "text",
-                 lang_col: str = "lang", rows: int = CALIBRATION_ROWS, quantile: float = LIMIT_QUANTILE,
+def score_limits(docs: DataFrame, model: BiGated, *, text_col: str = "text", lang_col: str = "lang",
                  slack: float = LIMIT_SLACK) -> list[float]:
     """Least score to keep a text, one for each of ``LENGTH_CLASSES``: ``slack`` times
-    the ``quantile`` of the scores of about ``rows`` labelled rows, which are last
-    in the hash order in which the sample to learn from is first. 0 in a class
+    the least score of all labelled rows of the class (with a letter). 0 in a class
     without labelled rows."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    h = F.xxhash64(F.lit("lang-sample"), F.col(id_col), F.col(text_col))
-    n = known.count()
-    if n > rows:
-        known = known.where(h >= (1 << 63) - int(rows / n * (1 << 64)))
     place = sum((F.length(text_col) >= c).cast("int") for c in LENGTH_CLASSES[1:])
     scored = identify_languages(known.select(place.alias("_class"), F.col(text_col).alias("_text")), model,
                                 id_col="_class", text_col="_text")
-    least = {r["_class"]: r["_q"] for r in scored.groupBy(F.col("doc_id").alias("_class")).agg(
-        F.percentile("score", quantile).alias("_q")).collect()}
+    least = {r["_class"]: r["_least"] for r in scored.groupBy(F.col("doc_id").alias("_class")).agg(
+        F.min("score").alias("_least")).collect()}  # a number a class
     return [slack * least.get(i, 0.0) for i in range(len(LENGTH_CLASSES))]
 
 

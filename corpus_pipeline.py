@@ -19,7 +19,7 @@ from assaybook.sources import files
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (operator 1): documents without a letter go, and those whose best
     language is less likely than that of any labelled document of their length (nine
-    tenths of the least score of a sample; short texts are not judged by the
+    tenths of the least score of them all; short texts are not judged by the
     confidence of long ones). The model learns from the stage's own labelled rows;
     without any, only documents without a letter go. Rows that share an id are
     judged each by their text."""

@@ -95,6 +95,23 @@ def test_language_stage_goes_by_the_scores_of_labelled_texts(spark, make_docs):
     assert got == {*range(5), 10, 11, 20, 22, 25}
 
 
+def test_language_limits_come_from_every_labelled_row(spark):
+    """The one low score among 21,000 labelled rows, first in the hash order of the rows to learn from."""
+    from assaybook.llm import lang_id
+
+    class Model:  # a text says how likely its language is
+        labels = ["a", "b"]
+
+        def predict(self, texts):
+            import numpy as np
+            return np.array([[float(t.split()[-1]), 0.0] for t in texts])
+    h = F.xxhash64(F.lit("lang-sample"), F.col("id"), F.lit("w 0.2"))
+    low = spark.range(21_000).orderBy(h).first()["id"]
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("lang"),
+                                      F.when(F.col("id") == low, "w 0.2").otherwise("w 0.9").alias("text"))
+    assert [round(x, 3) for x in lang_id.score_limits(docs, Model())] == [0.18, 0.0, 0.0]
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, make_docs, write_tables):
     empty = make_docs([])
     d = write_tables(documents=empty, benchmark=spark.createDataFrame(ITEMS, "item_id long, text string"))
