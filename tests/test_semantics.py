@@ -96,6 +96,21 @@ def test_view_and_report(spark, src, fact_dir):
         quality.assert_no_pii(view)
 
 
+def test_view_does_not_shuffle_the_fact_by_panel(spark, src, fact_dir):
+    from assaybook.sources import fixtures
+    lookup = fixtures.lookup(spark, "")
+    assert [tuple(r) for r in lookup.collect()] == fixtures.LOOKUP_ROWS
+    view = views.priced_view(store.read_fact(spark, fact_dir), lookup)
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan, plan
+
+
+def test_latest_date_joins_the_results_before_they_are_wide(src):
+    plan = fact_plan.build_fact(src)._jdf.queryExecution().optimizedPlan().toString()
+    order, folder = plan.index("Join LeftOuter, (ORDNO#"), plan.index("Join Inner, (FOLDERNO#")
+    assert folder < order, plan  # the order's join lies below
+
+
 def test_report_uses_partition_filters(spark, src, fact_dir):
     view = views.priced_view(store.read_fact(spark, fact_dir), src.lookup)
     plan = report_plan.report(view, A, B)._jdf.queryExecution().executedPlan().toString()
