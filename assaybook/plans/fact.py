@@ -6,13 +6,13 @@ broadcast or shuffle joins by the tables' true sizes):
 
   folder dimension   folders ⟕ pending folders (FOLDERNO) ⋈ samples (EXTERNAL_ID)
                      ⋈ billable clients ⟕ test groups ⟕ tests
-  result rows        valid results ⋈ folder dimension (FOLDERNO; nothing else
-                     shares this stage, so AQE can split a hot folder)
+  result rows        valid results ⟕ latest result per order (ORDNO)
+                     ⋈ folder dimension (FOLDERNO; nothing else shares this
+                     stage, so AQE can split a hot folder)
                      → as-of version + price
-                     ⟕ latest result per order (ORDNO)
 
-Shuffles that see result rows: one on FOLDERNO and one on ORDNO for the fact
-rows; for the latest result one on (ORDNO, FOLDERNO), after a map-side
+Shuffles that see result rows: one on ORDNO and one on FOLDERNO for the fact
+rows, both before the folder dimension makes them wide; for the latest result one on (ORDNO, FOLDERNO), after a map-side
 aggregate, then two of one row per pair (FOLDERNO, ORDNO). Flags are computed
 from raw results (before any filter), as the report requires.
 """
@@ -90,7 +90,8 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
     latest = flags.latest_result(latest_in, src.folders)
     pending = flags.pending_folders(raw if pending_results is None else pending_results)
 
-    x = rows.join(folder_dimension(src, pending=pending), "FOLDERNO")
+    # the order's latest date joins the narrow results, before the folder's columns
+    x = rows.join(latest, "ORDNO", "left").join(folder_dimension(src, pending=pending), "FOLDERNO")
     x = (x.withColumn("IsPanel", codes.is_panel("TESTGROUPNAME", "TESTPANEL", panel_rule))
           .withColumn("ResolvedTestCode", codes.resolved_testcode(
               "TESTCODE", "_testno", "_group_testcode", "_legacy_testcode"))
@@ -99,7 +100,6 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
     x = asof.asof_price(x, src.price_lists, src.prices, per_test=per_test_version,
                         list_col="PriceListId", time_col="DATEENTER",
                         code_col="_pricing_code")
-    x = x.join(latest, "ORDNO", "left")
     load = (F.current_timestamp().cast("timestamp_ntz") if load_ts is None else ts(load_ts))
     return x.select(
         "ORDNO", "COMPNAME", "ExternalId", "BirthDate", "ClientSampleId", "FirstName",
