@@ -78,6 +78,17 @@ def test_prices_of_panels_come_from_the_lookup_of_the_day(spark, fact):
     assert _report(partials.window_fact(spark, d, a, b), none, a, b) == _report(store.read_fact(spark, d, a, b), none, a, b)
 
 
+def test_partials_are_merged_and_written_with_one_shuffle(spark, fact):
+    d, _ = fact
+    merged = partials.monthly_partials(store.read_fact(spark, d, internal=True)).sortWithinPartitions("year", "month")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange \w+\((\w+)#", plan) == ["year"], plan
+    rows = merged.collect()
+    keys = {(r.year, r.month, r.ORDNO, r.LatestResultDate, r.IsPanel, r.COMPNAME.lower(), r.ExternalId.lower(),
+             r.TestGroupName.lower() if r.IsPanel else None) for r in rows}
+    assert len(keys) == len(rows) > 0
+
+
 def test_a_run_without_partials_is_read_row_by_row(spark, fact, tmp_path):
     _, src = fact
     d = str(tmp_path / "fact")
