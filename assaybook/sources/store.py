@@ -69,17 +69,25 @@ def remove_old_runs(spark: SparkSession, fact_dir: str, *, keep: int = KEEP,
 
 
 # ---------------------------------------------------------------- write
+def _laid_out(out: DataFrame, by_month: bool) -> DataFrame:
+    """Rows (with year and month) in the order of the files. Every task writes its
+    own part of each month: the rows are wide, and moving them to one task a month
+    would cost more disk than all the transform's other shuffles of result rows.
+    ``by_month`` does move them, for few large files: REBALANCE lets AQE split a hot
+    month over several tasks and coalesce small ones. Sorting each task's rows by
+    (year, month, DateEnter) is the order the partitioned writer needs anyway, and
+    gives tight DateEnter min/max per row group, so a window ending mid-month skips
+    row groups inside its edge months."""
+    if by_month:
+        out = out.hint("rebalance", "year", "month")
+    return out.sortWithinPartitions("year", "month", "DateEnter")
+
+
 def _write_partitioned(df: DataFrame, path: str, max_records_per_file: int,
-                       lookup: DataFrame | None = None) -> Metrics:
+                       lookup: DataFrame | None = None, by_month: bool = False) -> Metrics:
     watch = Watch(lookup)
     out = watch.observe(with_partitions(df))
-    # REBALANCE lets AQE split a hot month over several tasks/files and
-    # coalesce small ones, instead of one task per month. Sorting each task's
-    # rows by (year, month, DateEnter) is the order the partitioned writer
-    # needs anyway, and gives tight DateEnter min/max per row group, so a
-    # window ending mid-month skips row groups inside its edge months.
-    (out.hint("rebalance", "year", "month")
-        .sortWithinPartitions("year", "month", "DateEnter")
+    (_laid_out(out, by_month)
         .write.mode("error")
         .option("maxRecordsPerFile", max_records_per_file)
         .option("compression", "snappy")
@@ -96,7 +104,8 @@ def read_run(spark: SparkSession, fact_dir: str, run: str, years) -> DataFrame:
 
 def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
             gate: Gate | None = None, lookup: DataFrame | None = None, index: bool = True,
-            partials: bool = False, max_records_per_file: int = 5_000_000, replace: bool = True, grace_s: float = GRACE_S) -> int:
+            partials: bool = False, by_month: bool = False, max_records_per_file: int = 5_000_000,
+            replace: bool = True, grace_s: float = GRACE_S) -> int:
     """Write ``df`` as a new run and switch ``fact_dir`` to it.
 
     ``years=None`` replaces the whole table; otherwise exactly those years (a
@@ -105,14 +114,15 @@ def publish(spark: SparkSession, df: DataFrame, fact_dir: str, years=None, *,
     must pass ``gate`` first; with ``lookup`` the gate knows the rows that the
     priced view will have. ``index`` stores the flags' key-to-year index that a
     reload probes (fact rows with FolderNo only), ``partials`` the report's monthly
-    partials. Returns the rows written."""
+    partials. ``by_month`` shuffles the rows by month before the write: a file or a few
+    a month, where each task otherwise writes its own. Returns the rows written."""
     from assaybook.sources.partials import write_partials
     fact_dir = fact_dir.rstrip("/")
     seen = _log(spark, fact_dir).last_number()
     run = f"run-{uuid.uuid4().hex[:12]}"
     path = f"{fact_dir}/{run}"
     try:
-        m = _write_partitioned(df, path, max_records_per_file, lookup)
+        m = _write_partitioned(df, path, max_records_per_file, lookup, by_month)
         (gate or Gate()).check(m)
         live = current_years(spark, fact_dir)
         if years is None and not replace and live is not None:

@@ -8,6 +8,7 @@ import datetime as dt
 import re
 from decimal import Decimal as D
 
+from assaybook.operators import flags
 from assaybook.plans import fact as fact_plan
 from assaybook.plans import legacy
 from conftest import T, make_sources
@@ -79,3 +80,15 @@ def test_hot_order_is_aggregated_before_the_later_results_rule(spark):
     rule = re.search(r"Join LeftAnti, \(ORDNO#\d+ = ORDNO#\d+\)", plan)
     grouped = re.search(r"Aggregate \[ORDNO#\d+, ", plan)
     assert rule and grouped and rule.start() < grouped.start(), plan  # the rule stands above the aggregate
+
+
+def test_latest_result_shuffles_results_by_folder_then_by_order(spark):
+    src = _sources(spark, hot_order=False, hot=3000)
+    expected = sorted(map(tuple, flags.latest_result(src.results, src.folders).collect()))
+    with forced(spark):
+        df = flags.latest_result(src.results, src.folders)
+        got = sorted(map(tuple, df.collect()))
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert got == expected and len(got) == 3060
+    assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == ["FOLDERNO", "FOLDERNO", "ORDNO"], plan
+    assert re.search(r"SortMergeJoin\(skew=true\) \[FOLDERNO#\d+L\], \[FOLDERNO#\d+L\], LeftSemi", plan), plan

@@ -130,3 +130,15 @@ def test_fact_cache_key(spark, tmp_path):
     either = materialized_fact(spark, src, grace_s=0)
     assert len(list(kept.glob("v-*"))) == 1
     assert "FolderNo" not in either.columns and either.agg(F.count("*")).first()[0] > 0
+
+
+def test_the_write_shuffles_the_rows_only_if_asked(spark, tmp_path):
+    rows = spark.createDataFrame([(i, T("1998-01-01") + dt.timedelta(days=i)) for i in range(200)], "a int, DateEnter timestamp_ntz")
+    laid = {m: store._laid_out(store.with_partitions(rows), m) for m in (False, True)}
+    plans = {m: df._jdf.queryExecution().executedPlan().toString() for m, df in laid.items()}
+    assert "Exchange" not in plans[False] and plans[True].count("Exchange") == 1, plans
+    assert all("Sort [year" in p for p in plans.values())
+    src, d = _src(spark), str(tmp_path / "fact")
+    for by_month in (False, True):  # the same rows either way
+        store.publish(spark, _build(src), f"{d}-{by_month}", by_month=by_month)
+    assert _rows(spark, f"{d}-False") == _rows(spark, f"{d}-True")
