@@ -12,9 +12,9 @@ broadcast or shuffle joins by the tables' true sizes):
                      → as-of version + price
 
 Shuffles that see result rows: one on ORDNO and one on FOLDERNO for the fact
-rows, both before the folder dimension makes them wide; for the latest result one on (ORDNO, FOLDERNO), after a map-side
-aggregate, then two of one row per pair (FOLDERNO, ORDNO). Flags are computed
-from raw results (before any filter), as the report requires.
+rows, both before the folder dimension makes them wide; for the latest result one
+of three columns on FOLDERNO, then one on ORDNO after a map-side aggregate. Flags are
+computed from raw results (before any filter), as the report requires.
 """
 
 from __future__ import annotations
@@ -30,11 +30,14 @@ from assaybook.sources.tables import Sources
 
 
 def folder_dimension(src: Sources, *, billable_only: bool = True,
-                     pending: DataFrame | None = None) -> DataFrame:
+                     pending: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """One row per (folder, sample, client) with test-group/test attributes.
-    ``pending`` (FOLDERNO) adds ``_pending``, true for its folders."""
+    ``pending`` (FOLDERNO) adds ``_pending``, true for its folders; ``only`` (FOLDERNO)
+    are the folders asked for (all if None)."""
     f = src.folders.select("FOLDERNO", ci("EXTERNAL_ID").alias("_sample_key"),
                            F.col("TESTGROUPNAME"))
+    if only is not None:
+        f = f.join(only, "FOLDERNO", "left_semi")
     if pending is not None:
         f = f.join(pending.withColumn("_pending", F.lit(True)), "FOLDERNO", "left")
     s = src.samples.select(
@@ -66,7 +69,7 @@ def folder_dimension(src: Sources, *, billable_only: bool = True,
 def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
                panel_rule: str = "either", per_test_version: bool = False,
                price_code_rule: str = "test", keep_pricing_code: bool = False,
-               keep_folder: bool = False,
+               keep_folder: bool = False, latest: DataFrame | None = None,
                pending_results: DataFrame | None = None) -> DataFrame:
     """Fact rows for results entered in ``[start, end)`` (unbounded if None).
 
@@ -75,6 +78,7 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
     ``price_code_rule`` 'test' | 'legacy' picks the group code used for the
     price lookup. ``pending_results`` (FOLDERNO, S) replaces the results as
     the source of the pending flag when those cover only a rolling window;
+    ``latest`` (ORDNO, LatestResultDate) are the latest dates if they are known already;
     ``keep_folder`` adds FolderNo, which the stored fact keeps for its flags."""
     raw = src.results
     rows = valid_results(raw)
@@ -86,12 +90,15 @@ def build_fact(src: Sources, *, start=None, end=None, load_ts=None,
     # results before start cannot be its latest — that scan skips them.
     # Pending folders need every result (a pending result may be older), but
     # only two columns and a selective status filter.
-    latest_in = raw if start is None else raw.where(F.col("DATEENTER") >= ts(start))
-    latest = flags.latest_result(latest_in, src.folders)
+    if latest is None:
+        latest = flags.latest_result(raw if start is None else raw.where(F.col("DATEENTER") >= ts(start)), src.folders)
     pending = flags.pending_folders(raw if pending_results is None else pending_results)
 
+    # a window has results of few folders: the others drop out before they get their columns
+    only = None if start is None and end is None else rows.select("FOLDERNO").distinct()
+    dim = folder_dimension(src, pending=pending, only=only)
     # the order's latest date joins the narrow results, before the folder's columns
-    x = rows.join(latest, "ORDNO", "left").join(folder_dimension(src, pending=pending), "FOLDERNO")
+    x = rows.join(latest, "ORDNO", "left").join(dim, "FOLDERNO")
     x = (x.withColumn("IsPanel", codes.is_panel("TESTGROUPNAME", "TESTPANEL", panel_rule))
           .withColumn("ResolvedTestCode", codes.resolved_testcode(
               "TESTCODE", "_testno", "_group_testcode", "_legacy_testcode"))

@@ -182,22 +182,26 @@ def rolling_start(now: dt.date) -> dt.date:
 def _stale_rows(spark: SparkSession, fact_dir: str, older: dict[int, str], latest: DataFrame,
                 pending: DataFrame, work: str) -> tuple[DataFrame | None, list[int]]:
     """Rows of the older years whose stored flags are stale, brought up to date,
-    and those years. The stale keys are written to ``work``: they are read to
-    find the years and again to refresh them."""
+    and those years. The stale keys are written to ``work``, which tells the planner
+    their size: they are read to find the years and the (folder, order) pairs of their
+    rows, and the pairs to refresh the wide rows with one join."""
     def derived(years):
         return read_fact(spark, fact_dir, years=years, internal=True)
 
     found = {
         "orders": fact_index.stale_orders(fact_index.read_index(spark, fact_dir, "orders", older, derived), latest),
         "folders": fact_index.stale_folders(fact_index.read_index(spark, fact_dir, "folders", older, derived), pending)}
-    for kind, df in found.items():
+    def kept(kind, df):
         df.write.parquet(f"{work}/{kind}")
-        found[kind] = spark.read.schema(df.schema).parquet(f"{work}/{kind}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{kind}")
+
+    found = {kind: kept(kind, df) for kind, df in found.items()}
     years = sorted({r["year"] for df in found.values() for r in df.select("year").distinct().collect()})
     if not years:
         return None, []
-    rows = fact_index.refreshed(read_fact(spark, fact_dir, years=years, internal=True),
-                                found["orders"], found["folders"])
+    stored = read_fact(spark, fact_dir, years=years, internal=True)
+    pairs = kept("pairs", fact_index.stale_pairs(stored, found["orders"], found["folders"]))
+    rows = fact_index.refreshed(stored, pairs)
     return rows.drop("year", "month"), years
 
 
@@ -213,16 +217,19 @@ def reload_window(spark: SparkSession, src, fact_dir: str, now: dt.date, *,
     start = rolling_start(now)
     end = dt.date(now.year + 1, 1, 1)
     fact_dir = fact_dir.rstrip("/")
-    df = build_fact(src, start=start, end=end, keep_folder=True, **fact_opts)
     years = rolling_years(now)
     older = {y: run for y, run in (current_years(spark, fact_dir) or {}).items() if y not in years}
     work = f"{fact_dir}/run-keys-{uuid.uuid4().hex[:12]}"
     try:
+        latest = flags.latest_result(src.results.where(F.col("DATEENTER") >= ts(start)), src.folders)
+        if older:  # the new rows and the stale keys both take the latest dates
+            latest.write.parquet(f"{work}/latest")
+            latest = spark.read.schema(latest.schema).parquet(f"{work}/latest")
+        df = build_fact(src, start=start, end=end, keep_folder=True, latest=latest, **fact_opts)
         if older:
             raw = fact_opts.get("pending_results")
             redo, stale = _stale_rows(
-                spark, fact_dir, older,
-                flags.latest_result(src.results.where(F.col("DATEENTER") >= ts(start)), src.folders),
+                spark, fact_dir, older, latest,
                 flags.pending_folders(src.results if raw is None else raw), work)
             if redo is not None:
                 df = df.unionByName(redo)

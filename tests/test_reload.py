@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from assaybook.plans import fact as fact_plan
 from assaybook.plans import quality
 from assaybook.sources import fact_index, store
 from assaybook.sources.gate import EmptyOutputError, Gate, GateError, Watch
@@ -106,6 +107,57 @@ def test_index_holds_a_row_per_order_and_folder(spark, tmp_path):
         assert got.groupBy(key, "year").count().where("count > 1").isEmpty()
 
 
+def test_index_takes_one_shuffle(spark):
+    rows = store.with_partitions(_build(_src(spark, _history()))).localCheckpoint()
+    for kind in fact_index.KINDS:
+        plan = fact_index.index_rows(rows, kind)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, plan
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_latest_dates_are_found_once_a_reload(spark, tmp_path, monkeypatch, indexed):
+    d, calls, real = str(tmp_path / "fact"), [], store.flags.latest_result
+    store.publish(spark, _build(_src(spark, _history())), d, index=indexed)
+    monkeypatch.setattr(store.flags, "latest_result", lambda *a: calls.append(a) or real(*a))
+    later = [*_history(), _result(900, "O1994-2", 2, "2000-05-01")]
+    _reload(spark, d, later)
+    assert len(calls) == 1 and _want(spark, later, d)
+    assert not list((tmp_path / "fact").glob("run-keys-*"))
+
+
+def test_refresh_moves_the_wide_rows_once(spark):
+    rows = spark.createDataFrame(
+        [(1998, 1, "A", False, T("1998-01-01"), "x"), (1998, 1, None, False, None, "x"), (1998, None, "B", False, T("1998-01-02"), "x"),
+         (1998, 2, "C", True, T("1998-01-03"), "x"), (1999, 1, "A", False, T("1999-01-01"), "x")],
+        "year int, FolderNo long, ORDNO string, HasPendingResults boolean, LatestResultDate timestamp_ntz, Wide string").localCheckpoint()
+    folders = spark.createDataFrame([(1998, 1, True), (1998, 2, False)], "year int, FolderNo long, _p boolean")
+    orders = spark.createDataFrame([(1998, "B", T("2000-01-01")), (1998, "A", T("2000-02-01"))], "year int, ORDNO string, _l timestamp_ntz")
+    pairs = fact_index.stale_pairs(rows, orders, folders).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = fact_index.refreshed(rows, pairs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 2, plan   # the rows, and the pairs
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([
+        (1998, 1, "A", True, T("2000-02-01"), "x"), (1998, 1, None, True, None, "x"), (1998, None, "B", False, T("2000-01-01"), "x"),
+        (1998, 2, "C", False, T("1998-01-03"), "x"), (1999, 1, "A", False, T("1999-01-01"), "x")], key=repr)
+
+
+def test_a_window_takes_its_folders_only(spark, monkeypatch):
+    seen, real = [], fact_plan.folder_dimension
+    monkeypatch.setattr(fact_plan, "folder_dimension", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    rows = [*_history(), _result(900, "N", 1, "2000-05-01")]
+    rows = [r for r in rows if r[1] != 2 or r[-1].year < 2000]
+    src = _src(spark, rows)
+    whole = fact_plan.build_fact(src, load_ts="2000-01-01")
+    part = fact_plan.build_fact(src, start=dt.date(2000, 1, 1), load_ts="2000-01-01")
+    folders = [{r.FOLDERNO for r in d.select("FOLDERNO").collect()} for d in seen]
+    assert folders[1] == {1, 3} < folders[0]
+    assert sorted(map(tuple, part.collect())) == sorted(tuple(r) for r in whole.collect() if r.DateEnter.year == 2000)
+
+
 # ---------------------------------------------------------------- gate
 def test_gate_counts_what_the_view_would_have(spark, tmp_path):
     src = _src(spark)
